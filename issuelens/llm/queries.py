@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, licenses, lm, mixing, near, packing, quality, secrets, topk
+from . import anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def _quality_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), fold() != 1)
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
     "op4_mixing": op4_mixing,
+    "op5_repeats": op5_repeats,
     "op6_lm_score": op6_lm_score,
     "op7_quality": op7_quality,
     "op8_exact_topk": op8_exact_topk,
