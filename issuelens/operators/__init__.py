@@ -1 +1 @@
-"""Part of the engine."""
+"""Relational operators on canonical tables; each takes and gives DataFrames or columns."""
