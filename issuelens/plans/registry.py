@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import screening
+from . import flagging, screening
 
 FLAGSHIP = screening.QUERIES["screening_outcome"]
-QUERIES = {**screening.QUERIES}
-ORACLE = {**screening.ORACLE}
+QUERIES = {**screening.QUERIES, **flagging.QUERIES}
+ORACLE = {**screening.ORACLE, **flagging.ORACLE}
