@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import flagging, screening
+from . import casework, flagging, screening
 
 FLAGSHIP = screening.QUERIES["screening_outcome"]
-QUERIES = {**screening.QUERIES, **flagging.QUERIES}
-ORACLE = {**screening.ORACLE, **flagging.ORACLE}
+QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES}
+ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE}
