@@ -55,3 +55,10 @@ def fold(column: str = "doc_id") -> Column:
 def splits(df: DataFrame) -> int:
     """Number of input splits, which follows the size of the input."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts stay small, whatever the session allows; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    spark.conf.set(key, str(min(now, rows) if now > 0 else rows))

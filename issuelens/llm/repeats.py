@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import _power, mix64, runs
-from .common import splits, text_bytes, written
+from .common import small_batches, splits, text_bytes, written
 
 SPAN, GRAM = 100, 36
 REACH = SPAN - GRAM + 1
 LEFT = REACH - 1
 WIDE = LEFT + SPAN
-PIECE = 1 << 20
-FLUSH = 1_000_000
+PIECE = 1 << 19
+FLUSH = 250_000
 SAMPLE_OF, HOT_SHARE, HOT_LEAST = 64, 0.002, 200
 NO_ID = -(1 << 63)
 _BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
@@ -372,6 +372,7 @@ def hot_grams(texts: DataFrame) -> np.ndarray:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (spans) and kept (bytes) for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text_bytes().alias("text"))
     slices = max(8, 4 * splits(docs))
     hot = hot_grams(source)
