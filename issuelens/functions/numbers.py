@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .periods import let
+
 AMOUNT = "decimal(20,6)"
 
 # Multipliers of units, and the marks that stand for no value.
@@ -24,35 +26,45 @@ def parse_a(text: Column) -> Column:
 
     Groups of digits must be Indian or international; both readings count as international. A leading point is no number.
     """
-    t = F.trim(F.translate(text, DASHES, "-" * len(DASHES)))
+    plain = F.trim(F.translate(text, DASHES, "-" * len(DASHES)))
+    return let(plain, _parse_a)
+
+
+def _parse_a(t: Column) -> Column:
     bare = F.lower(_replace(t, r"^[\s.]+|[\s.]+$"))
     null_mark = F.lower(t).isin(NULL_MARKS_A) | bare.isin(NULL_MARKS_A)
     t = F.when(t.startswith("("), t).otherwise(_replace(t, r"(?<=\d)\s*\((?:\d{1,2}|[a-z]|[ivx]{1,4})\)$"))
     opened, closed = t.startswith("("), t.endswith(")")
-    wrapped = opened & closed
-    unbalanced = opened != closed
-    t = F.trim(_replace(t, r"^\(|\)$"))
-    trailing = t.rlike(r"\d\s*-$")
-    t = _replace(t, r"\s*-$")
-    leading = t.startswith("-")
-    t = F.trim(_replace(t, r"^-\s*"))
-    t = _replace(t, r"(?i)^(?:₹|rs\.?|inr|`)\s*")
-    after_currency = t.startswith("-")
-    t = _replace(t, r"^-\s*")
+    inner = F.trim(_replace(t, r"^\(|\)$"))
+    return let(F.struct(null_mark.alias("null_mark"), opened.alias("opened"), closed.alias("closed"), inner.alias("t")), _signed_a)
+
+
+def _signed_a(p: Column) -> Column:
+    t, null_mark = p["t"], p["null_mark"]
+    wrapped, unbalanced = p["opened"] & p["closed"], p["opened"] != p["closed"]
+    trailing, leading = t.rlike(r"\d\s*-$"), t.startswith("-")
+    amount = _replace(F.trim(_replace(_replace(t, r"\s*-$"), r"^-\s*")), r"(?i)^(?:₹|rs\.?|inr|`)\s*")
+    facts = F.struct(amount.alias("t"), null_mark.alias("null_mark"), wrapped.alias("wrapped"), unbalanced.alias("unbalanced"), trailing.alias("trailing"), leading.alias("leading"))
+    return let(facts, _valued_a)
+
+
+def _valued_a(p: Column) -> Column:
+    t, null_mark, wrapped, trailing = p["t"], p["null_mark"], p["wrapped"], p["trailing"]
+    minus = p["leading"] | trailing | t.startswith("-")
     percent = t.endswith("%")
-    t = _replace(F.trim(_replace(t, r"%$")), r"(?:\*{1,3}|#{1,2}|\^|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)$")
-    t = _replace(t, r"[\s ]+")
-    whole, has_fraction = F.regexp_extract(t, r"^([\d,]+)(\.\d+)?$", 1), t.contains(".")
-    grouping = (
-        F.when(~whole.contains(","), "none").when(whole.rlike(r"^\d{1,3}(?:,\d{3})+$"), "international").when(whole.rlike(r"^\d{1,2}(?:,\d{2})*,\d{3}$"), "indian")
-    )
-    digits = (whole != "") & grouping.isNotNull() & ~whole.startswith(",")
-    size = _replace(F.when(has_fraction, t).otherwise(whole), ",").try_cast(AMOUNT)
-    minus = leading | trailing | after_currency
-    value = F.when(~null_mark & digits, F.when(wrapped | minus, -size).otherwise(size))
-    by = F.when(wrapped, "parentheses").when(trailing, "trailing minus").when(minus, "minus")
-    warning = F.when(unbalanced, "unbalanced parenthesis").when(wrapped & minus, "multiple negative markers").when(~null_mark & (whole != "") & ~digits, "malformed digit grouping")
-    return F.struct(value.cast(AMOUNT).alias("value"), null_mark.alias("is_null_mark"), percent.alias("is_percent"), by.alias("negative_by"), grouping.alias("grouping"), warning.alias("warning"))
+    body = _replace(_replace(F.trim(_replace(_replace(t, r"^-\s*"), r"%$")), r"(?:\*{1,3}|#{1,2}|\^|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)$"), r"\s+")
+
+    def made(b: Column) -> Column:
+        whole = F.regexp_extract(b, r"^([\d,]+)(\.\d+)?$", 1)
+        grouping = F.when(~whole.contains(","), "none").when(whole.rlike(r"^\d{1,3}(?:,\d{3})+$"), "international").when(whole.rlike(r"^\d{1,2}(?:,\d{2})*,\d{3}$"), "indian")
+        digits = (whole != "") & grouping.isNotNull()
+        size = _replace(b, ",").try_cast(AMOUNT)
+        value = F.when(~null_mark & digits, F.when(wrapped | minus, -size).otherwise(size))
+        by = F.when(wrapped, "parentheses").when(trailing, "trailing minus").when(minus, "minus")
+        warning = F.when(p["unbalanced"], "unbalanced parenthesis").when(wrapped & minus, "multiple negative markers").when(~null_mark & (whole != "") & ~digits, "malformed digit grouping")
+        return F.struct(value.cast(AMOUNT).alias("value"), null_mark.alias("is_null_mark"), percent.alias("is_percent"), by.alias("negative_by"), grouping.alias("grouping"), warning.alias("warning"))
+
+    return let(body, made)
 
 
 def parse_b(text: Column, allow_percent: bool = False) -> Column:

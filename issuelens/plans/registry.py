@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import casework, flagging, screening
+from . import casework, flagging, screening, texts
 
 FLAGSHIP = screening.QUERIES["screening_outcome"]
-QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES}
-ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE}
+QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES, **texts.QUERIES}
+ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE, **texts.ORACLE}
