@@ -57,7 +57,7 @@ def splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts stay small, whatever the session allows; a smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))

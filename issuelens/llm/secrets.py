@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -66,6 +66,7 @@ def sample_counts(docs: DataFrame) -> DataFrame:
         label, pair = np.nonzero(total)
         yield pd.DataFrame({"pair": pair, "label": label, "n": total[label, pair]})
 
+    small_batches(docs.sparkSession)
     return docs.select(text_or_empty().alias("text")).mapInPandas(count, "pair long, label long, n long").groupBy("pair", "label").agg(F.sum("n").alias("n"))
 
 

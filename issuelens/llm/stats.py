@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 COUNTS = ("n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_bars", "n_distinct", "longest")
 _BLANKS = bytes([9, 10, 11, 12, 13, 32])
@@ -49,6 +49,7 @@ def _counts(texts: pd.Series) -> pd.DataFrame:
 
 def with_counts(docs: DataFrame, column: str = "text", out: str = "stats") -> DataFrame:
     """docs and a struct column of COUNTS."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, F.pandas_udf(_counts, ", ".join(f"{c} long" for c in COUNTS))(text_bytes(column)))
 
 
