@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import casework, flagging, geometry, screening, texts
+from . import casework, flagging, geometry, records, screening, texts
 
 FLAGSHIP = screening.QUERIES["screening_outcome"]
-QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES, **texts.QUERIES, **geometry.QUERIES}
-ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE, **texts.ORACLE, **geometry.ORACLE}
+QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES, **texts.QUERIES, **geometry.QUERIES, **records.QUERIES}
+ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE, **texts.ORACLE, **geometry.ORACLE, **records.ORACLE}

@@ -1 +1 @@
-"""Part of the engine."""
+"""Sources and sinks: document files, catalogues, manifests, labels, caches and reports."""
