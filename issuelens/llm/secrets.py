@@ -34,7 +34,7 @@ CLASS = np.zeros(256, np.uint16)
 CLASS[[ord(c) for c in ALPHABET]] = np.arange(1, SIDE)
 #: A token needs this log-likelihood ratio (natural) for the whole, and so much a character.
 MARGIN, MARGIN_EACH = 12.0, 0.7
-#: Weight of the uniform law in either model, in samples a row.
+#: Weight of the law of single characters in the rows of either model, in samples.
 SMOOTH = 40.0
 FOUND = "n_assign long, n_access long, n_hex long, n_model long, spans array<struct<kind:string,start:int,end:int>>"
 
@@ -76,7 +76,8 @@ def fit(counts: DataFrame) -> np.ndarray:
     for r in counts.collect():
         n[r["label"], r["pair"]] = max(0, r["n"])
     n = n.reshape(2, SIDE, SIDE)[:, :, 1:]
-    law = (n + SMOOTH / (SIDE - 1)) / (n.sum(2, keepdims=True) + SMOOTH)
+    single = (n.sum(1, keepdims=True) + 0.5) / (n.sum((1, 2), keepdims=True) + 0.5 * (SIDE - 1))
+    law = (n + SMOOTH * single) / (n.sum(2, keepdims=True) + SMOOTH)
     # What a pattern has shown may be of few kinds (hex); any other key is as likely as the uniform law says.
     law[1] = 0.5 * law[1] + 0.5 / (SIDE - 1)
     ratio = np.zeros((SIDE, SIDE))
