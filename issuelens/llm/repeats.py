@@ -331,6 +331,9 @@ def maximal_repeats(context: np.ndarray, doc: np.ndarray, at: np.ndarray, left:
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     context = np.frombuffer(b"".join(rows["context"]), np.uint8).reshape(-1, WIDE)
     doc, at, room = (np.concatenate([np.asarray(x, np.int64) for x in rows[k]]) for k in ("doc", "at", "room"))
+    # A repeated row brings its contexts again; the same place is no second occurrence.
+    _, once = np.unique(np.stack([doc, at], 1), axis=0, return_index=True)
+    context, doc, at, room = context[once], doc[once], at[once], room[once]
     found = maximal_repeats(context, doc, at, room // 128, room % 128)
     return pd.DataFrame(dict(zip(("did", "a", "b"), found)))
 
