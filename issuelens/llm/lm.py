@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import LOWER, Words, mix64, runs
-from .common import splits, text_bytes
+from .blocks import LOWER, Words, give_back, mix64, runs
+from .common import small_batches, splits, text_bytes
 
 ORDER = 4
 PIECE = 2 << 20
@@ -220,6 +220,7 @@ def low_orders(docs: DataFrame) -> LowOrders:
                     k, n = _tally(keys, counts)
                     keys, counts = [k], [n]
         key, n = _tally(keys, counts)
+        give_back()
         yield pd.DataFrame({"key": key.astype(np.int64), "n": n})
 
     rows = docs.where("train").select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
@@ -228,6 +229,7 @@ def low_orders(docs: DataFrame) -> LowOrders:
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; train marks the rows to learn from."""
+    small_batches(docs.sparkSession)
     many = splits(docs)
     chunks, slices = max(4, CHUNKS_PER_SPLIT * many), max(4, SLICES_PER_SPLIT * many)
     rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", train.alias("train"), text_bytes().alias("text"))

@@ -30,15 +30,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import _power, mix64, runs
+from .blocks import _power, give_back, mix64, runs
 from .common import small_batches, splits, text_bytes, written
 
 SPAN, GRAM = 100, 36
 REACH = SPAN - GRAM + 1
 LEFT = REACH - 1
 WIDE = LEFT + SPAN
-PIECE = 1 << 19
-FLUSH = 250_000
+PIECE = 1 << 18
+FLUSH = 125_000
 SAMPLE_OF, HOT_SHARE, HOT_LEAST = 64, 0.002, 200
 NO_ID = -(1 << 63)
 _BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
@@ -190,8 +190,11 @@ def _dealt(slices: int, hot: np.ndarray):
                 if held >= FLUSH:
                     yield flush(parts, turn)
                     parts, held, turn = [], 0, turn + 1
+                    give_back()
         if held:
             yield flush(parts, turn)
+        parts.clear()
+        give_back()
 
     return deal
 
@@ -218,6 +221,7 @@ def _sorted_out(rows: pd.DataFrame) -> pd.DataFrame:
     several[:-1] |= same
     doc, start, end = merged(np.concatenate([doc, join("doc", sure)]), np.concatenate([start, join("at", sure)]), np.concatenate([end, join("h", sure)]))
     n, m = len(doc), int(several.sum())
+    give_back()
     return pd.DataFrame({"boundary": np.arange(n + m) >= n, "did": np.concatenate([doc, first["doc"][several]]), "a": np.concatenate([start, first["at"][several]]), "b": np.concatenate([end, first["h"][several].astype(np.int64)])})
 
 
@@ -248,6 +252,7 @@ def _contexts(slices: int):
                 if len(r):
                     rows.append((s, doc[r], at[r], room[r], b"".join(cut[k] for k in r)))
             yield pd.DataFrame(rows, columns=["slice", "doc", "at", "room", "context"])
+            give_back()
 
     return fetch
 
@@ -335,6 +340,7 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     _, once = np.unique(np.stack([doc, at], 1), axis=0, return_index=True)
     context, doc, at, room = context[once], doc[once], at[once], room[once]
     found = maximal_repeats(context, doc, at, room // 128, room % 128)
+    give_back()
     return pd.DataFrame(dict(zip(("did", "a", "b"), found)))
 
 
@@ -355,6 +361,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kept.append(text[at:])
             rows.append((len(text), gone, [{"start": a, "end": b} for a, b in runs_], b"".join(kept)))
         yield batch[["doc_id"]].reset_index(drop=True).join(pd.DataFrame(rows, columns=["n_bytes", "n_removed", "removed", "kept"]))
+        del rows, batch
+        give_back()
 
 
 def hot_grams(texts: DataFrame) -> np.ndarray:

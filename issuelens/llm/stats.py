@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import give_back
 from .common import small_batches, text_bytes
 
 COUNTS = ("n_chars", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_bars", "n_distinct", "longest")
@@ -44,7 +45,9 @@ def counts(text: bytes) -> tuple[int, ...]:
 
 
 def _counts(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([counts(t) for t in texts], columns=list(COUNTS))
+    rows = [counts(t) for t in texts]
+    give_back()
+    return pd.DataFrame(rows, columns=list(COUNTS))
 
 
 def with_counts(docs: DataFrame, column: str = "text", out: str = "stats") -> DataFrame:
