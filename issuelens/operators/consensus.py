@@ -99,7 +99,13 @@ def consensus(readings: DataFrame) -> DataFrame:
     competing = F.filter("all", lambda r: r["trusted"] | ~F.col("any_trusted"))
     plain = F.transform(competing, lambda r: F.struct(r["value"], r["step"], r["weight"], r["confidence"]))
     made = gathered.withColumn("made", clusters(plain))
-    near = lambda k: F.filter("all", lambda r: F.abs(r["value"] - k["head"]) <= F.greatest(r["step"], k["step"]))
+
+    def near(k: Column) -> Column:
+        """Members of the cluster, and readings that don't compete but agree with its head."""
+        own = lambda r: F.exists(k["members"], lambda m: (m["value"] == r["value"]) & (m["step"] == r["step"]))
+        agrees = lambda r: F.abs(r["value"] - k["head"]) <= F.greatest(r["step"], k["step"])
+        return F.filter("all", lambda r: F.when(r["trusted"] | ~F.col("any_trusted"), own(r)).otherwise(agrees(r)))
+
     total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[f].cast("double"))
 
     def scored(k: Column) -> Column:
