@@ -18,7 +18,7 @@ WORDS = "SELECT l_suppkey AS doc_id, l_linenumber AS page, l_orderkey AS no, CAS
 COLUMNS = "SELECT s_suppkey AS doc_id, p.page, c.col, CAST(c.col * 700 + (s_suppkey * 31) % 200 AS DOUBLE) AS at FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2 UNION ALL SELECT 3) p CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 7) c"
 BOXES = "SELECT s_suppkey AS doc_id, p.page, CAST(500 + (s_suppkey * 13) % 300 AS DOUBLE) AS x0, CAST(2500 + (s_suppkey * 17) % 900 AS DOUBLE) AS x1, CAST(100 + s_suppkey % 50 AS DOUBLE) AS y0, CAST(420 + s_suppkey % 99 AS DOUBLE) AS y1 FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2) p"
 TURNS = "SELECT conv_id AS doc_id, turn AS line, CASE WHEN turn % 3 = 0 THEN role END AS caption, length(text) AS size, text FROM conversations"
-TABLES = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 40 AS INT) AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 40, l_orderkey, l_linenumber) AS table_no, (l_orderkey % 10) / 10E0 + l_orderkey / 1E9 AS top, (l_partkey % 10) / 10E0 AS bottom, l_linenumber % 3 AS width, CASE WHEN l_linenumber % 2 = 0 THEN 'h' END AS header, CASE WHEN l_orderkey % 4 = 0 THEN CASE l_linenumber % 5 WHEN 0 THEN 'crore' ELSE 'lakh' END END AS unit, CAST(l_linenumber AS INT) AS dates FROM lineitem"
+TABLES = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 40 AS INT) AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 40, l_orderkey) AS table_no, (l_orderkey % 10) / 10E0 + l_orderkey / 1E9 AS top, (l_partkey % 10) / 10E0 AS bottom, l_linenumber % 3 AS width, CASE WHEN l_linenumber % 2 = 0 THEN 'h' END AS header, CASE WHEN l_orderkey % 4 = 0 THEN CASE l_linenumber % 5 WHEN 0 THEN 'crore' ELSE 'lakh' END END AS unit, CAST(l_linenumber AS INT) AS dates FROM (SELECT l_suppkey, l_orderkey, MIN(l_linenumber) AS l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_suppkey, l_orderkey) x"
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
