@@ -22,7 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import least_hashed, written
 from .stats import features, with_counts
 
 MAX_LABELLED = 50_000
@@ -69,7 +69,8 @@ def paths(tree: str) -> list[tuple[Test, ...]]:
 def train(labelled: DataFrame) -> RuleModel:
     """labelled: a column for each statistic, and label (0 or 1)."""
     names = tuple(features())
-    known = written(labelled.where("label in (0, 1)").select(*names, F.col("label").cast("double").alias("label"), "key").orderBy("key").limit(MAX_LABELLED).drop("key"))
+    graded = labelled.where("label in (0, 1)").select(*names, F.col("label").cast("double").alias("label"), "key")
+    known = written(least_hashed(graded, MAX_LABELLED).drop("key"))
     n, good = known.agg(F.count("*"), F.sum("label")).first()
     if not n or good in (0, n):
         share = min(max((good or 0) / n if n else 0.5, 1e-6), 1 - 1e-6)
