@@ -6,8 +6,8 @@ documents are ranked by their random odds u/(1-u) over their inclusion odds and
 wanted are reached, so the sample has a fixed size in words. Inclusion odds are f/(1-f) times a tilt, f being the part
 of the source still wanted.
 
-Rank and cut are found from sums by (source, slice of the rank), then inside the one slice that holds the cut, so no
-task ever holds a source. Only a table with one row for each source meets the documents.
+The cut is found from sums by (source, slice of the rank), first coarse slices, then fine ones inside the coarse slice
+that holds it, then documents inside the fine one, so no task ever holds a source. Only a table with one row for each source meets the documents.
 
 Defined cases: null text counts 0 words and is never sampled; null source is a source of its own, last in order; an
 empty table gives an empty result; rows that repeat a document stand for themselves and share a rank; columns of the
@@ -16,15 +16,13 @@ input with the names of results are replaced.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import n_words, written
 
-#: Slices of the logarithm of the rank, for one unit of it.
-SLICES = 4096
+#: Slices of the logarithm of the rank, for one unit of it; the logarithm spans about 100 units.
+COARSE, SLICES = 32, 4096
 #: Words at which a document reaches half the full inclusion odds.
 HALF_WORDS = 64
 
@@ -54,6 +52,20 @@ def _uniform(seed: int, *columns: str) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def _cut(rows: DataFrame, per: int) -> DataFrame:
+    """cut_source, cut_slice, left_over: of each source, the slice in which its words reach what is wanted, and what is wanted of it."""
+    by_slice = rows.groupBy("source", F.floor(F.col("rank") * per).alias("at"), "want").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    reached = by_slice.withColumn("upto", upto).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("words") < F.col("want")))
+    return reached.select(F.col("source").alias("cut_source"), F.col("at").alias("cut_slice"), (F.col("want") - F.col("upto") + F.col("words")).alias("left_over"))
+
+
+def _inside(rows: DataFrame, cut: DataFrame, per: int) -> DataFrame:
+    """The rows of the slices of cut, wanted being what is left over for the slice."""
+    met = rows.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.floor(F.col("rank") * per) == F.col("cut_slice")))
+    return met.select("source", "doc_id", "size", "rank", F.col("left_over").alias("want"))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 7) -> DataFrame:
     """docs with size, source_size, target, copies and taken. Needs doc_id, text and source."""
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
@@ -73,12 +85,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
         return rows.join(extra.withColumnRenamed("source", "source_"), F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
 
     sampled = ranked(with_plan(sizes, plan)).where(F.col("rank").isNotNull())
-    by_slice = sampled.groupBy("source", "slice", "want").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
-    cut = by_slice.withColumn("upto", upto).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("words") < F.col("want")))
-    cut = cut.select(F.col("source").alias("cut_source"), F.col("slice").alias("cut_slice"), (F.col("want") - F.col("upto") + F.col("words")).alias("left_over"))
-    edge = sampled.join(cut, F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("slice") == F.col("cut_slice")))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    inner = _inside(sampled, _cut(sampled, COARSE), COARSE)
+    cut = _cut(inner, SLICES)
+    edge = _inside(inner, cut, SLICES).withColumnsRenamed({"source": "cut_source", "want": "left_over"})
+    upto = F.sum("size").over(Window.partitionBy("cut_source").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     edge = edge.withColumn("upto", upto).where((F.col("upto") - F.col("left_over")) <= (F.col("left_over") - F.col("upto") + F.col("size")))
     last = edge.groupBy("cut_source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
     cuts = cut.join(last.withColumnRenamed("cut_source", "last_source"), F.col("cut_source").eqNullSafe(F.col("last_source")), "left").select(F.col("cut_source"), "cut_slice", "last")
@@ -94,6 +104,3 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents taken, once for each copy, with the columns of docs."""
     copies = mix(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumns({c: F.col(f"in_{c}") for c in ("doc_id", "text", "source")}), **options)
     return copies.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
-
-
-assert math.log2(SLICES).is_integer()
