@@ -157,7 +157,7 @@ def _side(spark: SparkSession, sf_dir: str, op: str) -> DataFrame:
 
 def value_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = compare.changes(_side(spark, sf_dir, "<"), _side(spark, sf_dir, ">="), ("doc_id", "key"))
-    return out.withColumn("pct", F.round("pct", 3))
+    return out.withColumns({"pct": F.round("pct", 3), "old": F.col("old").cast("double"), "new": F.col("new").cast("double")})
 
 
 def flag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ ORACLE: dict[str, str] = {
     "fy_matrix": f"WITH l AS (SELECT doc_id, fy, unnest(['revenue', 'receivables', 'cash', 'profit']) AS concept, unnest([revenue, receivables, cash, profit]) AS value FROM ({SERIES}) s) SELECT doc_id, concept, {', '.join(f'max(CASE WHEN fy = {y} THEN value END) AS FY{y}' for y in range(1997, 2002))} FROM l GROUP BY doc_id, concept",
     "top_candidates": f"SELECT * FROM (SELECT doc_id, ord, score, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, ord) AS INT) AS rank FROM ({CANDIDATES}) c) t WHERE rank <= 3",
     "validate_cross_field": f"WITH l AS (SELECT doc_id, fy AS period, profit, unnest(['total_assets', 'net_tangible_assets', 'revenue']) AS field, unnest([profit, receivables, revenue]) AS value FROM ({SERIES}) s) SELECT doc_id, period, field, CASE WHEN doc_id % 2 = 1 THEN 'not_found' WHEN (field = 'net_tangible_assets' AND value * 1000 > profit * 1001) OR (field = 'revenue' AND value < 0) THEN 'extracted_needs_verification' ELSE 'extracted_high_confidence' END AS checked FROM l",
-    "value_diff": f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.key, n.key) AS key, o.value AS old, n.value AS new, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' WHEN abs(n.value - o.value) <= 1000 THEN 'same' ELSE 'moved' END AS kind, CASE WHEN o.value <> 0 THEN round((n.value - o.value) / CAST(abs(o.value) AS DOUBLE) * 100, 3) END AS pct FROM ({_EDIT('<')}) o FULL JOIN ({_EDIT('>=')}) n ON o.doc_id = n.doc_id AND o.key = n.key",
+    "value_diff": f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.key, n.key) AS key, CAST(o.value AS DOUBLE) AS old, CAST(n.value AS DOUBLE) AS new, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' WHEN abs(n.value - o.value) <= 1000 THEN 'same' ELSE 'moved' END AS kind, CASE WHEN o.value <> 0 THEN round((n.value - o.value) / CAST(abs(o.value) AS DOUBLE) * 100, 3) END AS pct FROM ({_EDIT('<')}) o FULL JOIN ({_EDIT('>=')}) n ON o.doc_id = n.doc_id AND o.key = n.key",
     "flag_diff": f"WITH o AS ({_THEN} SELECT doc_id, rule_id FROM audit WHERE status = 'flagged'), n AS ({_NOW} SELECT doc_id, rule_id FROM audit WHERE status = 'flagged') SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.rule_id, n.rule_id) AS rule_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'removed' ELSE 'kept' END AS kind FROM o FULL JOIN n ON o.doc_id = n.doc_id AND o.rule_id = n.rule_id",
     "eval_score": """WITH j AS (SELECT d.lang, l.toxic = 1 AS absent, d.doc_id % 9 = 4 AS silent, CASE WHEN d.n_chars > 400 THEN 1 ELSE 0 END = l.quality AS near FROM labels l JOIN documents d ON l.doc_id = d.doc_id), v AS (SELECT lang, CASE WHEN absent THEN CASE WHEN silent THEN 'absent' ELSE 'hallucinated' END WHEN silent THEN 'abstained' WHEN near THEN 'correct' ELSE 'wrong' END AS verdict, NOT silent AND near AS cited FROM j),
         s AS (SELECT coalesce(lang, 'all') AS part, count(*) FILTER (WHERE verdict = 'correct') AS n_correct, count(*) FILTER (WHERE verdict = 'wrong') AS n_wrong, count(*) FILTER (WHERE verdict = 'abstained') AS n_abstained, count(*) FILTER (WHERE verdict = 'hallucinated') AS n_hallucinated, count(*) FILTER (WHERE cited) AS n_cited FROM v GROUP BY GROUPING SETS ((lang), ()))
