@@ -5,7 +5,8 @@
 2. Texts of equal shingle sets form a class; only its least document goes on, so copies never meet in a bucket.
 3. Inside each bucket of a band key, sketches are compared by the population count of their XOR, which estimates the
    similarity; pairs that may reach the limit (LOOSE leaves five standard deviations) are joined into families by a
-   spanning forest. Buckets over CHUNK members are dealt out in parts whose leaders meet again.
+   spanning forest. Buckets over CHUNK members are dealt out in parts of about CHUNK, and each pair of parts is compared in
+   a task of its own: no pair of a bucket is left out, and no task holds more than two parts.
 4. The shingle sets of a family come together once, and exact similarities decide the links. Families over BLOCK members
    are compared block by block, each pair of blocks in a task of its own.
 5. Components of the links give the groups.
@@ -127,24 +128,46 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _across(near: np.ndarray) -> np.ndarray:
+    """The same of links between rows and columns, which are numbered after the rows."""
+    n, parent = len(near), np.full(sum(near.shape), -1)
+    for root in range(n):
+        if parent[root] < 0:
+            parent[root] = root
+            todo = [root]
+            while todo:
+                at = todo.pop()
+                fresh = np.flatnonzero(near[at] & (parent[n:] < 0)) + n if at < n else np.flatnonzero(near[:, at - n] & (parent[:n] < 0))
+                parent[fresh] = at
+                todo += fresh.tolist()
+    return np.where(parent < 0, np.arange(len(parent)), parent)
+
+
+def _near(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which rows of left may reach the limit with which of right."""
+    near = np.zeros((len(left), len(right)), bool)
+    for i in range(0, len(left), 256):
+        near[i : i + 256] = similarity(left[i : i + 256, None], right[None]) >= LOOSE
+    return near
+
+
 def _families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of key, part, rep, odd sorted by key and part: edges a-b of a forest over each bucket, and its roots (a = b)."""
-    for rows in _grouped(batches, ["key", "part"]):
-        ids = rows["rep"].to_numpy()
+    """Rows of key, i, j, own, rep, odd sorted by all but the last: edges a-b of a forest over part i of a bucket, or between parts i and j."""
+    for rows in _grouped(batches, ["key", "i", "j"]):
+        ids, own = rows["rep"].to_numpy(), rows["own"].to_numpy()
         odd = np.frombuffer(b"".join(rows["odd"]), np.uint64).reshape(len(rows), -1)
-        start, size = _edges_of(rows, ["key", "part"])
-        key = rows["key"].to_numpy()
+        start, size = _edges_of(rows, ["key", "i", "j"])
         two = start[size == 2]
         hit = two[similarity(odd[two], odd[two + 1]) >= LOOSE]
-        out = [np.stack([key[hit], ids[hit], ids[hit + 1]], 1)]
+        out = [np.stack([ids[hit], ids[hit + 1]], 1)]
         for s, m in zip(start[size > 2], size[size > 2]):
-            own, near = odd[s : s + m], np.zeros((m, m), bool)
-            for i in range(0, m, 256):
-                near[i : i + 256] = similarity(own[i : i + 256, None], own[None]) >= LOOSE
-            parent = _forest(near) + s
-            out.append(np.stack([np.full(m, key[s]), ids[parent], ids[s : s + m]], 1))
+            n = int((own[s : s + m] == own[s]).sum())
+            part, other = odd[s : s + n], odd[s + n : s + m]
+            parent = (_across(_near(part, other)) if n < m else _forest(_near(part, part))) + s
+            moved = np.flatnonzero(parent != np.arange(s, s + m))
+            out.append(np.stack([ids[parent[moved]], ids[s + moved]], 1))
         found = np.concatenate(out)
-        yield pd.DataFrame(found, columns=["key", "a", "b"])
+        yield pd.DataFrame(found, columns=["a", "b"])
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,13 +237,11 @@ def groups(docs: DataFrame) -> DataFrame:
     spread = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     members = spread.join(crowded, "key").join(alone.select(F.col("doc_id").alias("rep"), "odd").dropDuplicates(["rep"]), "rep")
-    parts = members.withColumn("part", F.when(F.col("m") > CHUNK, F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / CHUNK))).otherwise(F.lit(0)).cast("long"))
-    shape = "key long, a long, b long"
-    met = written(parts.select("key", "part", "m", "rep", "odd").repartition("key", "part").sortWithinPartitions("key", "part", "rep").select("key", "part", "rep", "odd").mapInPandas(_families, shape))
-    leaders = met.where("a = b").join(crowded.where(F.col("m") > CHUNK), "key").select("key", F.lit(0).cast("long").alias("part"), F.col("a").alias("rep"))
-    leaders = leaders.join(alone.select(F.col("doc_id").alias("rep"), "odd").dropDuplicates(["rep"]), "rep").select("key", "part", "rep", "odd")
-    again = leaders.repartition("key", "part").sortWithinPartitions("key", "part", "rep").mapInPandas(_families, shape)
-    family = written(components(met.unionByName(again).select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    parts = members.withColumn("parts", F.ceil(F.col("m") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    met = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "odd")
+    met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep").mapInPandas(_families, "a long, b long")
+    family = written(components(met).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
     sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = family.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))

@@ -450,6 +450,43 @@ def test_near_groups_match_brute_force(spark, small, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(i for i, (_, c) in want.items() if i == c)
 
 
+def test_large_buckets_are_compared_in_pairs_of_parts(spark, monkeypatch, tmp_path):
+    """One bucket of 48 unlike texts in 6 parts, and a link between two parts whose members stand behind unlike leaders."""
+    monkeypatch.setattr(near, "CHUNK", 8)
+    part = {r.id: r.p for r in spark.range(48).select("id", F.expr("pmod(xxhash64(id), 6)").alias("p")).collect()}
+    (a, y), (b, z) = ([i for i in part if part[i] == p][:2] for p in (0, 1))
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = {i: fresh(200) for i in part}
+    texts[z] = [*texts[y][:180], *fresh(20)]  # 0.81 alike; y and a are 0.66 alike, z and b 0.63, a and b 0.31
+    texts[a], texts[b] = [*fresh(40), *texts[y][40:]], [*texts[z][:100], *fresh(40), *texts[z][140:]]
+
+    def one_bucket(batches):
+        from issuelens.llm import near as real
+
+        for out in real._sketched(batches):
+            yield out.assign(bands=[np.array([7, *(doc * 100 + np.arange(1, real.BANDS) + 1000)]) for doc in out["doc_id"]])
+
+    def watched(batches):
+        from issuelens.llm import near as real
+
+        def noted():
+            for rows in batches:
+                keys = [c for c in rows if c in ("key", "part", "i", "j")]
+                for n, at in enumerate(rows.groupby(keys).size()):
+                    (tmp_path / f"{random.random()}-{n}").write_text(str(at))
+                yield rows
+
+        yield from real._families(noted())
+
+    monkeypatch.setattr(near, "_sketched", one_bucket)
+    monkeypatch.setattr(near, "_families", watched)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in near.groups(docs).collect()}
+    assert found == {i: min(y, z) if i in (y, z) else i for i in texts}
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= sum(sorted(collections.Counter(part.values()).values())[-2:])
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = random.Random(5)
     base = [str(rng.random()) for _ in range(400)]
