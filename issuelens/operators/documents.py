@@ -59,21 +59,23 @@ def sectors(pages: DataFrame, front: int = 150, found: dict[str, tuple[str, int]
     return counted.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").where("mentions >= threshold")
 
 
-def first_hits(pages: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """doc_id, fact, page, snippet of the first sentence that states each fact; pages are cut into sentences only if they hold one of the words."""
+def first_hits(pages: DataFrame, patterns: dict[str, str], **read: Column) -> DataFrame:
+    """doc_id, fact, page, snippet of the first sentence that states each fact, and what is read from the whole of it (columns over fact
+    and sentence); only the snippet is cut. Pages are cut into sentences only if they hold one of the words."""
     any_ = "|".join(f"(?:{p})" for p in patterns.values())
     rows = pages.where(F.col("text").rlike(any_)).select("doc_id", "page", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
     hits = F.array_compact(F.array(*[F.when(F.col("sentence").rlike(p), F.lit(fact)) for fact, p in patterns.items()]))
     told = rows.select("doc_id", "page", "place", "sentence", F.explode(hits).alias("fact"))
-    return told.groupBy("doc_id", "fact").agg(F.min(F.struct("page", "place", F.substring("sentence", 1, 400).alias("snippet"))).alias("m")).select("doc_id", "fact", "m.page", "m.snippet")
+    kept = [F.substring("sentence", 1, 400).alias("snippet"), *[c.alias(k) for k, c in read.items()]]
+    return told.groupBy("doc_id", "fact").agg(F.min(F.struct("page", "place", *kept)).alias("m")).select("doc_id", "fact", "m.page", "m.snippet", *[f"m.{k}" for k in read])
 
 
 def narrative(pages: DataFrame) -> DataFrame:
     """Standard negative declarations, the 75 % allotment and lock-in months, with page and snippet."""
-    found = first_hits(pages, {**DECLARATIONS, "issue_details.qib_net_offer_allocation": f"(?i){QIB}", "promoter.lock_in_months": f"(?i)(?=.*promoter).*{LOCK_IN}"})
-    low = F.lower("snippet")
+    low = F.lower("sentence")
     months = F.when(F.regexp_extract(low, LOCK_IN, 1).isin("eighteen", "18"), "18").otherwise("36")
-    return found.withColumn("value", F.when(F.col("fact").startswith("declarations."), "false").when(F.col("fact") == "promoter.lock_in_months", months).otherwise("75"))
+    value = F.when(F.col("fact").startswith("declarations."), "false").when(F.col("fact") == "promoter.lock_in_months", months).otherwise("75")
+    return first_hits(pages, {**DECLARATIONS, "issue_details.qib_net_offer_allocation": f"(?i){QIB}", "promoter.lock_in_months": f"(?i)(?=.*promoter).*{LOCK_IN}"}, value=value)
 
 
 def issue_type(head: Column) -> Column:

@@ -151,6 +151,13 @@ def test_prose(spark):
     assert {r.doc_id: r.value for r in documents.debt_total(debt).collect()} == {1: 7.0, 2: 8.0}
 
 
+def test_lock_in_is_read_beyond_the_snippet(spark):
+    said = "The promoter shares " + "described in this chapter " * 20 + "are locked-in for a period of {} months."
+    pages = spark.createDataFrame([(m, 1, said.format(m)) for m in ("eighteen", "36")], "doc_id string, page int, text string")
+    got = {r.doc_id: (r.value, len(r.snippet)) for r in documents.narrative(pages).collect()}
+    assert got == {"eighteen": ("18", 400), "36": ("36", 400)}
+
+
 def test_evidence_and_ranks(spark):
     facts = spark.createDataFrame([(1, [1, 2]), (2, [3]), (3, [])], "doc_id int, citations array<int>")
     hidden = spark.createDataFrame([(1, 1), (2, 3)], "doc_id int, page int")
