@@ -17,6 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORDS = "SELECT l_suppkey AS doc_id, l_linenumber AS page, l_orderkey AS no, CAST((l_orderkey * 7919) % 6000 AS DOUBLE) + l_orderkey / 1E8 AS x, CAST((l_orderkey * 104729) % 800 AS DOUBLE) AS y, width FROM (SELECT l_suppkey, l_linenumber, l_orderkey, MIN(l_quantity) AS width FROM lineitem GROUP BY l_suppkey, l_linenumber, l_orderkey) x"
 COLUMNS = "SELECT s_suppkey AS doc_id, p.page, c.col, CAST(c.col * 700 + (s_suppkey * 31) % 200 AS DOUBLE) AS at FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2 UNION ALL SELECT 3) p CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 7) c"
 BOXES = "SELECT s_suppkey AS doc_id, p.page, CAST(500 + (s_suppkey * 13) % 300 AS DOUBLE) AS x0, CAST(2500 + (s_suppkey * 17) % 900 AS DOUBLE) AS x1, CAST(100 + s_suppkey % 50 AS DOUBLE) AS y0, CAST(420 + s_suppkey % 99 AS DOUBLE) AS y1 FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2) p"
+#: The same columns and boxes on every page that occurs.
+_PAGES = "(SELECT DISTINCT l_suppkey AS doc_id, l_linenumber AS page FROM lineitem) p"
+ALL_COLUMNS = f"SELECT p.doc_id, p.page, c.col, CAST(c.col * 700 + (p.doc_id * 31) % 200 AS DOUBLE) AS at FROM {_PAGES} CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 7) c"
+ALL_BOXES = f"SELECT p.doc_id, p.page, CAST(500 + (p.doc_id * 13) % 300 AS DOUBLE) AS x0, CAST(2500 + (p.doc_id * 17) % 900 AS DOUBLE) AS x1, CAST(100 + p.doc_id % 50 AS DOUBLE) AS y0, CAST(420 + p.doc_id % 99 AS DOUBLE) AS y1 FROM {_PAGES}"
 TURNS = "SELECT conv_id AS doc_id, turn AS line, CASE WHEN turn % 3 = 0 THEN role END AS caption, length(text) AS size, text FROM conversations"
 TABLES = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 40 AS INT) AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey % 40, l_orderkey) AS table_no, (l_orderkey % 10) / 10E0 + l_orderkey / 1E9 AS top, (l_partkey % 10) / 10E0 AS bottom, l_linenumber % 3 AS width, CASE WHEN l_linenumber % 2 = 0 THEN 'h' END AS header, CASE WHEN l_orderkey % 4 = 0 THEN CASE l_linenumber % 5 WHEN 0 THEN 'crore' ELSE 'lakh' END END AS unit, CAST(l_linenumber AS INT) AS dates FROM (SELECT l_suppkey, l_orderkey, MIN(l_linenumber) AS l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_suppkey, l_orderkey) x"
 
@@ -65,6 +69,18 @@ def outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.inside(_words(spark, sf_dir).where("page <= 2").select("doc_id", "page", "no", "x", "y"), portable(spark, sf_dir, BOXES), outside=True).select("doc_id", "page", "no")
 
 
+def nearest_column_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.nearest_column(_words(spark, sf_dir), portable(spark, sf_dir, ALL_COLUMNS), 0.25).select("doc_id", "page", "no", "col")
+
+
+def band_assign_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.banded(_words(spark, sf_dir).select("doc_id", "page", "no", "x"), portable(spark, sf_dir, ALL_COLUMNS).withColumnRenamed("at", "x"))
+
+
+def outside_boxes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.inside(_words(spark, sf_dir).select("doc_id", "page", "no", "x", "y"), portable(spark, sf_dir, ALL_BOXES), outside=True).select("doc_id", "page", "no")
+
+
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.carried(portable(spark, sf_dir, TURNS), ["doc_id"], "line", "caption", 10).select("doc_id", "line", "caption_above")
 
@@ -118,7 +134,7 @@ def scanned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BAND = f"SELECT w.doc_id, w.page, w.no, c.col FROM (SELECT * FROM ({WORDS}) a WHERE page <= 3) w ASOF LEFT JOIN ({COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x >= c.at"
 _IN = f"EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.doc_id = w.doc_id AND b.page = w.page AND w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 AND b.y1)"
-QUERIES: dict[str, Query] = {f.__name__: f for f in (page_lines, page_cells, column_anchors, page_blocks, statement_segments, nearest_column, band_assign, point_in_box, outside_boxes, carry_forward, lookback_context, stitch, unit_donors, header_inheritance, label_column, transposed_tables, header_wording, slot_clashes, joined_numbers, image_coverage, scanned_statements)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (page_lines, page_cells, column_anchors, page_blocks, statement_segments, nearest_column, band_assign, point_in_box, outside_boxes, nearest_column_all, band_assign_all, outside_boxes_all, carry_forward, lookback_context, stitch, unit_donors, header_inheritance, label_column, transposed_tables, header_wording, slot_clashes, joined_numbers, image_coverage, scanned_statements)}
 ORACLE: dict[str, str] = {
     "page_cells": f"WITH w AS (SELECT doc_id, page, no, x, width FROM ({WORDS}) a), s AS (SELECT *, quantile_cont(width / 5, 0.5) OVER (PARTITION BY doc_id, page) AS sp, x - lag(x + width) OVER (PARTITION BY doc_id, page ORDER BY x) AS gap FROM w) SELECT doc_id, page, no, CAST(sum(CASE WHEN gap IS NULL OR gap > 2.2 * sp THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM s",
     "column_anchors": f"WITH s AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) AS gap FROM ({WORDS}) a), g AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS anchor FROM s) SELECT doc_id, page, anchor, round(quantile_cont(x, 0.5), 3) AS at, count(*) AS n FROM g GROUP BY doc_id, page, anchor",
@@ -138,6 +154,9 @@ ORACLE: dict[str, str] = {
     "slot_clashes": "SELECT l_orderkey AS doc_id, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_suppkey % 5) > 1 AS clash FROM lineitem",
     "image_coverage": f"SELECT doc_id, page, round(least(1.0, sum((x1 - x0) * (y1 - y0)) / 4e6), 9) AS coverage FROM ({BOXES}) b GROUP BY doc_id, page",
 }
+ORACLE["nearest_column_all"] = f"WITH m AS (SELECT w.doc_id, w.page, w.no, c.col, abs(w.x - c.at) AS away, row_number() OVER (PARTITION BY w.doc_id, w.page, w.no ORDER BY abs(w.x - c.at), c.col) AS r FROM ({WORDS}) w JOIN ({ALL_COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page) SELECT doc_id, page, no, col FROM m WHERE r = 1 AND away <= 175"
+ORACLE["band_assign_all"] = f"SELECT w.doc_id, w.page, w.no, c.col FROM ({WORDS}) w ASOF LEFT JOIN ({ALL_COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x >= c.at"
+ORACLE["outside_boxes_all"] = f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE NOT EXISTS (SELECT 1 FROM ({ALL_BOXES}) b WHERE b.doc_id = w.doc_id AND b.page = w.page AND w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 AND b.y1)"
 ORACLE["joined_numbers"] = f"""
     WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber * 10 AS x0, l_linenumber * 10 + 7 + l_partkey % 4 AS x1, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS text FROM {LINES}),
     c AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id ORDER BY x0) <= 2, FALSE) AS close FROM t),

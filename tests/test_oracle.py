@@ -44,6 +44,13 @@ def test_query_matches_sql(spark, duck, name):
     assert canonical(got) == canonical(want)
 
 
+@pytest.mark.parametrize("name", ["nearest_column_all", "band_assign_all", "outside_boxes_all"])
+def test_geometry_reaches_every_page(spark, duck, name):
+    pages = {p for (p,) in duck.sql("SELECT DISTINCT l_linenumber FROM lineitem").fetchall()}
+    got = registry.QUERIES[name](spark, SF).toPandas()
+    assert set(got["page"]) == pages and (name != "band_assign_all" or len(got) == duck.sql("SELECT DISTINCT l_suppkey, l_linenumber, l_orderkey FROM lineitem").df().shape[0])
+
+
 def test_registered_names_are_callable():
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known) and all(map(callable, known.values()))
