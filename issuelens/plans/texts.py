@@ -90,10 +90,18 @@ def sector_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.sectors(pages, front=10**12, found={"lender": (r"(?i)\bthe\b", 30), "real_estate": (r" (?:und|der) ", 30)})
 
 
+TYPE_HEADS = ["DRAFT RED HERRING PROSPECTUS dated", "Red Herring Prospectus", "prospectus", "Annual Report 2024", "Report of the auditor", "minutes"]
+ISSUE_HEADS = ["a fresh issue and an offer for sale", "a fresh issue aggregating up to ₹7,000 million", "an offer for sale of Rs. 1,200.50 lakhs", "made pursuant to Regulation 6(1) of the regulations", "made pursuant to Regulation 6 (2) of them"]
+
+
+def _whole_texts(spark: SparkSession, sf_dir: str, heads: list[str]) -> DataFrame:
+    """Whole texts with wording added at their end, so that all of a text is searched before it."""
+    rows = portable(spark, sf_dir, "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+    return rows.select("doc_id", F.concat("text", F.lit(" "), _element(heads, "doc_id")).alias("t"))
+
+
 def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = ["DRAFT RED HERRING PROSPECTUS dated", "Red Herring Prospectus", "prospectus", "Annual Report 2024", "Report of the auditor", "minutes"]
-    rows = portable(spark, sf_dir, "SELECT doc_id, substr(text, 1, 200) AS head FROM documents")
-    return rows.select("doc_id", d.document_type(F.concat("head", F.lit(" "), _element(heads, "doc_id"))).alias("doc_type"))
+    return _whole_texts(spark, sf_dir, TYPE_HEADS).select("doc_id", d.document_type(F.col("t")).alias("doc_type"))
 
 
 def narrative_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,8 +110,7 @@ def narrative_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def issue_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = ["a fresh issue and an offer for sale", "a fresh issue aggregating up to ₹7,000 million", "an offer for sale of Rs. 1,200.50 lakhs", "made pursuant to Regulation 6(1) of the regulations", "made pursuant to Regulation 6 (2) of them"]
-    rows = portable(spark, sf_dir, "SELECT doc_id FROM documents").withColumn("t", _element(heads, "doc_id"))
+    rows = _whole_texts(spark, sf_dir, ISSUE_HEADS)
     return rows.select("doc_id", d.issue_type(F.col("t")).alias("issue_type"), d.route(F.col("t")).alias("route"), F.size(d.amounts(F.col("t"))).alias("n_amounts"))
 
 
@@ -179,3 +186,11 @@ ORACLE: dict[str, str] = {
     "tabular_pages": "SELECT o_custkey AS doc_id, 1 AS page, count(*) FILTER (WHERE o_orderkey % 4 = 0) >= 2 OR count(*) FILTER (WHERE o_orderkey % 4 = 1) >= 4 AS tabular FROM orders GROUP BY o_custkey",
     "monitoring_agency": "SELECT o_custkey AS doc_id, CAST(bool_or(o_orderkey % 11 = 0) AS INT) AS appointed FROM orders GROUP BY o_custkey HAVING bool_or(o_orderkey % 11 = 0) <> bool_or(o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0)",
 }
+# The SQL of doc_type and issue_prose goes by the wording alone; the same queries again, with SQL that searches the texts as well.
+QUERIES |= {"doc_type_whole": doc_type, "issue_prose_whole": issue_prose}
+_WHOLE = "SELECT doc_id, coalesce(text, '') || ' ' || {} AS t FROM documents"
+ORACLE["doc_type_whole"] = f"WITH w AS ({_WHOLE.format(_case('doc_id', TYPE_HEADS))}) SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(t), '{words}') THEN '{kind}'" for words, kind in d.TYPES) + " END AS doc_type FROM w"
+ORACLE["issue_prose_whole"] = f"""
+    WITH w AS ({_WHOLE.format(_case('doc_id', ISSUE_HEADS))}), f AS (SELECT *, contains(lower(t), 'fresh issue') AS fresh, contains(lower(t), 'offer for sale') AS ofs, regexp_extract(t, '{d.ROUTE}', 1) AS r FROM w)
+    SELECT doc_id, CASE WHEN fresh AND ofs THEN 'mixed' WHEN fresh THEN 'fresh' WHEN ofs THEN 'offer_for_sale' END AS issue_type, CASE WHEN r <> '' THEN '6(' || r || ')' END AS route, CAST(len(regexp_extract_all(lower(t), '{d.AMOUNT}')) AS INT) AS n_amounts FROM f
+"""

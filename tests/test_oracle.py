@@ -51,6 +51,20 @@ def test_geometry_reaches_every_page(spark, duck, name):
     assert set(got["page"]) == pages and (name != "band_assign_all" or len(got) == duck.sql("SELECT DISTINCT l_suppkey, l_linenumber, l_orderkey FROM lineitem").df().shape[0])
 
 
+def test_whole_texts_are_searched(spark, duck, tmp_path):
+    """Words after character 200 of a given text decide, and the SQL finds them too."""
+    far = "word " * 100
+    rows = [(5, far + "Draft Red Herring Prospectus and a fresh issue of Rs. 5 crore"), (11, far + "annual report"), (17, None), (23, far + "made pursuant to Regulation 6(2) of the rules, ₹ 7 million or INR 8 lakh")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {"doc_type_whole": {5: ("drhp",), 11: ("annual_report",), 17: (None,), 23: (None,)}, "issue_prose_whole": {5: ("mixed", None, 1), 11: ("fresh", None, 1), 17: ("offer_for_sale", None, 1), 23: (None, "6(2)", 2)}}
+    for name, expected in want.items():
+        for query in (name, name.removesuffix("_whole")):
+            assert {r[0]: tuple(r[1:]) for r in registry.QUERIES[query](spark, str(tmp_path)).collect()} == expected
+        assert {r[0]: r[1:] for r in con.sql(registry.ORACLE[name]).fetchall()} == expected
+
+
 def test_registered_names_are_callable():
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known) and all(map(callable, known.values()))
