@@ -1,4 +1,4 @@
-"""Pages and prose: classes of pages, document types, sectors, narrative facts, issue amounts."""
+"""Pages and prose: classes of pages, document types, sectors, narrative facts, issue amounts."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""From words on a page to lines, cells, columns and tables.
+"""From words on a page to lines, cells, columns and tables.
 
 Everything joins or windows on (doc_id, page) first; only running means and carried state fold in Python, a page (or a
 document's few hundred pages) at a time.
