@@ -11,14 +11,19 @@ A byte goes if it lies in a string of SPAN bytes that also starts earlier (in an
    the tree of common-prefix intervals. Each interval of prefix p is a set of occurrences; its left extensions are
    compared, and an occurrence whose longest left extension shared with an earlier one is q belongs to a maximal repeat
    of q + p bytes, all of whose occurrences but the first go if that is SPAN or more.
-4. Anchors that very many contexts share (found on a sample of documents, which decides how they are handled, not what is
-   found) would meet in one slice. Theirs are exploded into windows, whose first places are found by a sum over hashes.
+4. Anchors with more contexts than one task should hold (found on a sample of documents, which decides how they are
+   handled, not what is found) don't meet. Theirs are exploded into windows; each task folds equal ones, and their first
+   places are found by a sum over hashes.
 5. The spans of each document meet its text, which was dealt out once and is read twice.
 
 Contexts are compared as two 64-bit hashes in steps 1, 2 and 4 and byte by byte in step 3.
 
+A document is known by its doc_id and a 64-bit hash of its text, and documents are ordered by these two.
+
 Defined cases: null text is empty; texts below SPAN bytes lose nothing; a null doc_id counts as the least of all; rows
-that repeat a doc_id are one document (its own copy is no earlier occurrence), so spans of either apply to both.
+that share a doc_id (or have none) and differ in text are different documents, in the order of the hash of their text;
+rows that repeat both are one document, whose own copy is no earlier occurrence; an empty table gives an empty result;
+columns beside doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -39,7 +44,10 @@ LEFT = REACH - 1
 WIDE = LEFT + SPAN
 PIECE = 1 << 18
 FLUSH = 125_000
-SAMPLE_OF, HOT_SHARE, HOT_LEAST = 64, 0.002, 200
+#: Anchors with HOT_LEAST different contexts in one document of SAMPLE_OF (some 64,000 in all, 10 MB) don't meet in a task.
+SAMPLE_OF, HOT_LEAST, HOT_BITS = 64, 1000, 26
+#: A place, the bytes at hand left of it (64 at most) and right of it (100 at most) in one number.
+ROOM = 1 << 14
 NO_ID = -(1 << 63)
 _BASES = tuple((np.uint64(b), np.uint64(pow(b, -1, 1 << 64))) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 
@@ -92,6 +100,33 @@ class Laid:
         return place, np.searchsorted(self.start, place, "right") - 1
 
 
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rank of each row among the distinct rows of some columns, and the distinct rows in order."""
+    order = np.lexsort(keys[::-1])
+    rows = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in rows], axis=0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank, [k[new] for k in rows]
+
+
+def _runs_of(own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each value that occurs, and where."""
+    order = np.argsort(own, kind="stable")
+    cut = np.flatnonzero(np.diff(own[order], prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(own))):
+        yield int(own[order[a]]), order[a:b]
+
+
+def _in(crowd: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes a filter of bits holds (by their first HOT_BITS bits)."""
+    if not len(crowd):
+        return np.zeros(len(h), bool)
+    at = h >> np.uint64(64 - HOT_BITS)
+    return (crowd[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
 def _anchored(texts: list[bytes], ids: np.ndarray) -> dict[str, np.ndarray]:
     """gram and context hashes, doc, place, and bytes at hand on the left and the right, of all anchors."""
     laid = Laid(texts)
@@ -107,7 +142,7 @@ def _windows(texts: list[bytes], ids: np.ndarray, hot: np.ndarray) -> Iterator[t
     """Both hashes, doc and place of each window around the anchors whose gram hash is hot."""
     laid = Laid(texts)
     place, text = laid.anchors()
-    keep = np.isin(laid.hashes(place, GRAM), hot)
+    keep = _in(hot, laid.hashes(place, GRAM))
     place, text = place[keep], text[keep]
     for back in range(LEFT + 1):
         begin = place - back
@@ -155,103 +190,119 @@ def _covered(a: dict[str, np.ndarray], later: np.ndarray) -> tuple[np.ndarray, n
     return merged(a["doc"][later], (a["at"] - a["left"])[later], (a["at"] + a["right"])[later])
 
 
-ANCHORS = "slice int, spans boolean, h array<long>, c array<long>, doc array<long>, at array<long>, room array<int>"
+ANCHORS = "slice int, spans boolean, h array<long>, c array<long>, doc array<long>, sub array<long>, at array<long>"
+
+
+class Held:
+    """What the texts of a task give, with the keys of the texts, until there is enough of it to pass on."""
+
+    def __init__(self):
+        self.parts: list[dict[str, np.ndarray]] = []
+        self.keys: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.texts = 0
+
+    def add(self, part: dict[str, np.ndarray], did: np.ndarray, sub: np.ndarray) -> None:
+        """part["doc"] counts the texts of did and sub."""
+        self.parts.append(part | {"doc": part["doc"] + self.texts})
+        self.keys.append((did, sub))
+        self.size, self.texts = self.size + len(part["doc"]), self.texts + len(did)
+
+    def take(self) -> tuple[dict[str, np.ndarray], np.ndarray, list[np.ndarray]]:
+        """All, the first of each gram and context marked; doc counts the rows of the keys, which come last."""
+        rank, keys = _ranked(*(np.concatenate([k[i] for k in self.keys]) for i in (0, 1)))
+        a = _joined(self.parts)
+        a["doc"] = rank[a["doc"]]
+        self.__init__()
+        return *_first_seen(a), keys
+
+
+def _keyed(batch: pd.DataFrame) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """Texts of a batch in pieces, with their keys."""
+    texts, did, sub = batch["text"].tolist(), batch["did"].to_numpy(np.int64), batch["sub"].to_numpy(np.int64)
+    for i, j in runs([len(t) + SPAN for t in texts], PIECE):
+        yield texts[i:j], did[i:j], sub[i:j]
 
 
 def _dealt(slices: int, hot: np.ndarray):
     """Anchors of a task by slice, and the spans it is sure of."""
 
-    def flush(parts: list[dict[str, np.ndarray]], turn: int) -> pd.DataFrame:
-        a, new = _first_seen(_joined(parts))
+    def flush(held: Held, turn: int) -> pd.DataFrame:
+        a, new, (did, sub) = held.take()
         doc, start, end = _covered(a, ~new)
-        cold = new & ~np.isin(a["h"], hot)
+        cold = new & ~_in(hot, a["h"])
         a = {k: v[cold] for k, v in a.items()}
-        own = (a["h"] >> np.uint64(33)).astype(np.int64) % slices
-        order = np.argsort(own, kind="stable")
-        cut = np.searchsorted(own[order], np.arange(slices + 1))
-        room = (a["left"] * 128 + a["right"]).astype(np.int32)
+        at = a["at"] * ROOM + a["left"] * 128 + a["right"]
         rows = []
-        for s in range(slices):
-            r = order[cut[s] : cut[s + 1]]
-            if len(r):
-                rows.append((s, False, a["h"][r].astype(np.int64), a["c"][r].astype(np.int64), a["doc"][r], a["at"][r], room[r]))
+        for s, r in _runs_of((a["h"] >> np.uint64(33)).astype(np.int64) % slices):
+            rows.append((s, False, a["h"][r].astype(np.int64), a["c"][r].astype(np.int64), did[a["doc"][r]], sub[a["doc"][r]], at[r]))
         if len(doc):
-            none = np.zeros(0, np.int64)
-            rows.append((turn % slices, True, end, none, doc, start, none.astype(np.int32)))
-        return pd.DataFrame(rows, columns=["slice", "spans", "h", "c", "doc", "at", "room"])
+            rows.append((turn % slices, True, end, np.zeros(0, np.int64), did[doc], sub[doc], start))
+        give_back()
+        return pd.DataFrame(rows, columns=["slice", "spans", "h", "c", "doc", "sub", "at"])
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts, held, turn = [], 0, 0
+        held, turn = Held(), 0
         for batch in batches:
-            texts, ids = batch["text"].tolist(), batch["did"].to_numpy(np.int64)
-            for i, j in runs([len(t) + SPAN for t in texts], PIECE):
-                parts.append(_anchored(texts[i:j], ids[i:j]))
-                held += len(parts[-1]["h"])
-                if held >= FLUSH:
-                    yield flush(parts, turn)
-                    parts, held, turn = [], 0, turn + 1
-                    give_back()
-        if held:
-            yield flush(parts, turn)
-        parts.clear()
-        give_back()
+            for texts, did, sub in _keyed(batch):
+                held.add(_anchored(texts, np.arange(len(texts))), did, sub)
+                if held.size >= FLUSH:
+                    yield flush(held, turn)
+                    turn += 1
+        if held.size:
+            yield flush(held, turn)
 
     return deal
 
 
-FOUND = "boundary boolean, did long, a long, b long"
+FOUND = "boundary boolean, did long, sub long, a long, b long"
 
 
 def _sorted_out(rows: pd.DataFrame) -> pd.DataFrame:
     """One slice: spans that repeat for certain (a to b), and boundaries (place a, gram hash b)."""
     join = lambda k, of: np.concatenate([np.asarray(x, np.int64) for x in of[k]] or [np.zeros(0, np.int64)])
     sure, rest = rows[rows["spans"]], rows[~rows["spans"]]
-    a = {"h": join("h", rest).astype(np.uint64), "c": join("c", rest).astype(np.uint64), "doc": join("doc", rest), "at": join("at", rest)}
-    room = join("room", rest)
-    a["left"], a["right"] = room // 128, room % 128
-    ordered = np.sort(a["h"])
-    shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-    keep = np.isin(a["h"], shared)
-    a, new = _first_seen({k: v[keep] for k, v in a.items()})
+    h = join("h", rest).astype(np.uint64)
+    ordered = np.sort(h)
+    keep = np.isin(h, np.unique(ordered[1:][ordered[1:] == ordered[:-1]]))
+    n = int(keep.sum())
+    rank, (did, sub) = _ranked(*(np.concatenate([join(k, rest)[keep], join(k, sure)]) for k in ("doc", "sub")))
+    place = join("at", rest)[keep]
+    room = place % ROOM
+    a = {"h": h[keep], "c": join("c", rest)[keep].astype(np.uint64), "doc": rank[:n], "at": place // ROOM, "left": room // 128, "right": room % 128}
+    a, new = _first_seen(a)
     doc, start, end = _covered(a, ~new)
     first = {k: v[new] for k, v in a.items()}
     several = np.zeros(len(first["h"]), bool)
     same = first["h"][1:] == first["h"][:-1]
     several[1:] |= same
     several[:-1] |= same
-    doc, start, end = merged(np.concatenate([doc, join("doc", sure)]), np.concatenate([start, join("at", sure)]), np.concatenate([end, join("h", sure)]))
-    n, m = len(doc), int(several.sum())
+    doc, start, end = merged(np.concatenate([doc, rank[n:]]), np.concatenate([start, join("at", sure)]), np.concatenate([end, join("h", sure)]))
+    every = np.concatenate([doc, first["doc"][several]])
     give_back()
-    return pd.DataFrame({"boundary": np.arange(n + m) >= n, "did": np.concatenate([doc, first["doc"][several]]), "a": np.concatenate([start, first["at"][several]]), "b": np.concatenate([end, first["h"][several].astype(np.int64)])})
+    return pd.DataFrame({
+        "boundary": np.arange(len(every)) >= len(doc), "did": did[every], "sub": sub[every], "a": np.concatenate([start, first["at"][several]]), "b": np.concatenate([end, first["h"][several].astype(np.int64)]),
+    })
 
 
-CONTEXTS = "slice int, doc array<long>, at array<long>, room array<int>, context binary"
+CONTEXTS = "slice int, doc array<long>, sub array<long>, at array<long>, context binary"
 
 
 def _contexts(slices: int):
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pad = bytes(SPAN)
         for batch in batches:
-            doc, at, h, cut, room = [], [], [], [], []
-            for did, text, marks in zip(batch["did"], batch["text"], batch["marks"]):
-                laid = pad + text + pad
-                for m in marks:
-                    p = m["a"]
-                    doc.append(did)
-                    at.append(p)
-                    h.append(m["b"])
-                    room.append(min(p, LEFT) * 128 + min(len(text) - p, SPAN))
-                    cut.append(laid[p + SPAN - LEFT : p + SPAN + SPAN])
-            own = (np.array(h, np.int64).astype(np.uint64) >> np.uint64(33)).astype(np.int64) % slices
-            order = np.lexsort((np.array(h, np.int64), own))
-            bound = np.searchsorted(own[order], np.arange(slices + 1))
-            doc, at, room = np.array(doc, np.int64), np.array(at, np.int64), np.array(room, np.int32)
-            rows = []
-            for s in range(slices):
-                r = order[bound[s] : bound[s + 1]]
-                if len(r):
-                    rows.append((s, doc[r], at[r], room[r], b"".join(cut[k] for k in r)))
-            yield pd.DataFrame(rows, columns=["slice", "doc", "at", "room", "context"])
+            cut, at = [], []
+            for text, place in zip(batch["text"], batch["a"]):
+                place = np.asarray(place, np.int64)
+                laid = np.frombuffer(pad + text + pad, np.uint8)
+                cut.append(laid[(place + SPAN - LEFT)[:, None] + np.arange(WIDE)])
+                at.append(place * ROOM + np.minimum(place, LEFT) * 128 + np.minimum(len(text) - place, SPAN))
+            many = [len(x) for x in at]
+            cut, at = np.concatenate(cut), np.concatenate(at)
+            did, sub = (np.repeat(batch[k].to_numpy(np.int64), many) for k in ("did", "sub"))
+            h = np.concatenate([np.asarray(x, np.int64) for x in batch["b"]]).astype(np.uint64)
+            rows = [(s, did[r], sub[r], at[r], cut[r].tobytes()) for s, r in _runs_of((h >> np.uint64(33)).astype(np.int64) % slices)]
+            yield pd.DataFrame(rows, columns=["slice", "doc", "sub", "at", "context"])
             give_back()
 
     return fetch
@@ -335,88 +386,101 @@ def maximal_repeats(context: np.ndarray, doc: np.ndarray, at: np.ndarray, left:
 
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     context = np.frombuffer(b"".join(rows["context"]), np.uint8).reshape(-1, WIDE)
-    doc, at, room = (np.concatenate([np.asarray(x, np.int64) for x in rows[k]]) for k in ("doc", "at", "room"))
+    doc, sub, at = (np.concatenate([np.asarray(x, np.int64) for x in rows[k]]) for k in ("doc", "sub", "at"))
+    rank, (did, sub) = _ranked(doc, sub)
     # A repeated row brings its contexts again; the same place is no second occurrence.
-    _, once = np.unique(np.stack([doc, at], 1), axis=0, return_index=True)
-    context, doc, at, room = context[once], doc[once], at[once], room[once]
-    found = maximal_repeats(context, doc, at, room // 128, room % 128)
+    _, once = np.unique(np.stack([rank, at], 1), axis=0, return_index=True)
+    context, rank, at, room = context[once], rank[once], at[once] // ROOM, at[once] % ROOM
+    doc, start, end = maximal_repeats(context, rank, at, room // 128, room % 128)
     give_back()
-    return pd.DataFrame(dict(zip(("did", "a", "b"), found)))
+    return pd.DataFrame({"did": did[doc], "sub": sub[doc], "a": start, "b": end})
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for text, spans in zip(batch["text"], batch["spans"]):
-            found = [(s["a"], min(s["b"], len(text))) for s in spans] if spans is not None else []
-            kept, at, runs_, gone = [], 0, [], 0
-            for a, b in sorted(x for x in found if x[1] - x[0] > 0):
-                if runs_ and a <= runs_[-1][1]:
-                    runs_[-1][1] = max(b, runs_[-1][1])
-                else:
-                    runs_.append([a, b])
-            for a, b in runs_:
-                kept.append(text[at:a])
-                at, gone = b, gone + b - a
-            kept.append(text[at:])
-            rows.append((len(text), gone, [{"start": a, "end": b} for a, b in runs_], b"".join(kept)))
+        for text, a, b in zip(batch["text"], batch["a"], batch["b"]):
+            start, end = (np.asarray(x if x is not None else [], np.int64) for x in (a, b))
+            _, start, end = merged(np.zeros(len(start), np.int64), start, np.minimum(end, len(text)))
+            spans = list(zip(start.tolist(), end.tolist()))
+            kept = b"".join(text[i:j] for i, j in zip([0, *end.tolist()], [*start.tolist(), len(text)]))
+            rows.append((len(text), len(text) - len(kept), [{"start": i, "end": j} for i, j in spans], kept))
         yield batch[["doc_id"]].reset_index(drop=True).join(pd.DataFrame(rows, columns=["n_bytes", "n_removed", "removed", "kept"]))
         del rows, batch
         give_back()
 
 
 def hot_grams(texts: DataFrame) -> np.ndarray:
-    """Hashes of grams that over HOT_SHARE of the documents hold in different contexts, on one document of SAMPLE_OF."""
+    """A filter of 2^HOT_BITS bits (8 MB at any size) of the grams found in HOT_LEAST different contexts on one document of SAMPLE_OF; empty if there are none."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            own, ids = batch["text"].tolist(), batch["did"].to_numpy(np.int64)
-            for i, j in runs([len(t) + SPAN for t in own], PIECE):
-                a = _anchored(own[i:j], ids[i:j])
+            for own, did, _ in _keyed(batch):
+                a = _anchored(own, np.arange(len(did)))
                 yield pd.DataFrame({"h": a["h"].astype(np.int64), "c": a["c"].astype(np.int64)})
 
-    sample = texts.where(F.pmod(F.xxhash64("did"), F.lit(SAMPLE_OF)) == 0)
-    least = max(HOT_LEAST, int(HOT_SHARE * sample.select("did").count()))
-    often = sample.mapInPandas(count, "h long, c long").distinct().groupBy("h").count().where(F.col("count") >= least)
-    return np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64).astype(np.uint64))
+    sample = texts.where(F.pmod(F.xxhash64("did", "sub"), F.lit(SAMPLE_OF)) == 0)
+    often = sample.mapInPandas(count, "h long, c long").distinct().groupBy("h").count().where(F.col("count") >= HOT_LEAST)
+    bit = often.select(F.shiftrightunsigned("h", 64 - HOT_BITS).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    crowd = np.zeros(1 << (HOT_BITS - 6), np.uint64)
+    crowd[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint64)
+    return crowd
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, removed (spans) and kept (bytes) for each row of docs (doc_id, text)."""
     small_batches(docs.sparkSession)
-    source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text_bytes().alias("text"))
+    source = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), text_bytes().alias("text")).withColumn("sub", F.xxhash64("text"))
     slices = max(8, 4 * splits(docs))
     hot = hot_grams(source)
-    dealt = source.select("did", "text").mapInPandas(_dealt(slices, hot), ANCHORS)
+    dealt = source.select("did", "sub", "text").mapInPandas(_dealt(slices, hot), ANCHORS)
     found = written(dealt.groupBy("slice").applyInPandas(_sorted_out, FOUND))
 
-    texts = source.repartition("did")
-    marks = found.where("boundary").groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    contexts = texts.join(marks, "did").select("did", "text", "marks").mapInPandas(_contexts(slices), CONTEXTS)
-    spans = found.where("not boundary").select("did", "a", "b").unionByName(contexts.groupBy("slice").applyInPandas(_repeated, "did long, a long, b long"))
+    texts = source.repartition("did", "sub")
+    of_document = lambda rows, name: rows.groupBy("did", "sub").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    marks = texts.join(of_document(found.where("boundary"), "marks"), ["did", "sub"]).select("did", "sub", "text", "marks.a", "marks.b")
+    contexts = marks.mapInPandas(_contexts(slices), CONTEXTS)
+    spans = found.where("not boundary").select("did", "sub", "a", "b").unionByName(contexts.groupBy("slice").applyInPandas(_repeated, "did long, sub long, a long, b long"))
     if len(hot):
-        spans = spans.unionByName(_hot_spans(source.select("did", "text"), hot))
-    spans = spans.groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+        spans = spans.unionByName(_hot_spans(source.select("did", "sub", "text"), hot))
     id_type = dict(docs.dtypes)["doc_id"]
     shape = f"doc_id {id_type}, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary"
-    return texts.join(spans, "did", "left").select("doc_id", "text", "spans").mapInPandas(_cut, shape)
+    return texts.join(of_document(spans, "spans"), ["did", "sub"], "left").select("doc_id", "text", "spans.a", "spans.b").mapInPandas(_cut, shape)
 
 
 def _hot_spans(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     """Spans of windows around hot anchors that an earlier window equals."""
 
+    def flush(held: Held) -> pd.DataFrame:
+        a, new, (did, sub) = held.take()
+        doc, start, end = _covered(a, ~new)
+        every = np.concatenate([doc, a["doc"][new]])
+        none = np.zeros(len(doc), np.int64)
+        give_back()
+        return pd.DataFrame({
+            "sure": np.arange(len(every)) < len(doc), "w1": np.concatenate([none, a["h"][new].astype(np.int64)]), "w2": np.concatenate([none, a["c"][new].astype(np.int64)]),
+            "did": did[every], "sub": sub[every], "a": np.concatenate([start, a["at"][new]]), "b": np.concatenate([end, a["at"][new] + SPAN]),
+        })
+
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Held()
         for batch in batches:
-            own, ids = batch["text"].tolist(), batch["did"].to_numpy(np.int64)
-            for i, j in runs([len(t) + SPAN for t in own], PIECE):
-                parts = list(_windows(own[i:j], ids[i:j], hot))
-                w1, w2, doc, at = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                yield pd.DataFrame({"w1": w1.astype(np.int64), "w2": w2.astype(np.int64), "did": doc, "at": at})
-
-    windows = written(texts.mapInPandas(explode, "w1 long, w2 long, did long, at long"))
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("did", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = windows.join(first, ["w1", "w2"]).where(F.struct("did", "at") > F.col("first"))
-    return later.select("did", F.col("at").alias("a"), (F.col("at") + SPAN).alias("b"))
+            for own, did, sub in _keyed(batch):
+                w1, w2, doc, at = (np.concatenate(p) for p in zip(*_windows(own, np.arange(len(own)), hot)))
+                held.add({"h": w1, "c": w2, "doc": doc, "at": at, "left": np.zeros(len(at), np.int64), "right": np.full(len(at), SPAN)}, did, sub)
+                if held.size >= 4 * FLUSH:
+                    yield flush(held)
+        if held.size:
+            yield flush(held)
+
+    windows = written(texts.mapInPandas(explode, "sure boolean, w1 long, w2 long, did long, sub long, a long, b long"))
+    place = F.struct("did", "sub", "a")
+    first = windows.where("not sure").groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = windows.where("not sure").join(first, ["w1", "w2"]).where(place > F.col("first"))
+    return windows.where("sure").select("did", "sub", "a", "b").unionByName(later.select("did", "sub", "a", "b"))
 
 
 def digest(cut: DataFrame) -> DataFrame:
