@@ -227,15 +227,41 @@ def test_mixed_documents_repeat_whole_rows(docs):
     assert all(seen[k] == taken[k] * twice[k] for k in twice)
 
 
-def test_pareto_sample_follows_the_odds(spark):
-    """Of equal documents wanted to a third, about a third is taken, and longer ones no less often than short ones."""
-    rows = [(i, " ".join(["w"] * (20 if i % 2 else 400)), f"s{i % 3}") for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
-    for _, g in out.groupby("source"):
-        f = g["target"].iloc[0] / g["source_size"].iloc[0] % 1
-        if 0.05 < f < 0.95:
-            extra = g["copies"] - g["copies"].min()
-            assert extra[g["size"] == 400].mean() > extra[g["size"] == 20].mean()
+def test_pareto_sample_has_the_stated_probabilities(spark):
+    """Over many seeds, each size is sampled as often as its calibrated probability says, and the expected words are those wanted."""
+    sizes = [20] * 600 + [64] * 400 + [400] * 200
+    rows = [(i, " ".join(["w"] * n), "s0") for i, n in enumerate(sizes)] + [(1000, "w " * 90_000, "s1"), (1001, "w " * 90_000, "s2")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).persist()
+    want = 0.4 * sum(sizes)
+    plan = spark.createDataFrame([("s0", want)], "source string, want double")
+    c = mixing.odds_scale(frame.select("source", F.size(F.split("text", " ")).cast("long").alias("size")), plan).first()["scale"]
+    p = {n: min(1.0, c * n / (n + 64)) for n in set(sizes)}
+    assert math.isclose(sum(n * p[n] for n in sizes), want, rel_tol=1e-9)
+    hits, runs = collections.Counter(), 3
+    for seed in range(runs):
+        out = mixing.mix(frame, weights=(0.4 * sum(sizes), 90_000, 90_000), share=(0.4 * sum(sizes) + 180_000) / (sum(sizes) + 180_000), seed=seed).where("source = 's0'").select("size", "copies", "taken").collect()
+        assert abs(sum(r.taken for r in out) - want) <= 200
+        hits.update(r["size"] for r in out if r["copies"] > 0)
+    for n in p:
+        assert abs(hits[n] / runs / sizes.count(n) - p[n]) < 0.05
+
+
+def test_certain_documents_hold_their_probability_to_one(spark):
+    sizes = [1] * 50 + [5000]
+    frame = spark.createDataFrame([("s", n) for n in sizes], "source string, size long")
+    for want in (5020.0, 100.0, 5049.5):
+        c = mixing.odds_scale(frame, spark.createDataFrame([("s", want)], "source string, want double")).first()["scale"]
+        assert math.isclose(sum(n * min(1.0, c * n / (n + 64)) for n in sizes), want, rel_tol=1e-9)
+
+
+def test_repeated_rows_are_split_at_the_cut(spark):
+    """Rows that repeat one document, with and without an id, are taken to within one document of the target."""
+    for name in (None, 5):
+        rows = [(name, "w " * 20, "s0")] * 2000 + [(i, "v " * 9000, "s1") for i in range(10, 12)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+        out = mixing.mix(frame, weights=(1, 7.5), share=0.5).toPandas()
+        s0 = out[out["source"] == "s0"]
+        assert len(out) == len(rows) and 0 < s0["target"].iloc[0] < 40_000 and abs(s0["taken"].sum() - s0["target"].iloc[0]) <= 20
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------
