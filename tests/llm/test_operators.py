@@ -137,12 +137,41 @@ def test_patience_alignment_is_a_rising_set_of_equal_words():
 def test_license_scan_finds_notices_and_leaves_prose_alone(spark):
     prose = "the work is open and under the usual terms " * 30
     header = licenses.TEMPLATES["Apache-2.0-header"].replace(" ", "\n * ")
-    texts = [prose, prose + "\nReleased under the MIT License.\n" + prose, header, "This work is licensed under the GNU General Public License, version 3.", None, "", "LICENSED under CC BY-NC 4.0", "licensed MIT the under License released"]
-    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license", F.lit("clash"))).orderBy("doc_id").collect()
-    assert [r.licenses.license for r in out] == [None, "MIT", "Apache-2.0-header", "GPL-3.0", None, None, "CC-BY-NC-4.0", None]
+    texts = [prose, prose + "\nReleased under the MIT License.\n" + prose, header, "This work is licensed under the GNU General Public License, version 3.", None, "", "LICENSED under CC BY-NC 4.0", "licensed MIT the under License released", licenses.TEMPLATES["BSD-3-Clause"], licenses.TEMPLATES["BSD-2-Clause"]]
+    out = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("license", F.lit("clash")).withColumn("licenses", F.lit("gone"))).orderBy("doc_id").collect()
+    assert [r.licenses.license for r in out] == [None, "MIT", "Apache-2.0-header", "GPL-3.0", None, None, "CC-BY-NC-4.0", None, "BSD-3-Clause", "BSD-2-Clause"]
     assert [f.license for f in out[3].licenses.found] == ["GPL-3.0"] and out[0].license == "clash"
 
 
+def test_license_scan_against_whole_text_alignment(spark):
+    """Every template, with words put in after each word, words changed and prose around, is covered as the longest common subsequence says; long texts and repeated rows too."""
+    rng = random.Random(4)
+    known = {n: licenses.Template(t) for n, t in licenses.TEMPLATES.items()}
+    prose = lambda n: [f"prose{rng.randrange(500)}" for _ in range(n)]
+    rows, want = [], {}
+    for name, template in known.items():
+        for inserted in (0, 1, 3, 6):
+            for changed in (0.0, 0.08):
+                body = []
+                for w in template.words:
+                    body += [w.decode() if rng.random() >= changed else "changed"] + ["%%"] * inserted
+                share = sum(w != "changed" and w != "%%" for w in body) / template.size
+                want[len(rows)] = (name, share)
+                rows.append((len(rows), " ".join([*prose(300), *body, *prose(300)])))
+    long = " ".join([*prose(60_000), licenses.TEMPLATES["MIT-text"].replace(" ", " // "), *prose(60_000)])
+    rows += [(9000, long), (9000, long)]
+    out = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r.doc_id, []).append({f.license: f.coverage for f in r.licenses.found})
+    for i, (name, share) in want.items():
+        best = max(out[i][0].values(), default=0.0)
+        if share >= licenses.LEAST + 0.02:
+            assert best >= share - 0.02, (rows[i], name, share, out[i])
+    assert out[9000] == [{"MIT-text": 1.0}] * 2
+    far = [(1, "Released " + "word " * 60 + "under the MIT License")]
+    assert licenses.scan_licenses(spark.createDataFrame(far, "doc_id long, text string")).first().licenses.license is None
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     found = []
