@@ -5,14 +5,17 @@ the longest context that has seen it: each longer one pays an escape (as often a
 a longer context has seen are excluded from the shorter ones; a byte never seen at all is uniform over what is left.
 Every text ends with a byte 0, and starts after ORDER of them. A-Z count as a-z.
 
-How it runs: documents are dealt to chunks. A chunk states the distinct grams (context and byte) and words it holds, with
-their training counts; owners of a slice of the keys (grams by the last three bytes of context, words by hash) add up
-what all chunks state and answer each chunk for its own keys; the chunk, dealt out once and read twice, adds up its
-texts. So the trie and the vocabulary are never whole in one place, however large they get. Only contexts of up to two
-bytes, 2^24 counts at most, go everywhere.
-
-Defined cases: null and empty texts have one token and one byte (the end); an empty table gives an empty result; without
-training texts the unigram base is uniform and bytes cost log10(256) each; repeated rows are scored once each.
+How it runs: documents are dealt to chunks, a partition each. A chunk states the distinct grams (context and byte) and
+words it holds, with their training counts, to the owners of slices of the keys (grams by the last three bytes of context,
+words by hash); slices in which it holds nothing get no row. What the chunks state is added up FAN at a time, level by
+level, so that the owner of a context that every chunk holds gets FAN tables at most, each no larger than its slice of the
+trie; the answers go back the same way, and the chunk, dealt out once and read twice, adds up its texts. So the trie and
+the vocabulary are never whole in one place, however large they get. Only contexts of up to two bytes, 2^24 counts at
+most, go everywhere.
+
+Defined cases: null and empty texts have one token and one byte (the end); a byte 0 inside a text counts as an end byte;
+an empty table gives an empty result; without training texts the unigram base is uniform and bytes cost log10(256) each;
+rows that repeat, or have no doc_id, are scored once each; columns beside doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import LOWER, Words, give_back, mix64, runs
-from .common import small_batches, splits, text_bytes
+from .common import small_batches, splits, text_bytes, written
 
 ORDER = 4
 PIECE = 2 << 20
 END = np.uint64(0x656E64)
 CHUNKS_PER_SPLIT, SLICES_PER_SPLIT = 3, 2
+#: Tables added up by one task at each level.
+FAN = 64
 
 
 def _tally(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +110,20 @@ class Chunk:
             self.gram_slice = (mix64((self.grams >> np.uint64(8)) & np.uint64(0xFFFFFF)) >> np.uint64(33)).astype(np.int64) % slices
         self.slices = slices
 
-    def statements(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """kind (0: words, 1: grams), slice, keys, training counts; every slice of the words, and those of grams that have keys."""
+    def statements(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """owner (slices of the words, then those of the grams), keys, training counts, of the slices that have keys."""
         for kind, key, n, own in ((0, self.words, self.n_words, self.word_slice), (1, self.grams, self.n_grams, self.gram_slice)):
             order = np.argsort(own, kind="stable")
-            cut = np.searchsorted(own[order], np.arange(self.slices + 1))
-            for s in range(self.slices):
-                if kind == 0 or cut[s] < cut[s + 1]:
-                    rows = order[cut[s] : cut[s + 1]]
-                    yield kind, s, key[rows], n[rows]
+            cut = np.flatnonzero(np.diff(own[order], prepend=-1))
+            for i, j in zip(cut, np.append(cut[1:], len(own))):
+                yield kind * self.slices + int(own[order[i]]), key[order[i:j]], n[order[i:j]]
 
-    def values(self, answers: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def values(self, answers: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """The answers for words and grams, in the order of their keys."""
         out = []
         for kind, own in ((0, self.word_slice), (1, self.gram_slice)):
-            value = np.empty(len(own))
-            for s in np.unique(own):
-                value[own == s] = answers[kind, int(s)]
+            value, order = np.empty(len(own)), np.argsort(own, kind="stable")
+            value[order] = np.concatenate([answers[kind * self.slices + int(s)] for s in np.unique(own)] or [np.zeros(0)])
             out.append(value)
         return out[0], out[1]
 
@@ -227,43 +229,80 @@ def low_orders(docs: DataFrame) -> LowOrders:
     return LowOrders(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
+TOLD = "owner int, unit int, told array<double>, total long, distinct long"
+
+
+def _added_up(stated: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    asked = [np.asarray(k, np.int64).astype(np.uint64) for k in stated["keys"]]
+    return asked, *_tally(asked, [np.asarray(x, np.int64) for x in stated["n"]])
+
+
+def answered(stated: DataFrame, units: int, slices: int, low: LowOrders) -> DataFrame:
+    """owner, unit, told (a value for each key), total and distinct (of the owner), from what units state: owner, unit, keys, n."""
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, key, n = _added_up(rows)
+        value = n.astype(np.float64) if rows["owner"].iloc[0] < slices else gram_scores(key, n, low)
+        told = [value[np.searchsorted(key, k)] for k in asked]
+        give_back()
+        return rows[["owner", "unit"]].assign(told=told, total=int(n.sum()), distinct=int((n > 0).sum()))
+
+    if units <= FAN:
+        return stated.repartitionById(2 * slices, F.col("owner")).groupBy("owner").applyInPandas(own, TOLD)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        _, key, n = _added_up(rows)
+        return pd.DataFrame([(rows["owner"].iloc[0], rows["group"].iloc[0], key.astype(np.int64), n)], columns=["owner", "unit", "keys", "n"])
+
+    def pass_on(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        asked, key, _ = _added_up(rows)
+        value = np.asarray(told["told"].iloc[0], np.float64)
+        out = rows[["owner", "unit"]].assign(told=[value[np.searchsorted(key, k)] for k in asked], total=told["total"].iloc[0], distinct=told["distinct"].iloc[0])
+        give_back()
+        return out
+
+    above = -(-units // FAN)
+    dealt = stated.withColumn("group", F.floor(F.col("unit") / FAN).cast("int")).repartition(2 * slices * min(above, 8), "owner", "group")
+    merged = dealt.groupBy("owner", "group").applyInPandas(merge, "owner int, unit int, keys array<long>, n array<long>")
+    told = answered(merged, above, slices, low).withColumnRenamed("unit", "group")
+    return dealt.groupBy("owner", "group").cogroup(told.repartition(2 * slices * min(above, 8), "owner", "group").groupBy("owner", "group")).applyInPandas(pass_on, TOLD)
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; train marks the rows to learn from."""
     small_batches(docs.sparkSession)
     many = splits(docs)
     chunks, slices = max(4, CHUNKS_PER_SPLIT * many), max(4, SLICES_PER_SPLIT * many)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", train.alias("train"), text_bytes().alias("text"))
+    rows = docs.select("doc_id", train.alias("train"), text_bytes().alias("text"))
     low = low_orders(rows)
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartitionById(chunks, F.col("chunk"))
 
     def state(own: pd.DataFrame) -> pd.DataFrame:
         held = Chunk(own["text"].tolist(), own["train"].tolist(), slices)
-        return pd.DataFrame([(kind, s, own["chunk"].iloc[0], key.astype(np.int64), n) for kind, s, key, n in held.statements()], columns=["kind", "slice", "chunk", "keys", "n"])
+        return pd.DataFrame([(owner, own["chunk"].iloc[0], key.astype(np.int64), n) for owner, key, n in held.statements()], columns=["owner", "unit", "keys", "n"])
 
-    def answer(stated: pd.DataFrame) -> pd.DataFrame:
-        asked = [np.asarray(k, np.int64).astype(np.uint64) for k in stated["keys"]]
-        key, n = _tally(asked, [np.asarray(x, np.int64) for x in stated["n"]])
-        value = n.astype(np.float64) if stated["kind"].iloc[0] == 0 else gram_scores(key, n, low)
-        told = [value[np.searchsorted(key, k)] for k in asked]
-        return stated[["kind", "slice", "chunk"]].assign(told=told, total=int(n.sum()), distinct=int((n > 0).sum()))
+    stated = rows.groupBy("chunk").applyInPandas(state, "owner int, unit int, keys array<long>, n array<long>")
+    told = written(answered(stated, chunks, slices, low))
+    base = told.where(F.col("owner") < slices).groupBy("owner").agg(F.first("total").alias("total"), F.first("distinct").alias("distinct")).agg(F.sum("total"), F.sum("distinct")).first()
+    total, distinct = int(base[0] or 0), int(base[1] or 0)
 
     def finish(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         held = Chunk(own["text"].tolist(), own["train"].tolist(), slices)
-        words, grams = held.values({(int(k), int(s)): v for k, s, v in zip(answers["kind"], answers["slice"], answers["told"])})
-        base = answers[answers["kind"] == 0]
-        total, distinct, m = int(base["total"].sum()), int(base["distinct"].sum()), len(own)
+        words, grams = held.values({int(o): np.asarray(v, np.float64) for o, v in zip(answers["owner"], answers["told"])})
+        m = len(own)
         count = words[np.searchsorted(held.words, held.word)]
         n = np.bincount(held.of, minlength=m)
         floor = total + 0.5 * (distinct + 1)
         score = np.zeros(m)
         for key, text, _ in _pieces(held.texts, [0] * m):
             score += np.bincount(text, weights=grams[np.searchsorted(held.grams, key)], minlength=m)
-        return pd.DataFrame({
+        out = pd.DataFrame({
             "doc_id": own["doc_id"], "held_out": ~own["train"], "n_tokens": n, "n_known": np.bincount(held.of, weights=count > 0, minlength=m).astype(np.int64), "train_tokens": total,
             "base_score": np.bincount(held.of, weights=np.log10(count + 0.5), minlength=m) - n * math.log10(floor), "score": score,
         })
+        give_back()
+        return out
 
-    stated = rows.groupBy("chunk").applyInPandas(state, "kind int, slice int, chunk int, keys array<long>, n array<long>")
-    told = stated.groupBy("kind", "slice").applyInPandas(answer, "kind int, slice int, chunk int, told array<double>, total long, distinct long")
     id_type = dict(docs.dtypes)["doc_id"]
     shape = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(finish, shape)
+    return rows.groupBy("chunk").cogroup(told.repartitionById(chunks, F.col("unit")).groupBy(F.col("unit").alias("chunk"))).applyInPandas(finish, shape)

@@ -412,8 +412,11 @@ def plain_scores(texts):
         yield i, not learn(i), len(tokens), sum(count[w] > 0 for w in tokens), n, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), sum(byte(y, p) for p in range(4, len(y)))
 
 
-def test_language_model_matches_brute_force(docs, rows, monkeypatch):
+@pytest.mark.parametrize("fan", [2, 64])
+def test_language_model_matches_brute_force(docs, rows, monkeypatch, fan):
+    """With fan 2, statements go up and answers come down several levels."""
     monkeypatch.setattr(lm, "PIECE", 700)
+    monkeypatch.setattr(lm, "FAN", fan)
     texts = [(r[0], r[1]) for r in rows]
     got = sorted(lm.score(docs.withColumn("score", F.lit(0)), fold() != 1).collect(), key=lambda r: (r.doc_id is None, r.doc_id))
     want = sorted(plain_scores(texts), key=lambda r: (r[0] is None, r[0]))
