@@ -33,6 +33,8 @@ from .graph import components
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
 SAMPLES = BANDS * ROWS
 CHUNK, BLOCK = 4096, 2048
+#: Classes of copies with LARGE_LEAST members or more and a share of 1 / LARGE of all rows: LARGE at most, 24 bytes each.
+LARGE, LARGE_LEAST = 100_000, 1000
 #: Bytes of text worked on at once, in 4096 texts at most.
 PIECE = 1 << 20
 LOOSE = 0.55
@@ -223,6 +225,16 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back()
 
 
+def _with_class(full: DataFrame) -> DataFrame:
+    """doc_id and rep, the least doc_id of equal shingle sets. Classes of a share of 1 / LARGE of the rows, LARGE at most, are told to every task; only members of smaller ones meet by a shuffle."""
+    classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    least = max(LARGE_LEAST, -(-full.count() // LARGE))
+    large = classes.where(F.col("n") >= least).select("c1", "c2", F.col("rep").alias("large_rep"))
+    met = full.select("doc_id", "c1", "c2").join(F.broadcast(large), ["c1", "c2"], "left")
+    others = met.where("large_rep is null").join(classes.where(F.col("n") < least), ["c1", "c2"]).select("doc_id", "rep")
+    return met.where("large_rep is not null").select("doc_id", F.col("large_rep").alias("rep")).unionByName(others).distinct()
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text)."""
     small_batches(docs.sparkSession)
@@ -230,8 +242,7 @@ def groups(docs: DataFrame) -> DataFrame:
     sketched = "n_shingles long, c1 long, c2 long, bands array<long>, odd binary, doc_id long"
     known = written(texts.where("doc_id is not null").mapInPandas(_sketched, sketched))
     full = known.where("n_shingles > 0")
-    classes = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"))
-    of_class = written(full.select("doc_id", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "rep").distinct())
+    of_class = written(_with_class(full))
     alone = full.join(of_class.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
 
     spread = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))

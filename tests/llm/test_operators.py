@@ -543,6 +543,7 @@ def test_near_groups_match_brute_force(spark, small, monkeypatch):
     if small:  # buckets and families split over tasks
         monkeypatch.setattr(near, "CHUNK", 8)
         monkeypatch.setattr(near, "BLOCK", 8)
+        monkeypatch.setattr(near, "LARGE_LEAST", 6)  # classes told to every task
     rows = corpus(11, 150)
     out = near.groups(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(0)).repartition(3)).collect()
     want = plain_groups({r[0]: r[1] for r in rows if r[0] is not None})
@@ -594,6 +595,21 @@ def test_large_buckets_are_compared_in_pairs_of_parts(spark, monkeypatch, tmp_pa
     assert max(int(f.read_text()) for f in tmp_path.iterdir()) <= sum(sorted(collections.Counter(part.values()).values())[-2:])
 
 
+def test_chains_across_families_of_parts_keep_their_links(spark, monkeypatch):
+    """Families that are chains, not stars, in buckets and families of many parts: every link of neighbours stays."""
+    monkeypatch.setattr(near, "CHUNK", 4)
+    monkeypatch.setattr(near, "BLOCK", 4)
+    rng, rows, of = random.Random(21), [], {}
+    for family in range(4):
+        text = [f"f{family}w{rng.randrange(10**9)}" for _ in range(120)]
+        for i in range(25):
+            rows.append((1000 * family + i, " ".join(text)))
+            of[1000 * family + i] = text
+            text = [*text[10:], *[f"f{family}w{rng.randrange(10**9)}" for _ in range(10)]]  # neighbours are 0.84 alike, the next but one 0.71
+    got = {r.doc_id: r.component_id for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 1000 * (i // 1000) for i in of}
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = random.Random(5)
     base = [str(rng.random()) for _ in range(400)]
