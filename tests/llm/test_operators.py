@@ -98,6 +98,16 @@ def test_bucket_bounds_have_the_least_padding():
         best = min(padding(lengths, counts, [*c, lengths[-1]]) for k in range(4) for c in combinations(lengths[:-1], k))
         assert len(tops) <= 4 and padding(lengths, counts, tops) == best
     assert packing.bounds([], [], 4) == []
+    for size in (1, 2, 37, 300):  # against the plain quadratic programme, lengths far apart
+        lengths = sorted(rng.sample(range(0, 10**7), size))
+        counts = [rng.choice([1, 1, 2, 50, 1000]) for _ in lengths]
+        best = [[0.0] + [float("inf")] * size]
+        for _ in range(16):
+            best.append([0.0] + [min(best[-1][i] + sum(n * (lengths[j - 1] - x) for x, n in zip(lengths[i:j], counts[i:j])) for i in range(j)) for j in range(1, size + 1)] if size < 50 else None)
+            if size >= 50:
+                upto, own = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(np.multiply(lengths, counts))])
+                best[-1] = [0.0] + [min(best[-2][i] + (upto[j] - upto[i]) * lengths[j - 1] - (own[j] - own[i]) for i in range(j)) for j in range(1, size + 1)]
+        assert padding(lengths, counts, packing.bounds(lengths, counts, 16)) == best[-1][-1]
 
 
 def test_packing_keeps_every_row_once_and_the_budget(docs, rows):
@@ -114,6 +124,12 @@ def test_packing_keeps_every_row_once_and_the_budget(docs, rows):
         assert len(set(sizes[:-1])) <= 1
 
 
+def test_packing_spreads_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 10)
+    out = packing.pack(spark.createDataFrame([(None, "a b c")] * 95 + [(1, "a b c")] * 5, "doc_id long, text string").withColumn("batch", F.lit("clash")), budget=21, buckets=2).toPandas()
+    assert len(out) == 100 and sorted(zip(out["batch"], out["slot"])) == [(i // 7, i % 7) for i in range(100)] and set(out["n_tokens"]) == {3}
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------
 def longest_common(a, b):
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
