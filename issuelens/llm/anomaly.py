@@ -1,14 +1,17 @@
 """Quality rules: fixed limits, then an isolation forest on rule statistics.
 
 Each tree splits a small sample of documents at random bounds of random statistics; a document that random splits set
-apart after few steps is anomalous. The limit on the anomaly score is calibrated from labelled rows: it rejects the
-largest share of the bad ones, less GOOD_COUNTS times the share of the good ones.
+apart after few steps is anomalous. The limit on the anomaly score is calibrated from all labelled rows, counted by label
+and fine bin of the score: it rejects the largest share of the bad ones, less GOOD_COUNTS times the share of the good ones.
 
-The trees see TREES x SAMPLE documents (those of least hash of the id, spread over the corpus) and the limit at most
-MAX_LABELLED labelled rows; statistics and scores cover every document.
+The trees see TREES x SAMPLE documents (those of least hash of the id, spread over the corpus): what the driver gets is
+twice as many rows of twelve numbers at most, and BINS counts a label. Statistics, scores and the limit cover every
+document.
 
 Defined cases: null text is empty, fails the base rule and isn't kept; without labelled rows of both kinds the method
-rejects nothing; repeated rows get the same result once each.
+rejects nothing; rows that repeat get the same result once each, ties at the limit are kept; an id that has several labels
+counts for each; labels other than 0 and 1 count for nothing; an empty table gives an empty result; columns beside doc_id
+and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import least_hashed, written
 from .stats import features, with_counts
 
-TREES, SAMPLE, MAX_LABELLED = 100, 256, 50_000
+TREES, SAMPLE = 100, 256
+#: Anomaly scores, from 0 to 1, are told apart to one part in BINS where the limit is chosen.
+BINS = 1 << 14
 GOOD_COUNTS = 10
 
 
@@ -79,12 +84,11 @@ class Forest:
 
 
 def limit_from(good: np.ndarray, bad: np.ndarray) -> float:
-    """Scores above this are rejected."""
-    if not len(good) or not len(bad):
+    """Scores above this are rejected; good and bad hold the number of rows in each of BINS bins."""
+    if not good.sum() or not bad.sum():
         return float("inf")
-    good, levels = np.sort(good), np.concatenate([np.sort(bad), np.sort(good)])
-    above = lambda of: 1 - np.searchsorted(np.sort(of), levels, "right") / len(of)
-    return float(levels[int(np.argmax(above(bad) - GOOD_COUNTS * above(good)))])
+    above = lambda n: 1 - np.cumsum(n) / n.sum()
+    return float(np.argmax(above(bad) - GOOD_COUNTS * above(good)) + 1) / BINS
 
 
 def base_failed():
@@ -103,9 +107,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def anomaly(x: pd.Series) -> pd.Series:
         return pd.Series(forest.scores(np.array(x.tolist(), np.float64).reshape(-1, len(names))))
 
-    known = hashed.join(labels.where("label in (0, 1)").select(F.col("doc_id").alias("of"), "label"), F.col("doc_id") == F.col("of"))
-    known = least_hashed(known, MAX_LABELLED).select("x", "label").toPandas()
-    score = forest.scores(np.array(known["x"].tolist(), np.float64).reshape(-1, len(names)))
-    limit = limit_from(score[known["label"] == 1], score[known["label"] == 0])
-    scored = counted.withColumn("anomaly", anomaly("x"))
+    scored = written(counted.withColumn("anomaly", anomaly("x")).drop("x"))
+    graded = labels.where("label in (0, 1)").select(F.col("doc_id").alias("of"), "label")
+    known = scored.where("not base_failed").join(graded, F.col("doc_id") == F.col("of"))
+    # A score on the edge of two bins belongs to the lower one, as it is kept where the edge is the limit.
+    found = known.groupBy("label", F.ceil(F.col("anomaly") * BINS).alias("bin")).count().collect()
+    counts = np.zeros((2, BINS))
+    for r in found:
+        counts[int(r["label"]), min(max(r["bin"] - 1, 0), BINS - 1)] += r["count"]
+    limit = limit_from(counts[1], counts[0])
     return scored.select("doc_id", "stats", "base_failed", "anomaly", (~F.col("base_failed") & (F.col("anomaly") <= limit)).alias("kept"))

@@ -206,30 +206,38 @@ def gram_scores(keys: np.ndarray, counts: np.ndarray, low: LowOrders) -> np.ndar
     return score
 
 
-def low_orders(docs: DataFrame) -> LowOrders:
-    """From the training rows (text as bytes) of docs: at most 2^24 counts."""
+def gathered(docs: DataFrame) -> tuple[LowOrders, int, int]:
+    """From the training rows (text as bytes) of docs: the low orders, 2^24 counts at most, and how many tokens and distinct tokens there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = [], []
+        keys, counts = [[], []], [[], []]
+
+        def add(kind: int, key: np.ndarray) -> None:
+            k, n = _distinct(key)
+            keys[kind].append(k)
+            counts[kind].append(n)
+            if len(keys[kind]) > 16:
+                k, n = _tally(keys[kind], counts[kind])
+                keys[kind], counts[kind] = [k], [n]
+
         for batch in batches:
             texts = batch["text"].tolist()
             for a, b in runs([len(t) + ORDER + 1 for t in texts], PIECE):
+                add(0, np.concatenate([Words(texts[a:b]).hashes(), np.full(b - a, END)]))
                 for key, _, _ in _pieces(texts[a:b], [0] * (b - a), 3):
-                    k, n = _distinct(key)
-                    keys.append(k)
-                    counts.append(n)
-                if len(keys) > 16:
-                    k, n = _tally(keys, counts)
-                    keys, counts = [k], [n]
-        key, n = _tally(keys, counts)
+                    add(1, key)
+        for kind in (0, 1):
+            key, n = _tally(keys[kind], counts[kind])
+            yield pd.DataFrame({"kind": kind, "key": key.astype(np.int64), "n": n})
         give_back()
-        yield pd.DataFrame({"key": key.astype(np.int64), "n": n})
 
-    rows = docs.where("train").select("text").mapInPandas(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    return LowOrders(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
+    found = written(docs.where("train").select("text").mapInPandas(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    tokens = found.where("kind = 0").agg(F.sum("n"), F.count("*")).first()
+    rows = found.where("kind = 1").select("key", "n").toPandas().sort_values("key")
+    return LowOrders(rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)), int(tokens[0] or 0), int(tokens[1])
 
 
-TOLD = "owner int, unit int, told array<double>, total long, distinct long"
+TOLD = "owner int, unit int, told array<double>"
 
 
 def _added_up(stated: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -238,14 +246,14 @@ def _added_up(stated: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.nd
 
 
 def answered(stated: DataFrame, units: int, slices: int, low: LowOrders) -> DataFrame:
-    """owner, unit, told (a value for each key), total and distinct (of the owner), from what units state: owner, unit, keys, n."""
+    """owner, unit, told (a value for each key), from what units state: owner, unit, keys, n."""
 
     def own(rows: pd.DataFrame) -> pd.DataFrame:
         asked, key, n = _added_up(rows)
         value = n.astype(np.float64) if rows["owner"].iloc[0] < slices else gram_scores(key, n, low)
         told = [value[np.searchsorted(key, k)] for k in asked]
         give_back()
-        return rows[["owner", "unit"]].assign(told=told, total=int(n.sum()), distinct=int((n > 0).sum()))
+        return rows[["owner", "unit"]].assign(told=told)
 
     if units <= FAN:
         return stated.repartitionById(2 * slices, F.col("owner")).groupBy("owner").applyInPandas(own, TOLD)
@@ -257,7 +265,7 @@ def answered(stated: DataFrame, units: int, slices: int, low: LowOrders) -> Data
     def pass_on(rows: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         asked, key, _ = _added_up(rows)
         value = np.asarray(told["told"].iloc[0], np.float64)
-        out = rows[["owner", "unit"]].assign(told=[value[np.searchsorted(key, k)] for k in asked], total=told["total"].iloc[0], distinct=told["distinct"].iloc[0])
+        out = rows[["owner", "unit"]].assign(told=[value[np.searchsorted(key, k)] for k in asked])
         give_back()
         return out
 
@@ -274,7 +282,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     many = splits(docs)
     chunks, slices = max(4, CHUNKS_PER_SPLIT * many), max(4, SLICES_PER_SPLIT * many)
     rows = docs.select("doc_id", train.alias("train"), text_bytes().alias("text"))
-    low = low_orders(rows)
+    low, total, distinct = gathered(rows)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")).repartitionById(chunks, F.col("chunk"))
 
     def state(own: pd.DataFrame) -> pd.DataFrame:
@@ -282,9 +290,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         return pd.DataFrame([(owner, own["chunk"].iloc[0], key.astype(np.int64), n) for owner, key, n in held.statements()], columns=["owner", "unit", "keys", "n"])
 
     stated = rows.groupBy("chunk").applyInPandas(state, "owner int, unit int, keys array<long>, n array<long>")
-    told = written(answered(stated, chunks, slices, low))
-    base = told.where(F.col("owner") < slices).groupBy("owner").agg(F.first("total").alias("total"), F.first("distinct").alias("distinct")).agg(F.sum("total"), F.sum("distinct")).first()
-    total, distinct = int(base[0] or 0), int(base[1] or 0)
+    answers = answered(stated, chunks, slices, low).withColumnRenamed("unit", "chunk").repartitionById(chunks, F.col("chunk"))
 
     def finish(own: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         held = Chunk(own["text"].tolist(), own["train"].tolist(), slices)
@@ -305,4 +311,4 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
 
     id_type = dict(docs.dtypes)["doc_id"]
     shape = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(told.repartitionById(chunks, F.col("unit")).groupBy(F.col("unit").alias("chunk"))).applyInPandas(finish, shape)
+    return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(finish, shape)

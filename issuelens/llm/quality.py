@@ -8,7 +8,9 @@ The forest and the lasso are fitted on at most MAX_LABELLED labelled rows (those
 is computed for every text.
 
 Defined cases: null text counts as empty; rows with a null label teach nothing; with no labels, or labels of one kind
-only, every score is the share of good labels (0.5 without any); repeated rows are scored once each.
+only, every score is the share of good labels (0.5 without any); rows that repeat, or have no doc_id, are scored once
+each; a score equal to the cut passes; an id that has several labels teaches each; an empty table gives an empty result;
+columns beside doc_id and text aren't looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,8 +103,8 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.3) -> DataFrame:
-    """The rows of docs that score cut or more."""
-    counted = written(with_counts(docs.select("doc_id", "text")).drop("text"))
-    model = train(labelled_statistics(counted, labels))
-    scored = with_counts(docs, out="quality_stats")
-    return scored.where(model.score("quality_stats") >= cut).select(*docs.columns)
+    """The rows of docs that score cut or more, with all their columns. Texts are written out with their statistics, which are counted once."""
+    held = docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+    counted = written(with_counts(held, "in_text"))
+    model = train(labelled_statistics(counted.select(F.col("in_doc_id").alias("doc_id"), "stats"), labels))
+    return counted.where(model.score() >= cut).select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])

@@ -6,7 +6,8 @@ array of scores, the k best are selected by partition, and the winners of all bl
 
 Defined cases: a vector that is null, holds a null or a non-finite component, or has no vec_id takes no part; shorter
 vectors have zeros behind; rows that share a vec_id are never each other's candidates; a query with fewer than k other
-rows gets all of them; ties go to the smaller vec_id. Products and sums are 64-bit integers.
+rows gets all of them; ties go to the smaller vec_id; an empty table gives an empty result; other columns aren't looked
+at. Components are held to the range of a long after scaling; products and sums are 64-bit integers and wrap around.
 """
 
 from __future__ import annotations

@@ -485,7 +485,9 @@ def test_classifier_learns_labels_and_compiles_to_columns(spark):
     out = quality.classify(frame, frame.where(fold() != 0).select("doc_id", "label"))
     held = out.where(fold() == 0).join(frame.select("doc_id", "label"), "doc_id").toPandas()
     assert len(held) and (held["predicted"] == held["label"]).mean() >= 0.98 and held["score"].between(0, 1).all()
-    assert quality.good_documents(frame, frame.select("doc_id", "label")).columns == frame.columns
+    clash = frame.withColumn("stats", F.lit("clash")).withColumn("in_text", F.lit(1)).unionByName(spark.createDataFrame([(None, None, None, "x", 1)], "doc_id long, text string, label int, stats string, in_text int"))
+    kept = quality.good_documents(clash, frame.select("doc_id", "label"))
+    assert kept.columns == clash.columns and {r.stats for r in kept.collect()} <= {"clash", "x"}
 
 
 def test_classifier_without_use_of_labels(spark):
@@ -496,6 +498,21 @@ def test_classifier_without_use_of_labels(spark):
     assert all(r.predicted == 1 for r in one)
 
 
+def test_scores_match_rules_taken_one_by_one(spark):
+    """The compiled column against the rules applied row by row in Python."""
+    noisy = [(i, text, label if i % 9 else 1 - label) for i, text, label in graded(5)]  # no single test tells these apart
+    frame = spark.createDataFrame([*noisy, (9000, None, None), (9001, "", None)], "doc_id long, text string, label int")
+    counted = stats.with_counts(frame)
+    model = quality.train(quality.labelled_statistics(counted.select("doc_id", "stats"), frame.select("doc_id", "label")))
+    assert model.rules and any(len(rule) > 1 for rule, _ in model.rules)
+    for r in counted.select(*[c.alias(n) for n, c in stats.features().items()], model.score().alias("score")).collect():
+        total = model.intercept
+        for rule, weight in model.rules:
+            if all(r[model.names[k]] <= bound if sign == "<=" else r[model.names[k]] > bound for k, sign, bound in rule):
+                total += weight
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-total)), rel_tol=1e-9)
+
+
 def test_tree_paths_become_rules():
     tree = "DecisionTreeClassificationModel\n  If (feature 3 <= 0.5)\n   If (feature 1 <= 2.0)\n    Predict: 0.0\n   Else (feature 1 > 2.0)\n    Predict: 1.0\n  Else (feature 3 > 0.5)\n   Predict: 1.0\n"
     assert quality.paths(tree) == [((3, "<=", 0.5),), ((3, "<=", 0.5), (1, "<=", 2.0)), ((3, "<=", 0.5), (1, ">", 2.0)), ((3, ">", 0.5),)]
@@ -507,7 +524,38 @@ def test_isolation_forest_sets_outliers_apart():
     forest = anomaly.Forest(rows)
     assert forest.scores(np.full((1, 4), 9.0))[0] > forest.scores(rows).max() * 0.95
     assert forest.scores(np.zeros((1, 4)))[0] < np.median(forest.scores(rows)) + 0.02
-    assert anomaly.limit_from(np.array([0.3, 0.4]), np.array([0.6, 0.7])) == 0.4 and anomaly.limit_from(np.array([]), np.array([1.0])) == float("inf")
+
+
+def plain_path(tree, row):
+    """Steps through one tree, by following it row by row."""
+    feature, bound, child, length = tree
+    at = 0
+    while feature[at] >= 0:
+        at = child[at] + int(row[feature[at]] > bound[at])
+    return length[at]
+
+
+def test_anomaly_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(300, 5))
+    forest = anomaly.Forest(rows, trees=20, sample=64)
+    usual = 2 * (math.log(63) + 0.5772156649) - 2 * 63 / 64
+    for row, got in zip(rows[:60], forest.scores(rows[:60])):
+        assert math.isclose(got, 2 ** (-np.mean([plain_path(t, row) for t in forest.trees]) / usual))
+    for feature, bound, child, length in forest.trees:  # every row of a leaf adds up to the sample
+        assert (child[feature >= 0] > np.flatnonzero(feature >= 0)).all() and (length[feature < 0] >= 0).all()
+
+
+def test_limit_matches_brute_force():
+    rng = random.Random(5)
+    for _ in range(50):
+        good, bad = ([rng.randrange(60) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        level = lambda k: sum(b > k for b in bad) / len(bad) - 10 * sum(g > k for g in good) / len(good)  # noqa: E731, B023
+        counts = [np.bincount(x, minlength=anomaly.BINS) for x in (good, bad)]
+        got = round(anomaly.limit_from(*counts) * anomaly.BINS) - 1
+        assert math.isclose(level(got), max(level(k) for k in range(61)), abs_tol=1e-9)
+    none = np.zeros(anomaly.BINS)
+    assert anomaly.limit_from(none, counts[1]) == anomaly.limit_from(counts[0], none) == float("inf")
 
 
 def test_quality_rules_keep_clean_texts(spark):
