@@ -153,5 +153,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the documents taken, once for each copy, with the columns of docs."""
-    copies = mix(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}).withColumns({c: F.col(f"in_{c}") for c in ("doc_id", "text", "source")}), **options)
-    return copies.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    copies = mix(docs.select("doc_id", "text", "source", *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns]), **options)
+    return copies.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
