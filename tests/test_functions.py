@@ -58,6 +58,39 @@ def test_units(spark):
     assert [x and x.unit for x in applied(spark, captions, units.unit_b)] == ["lakh", "million", None, "crore", None, None, None, "thousand", None]
 
 
+UNITS_A = {
+    "(₹ in lakhs)": "INR_LAKH", "(Rs. in Lacs)": "INR_LAKH", "₹ in million": "INR_MILLION", "(₹ in crores)": "INR_CRORE", "(Amount in INR Mn)": "INR_MILLION", "figures in ₹ billion": "INR_BILLION",
+    "(₹ in takhs)": "INR_LAKH", "(₹ in iakhs)": "INR_LAKH", "(in ₹ thousands)": "INR_THOUSAND", "Rs. '000": "INR_THOUSAND", "(lakhs)": "INR_LAKH", "a total of ₹ 30 million": None, "10 lakhs in all": None,
+    "₹1,000,000 crore": None, "revenue of lakhs": None, "in lakhs and in million": None, "(Rs.)": "INR", "₹": None, "thousands of rupees": None, "lakhs in rupees": "INR_LAKH",
+}
+UNITS_B = {
+    "(₹ in lakhs)": ("lakh", "₹ in lakhs"), "amounts in Rs. crore, in million": ("crore", "in Rs. crore"), "INR Mn": ("million", "INR Mn"), "₹ mm": ("million", "₹ mm"), "(₹ '000s)": ("thousand", "₹ '000s"),
+    "` in lacs": ("lakh", "` in lacs"), "30 million": None, "in all lakhs": None, "Margin lakhs": None, "Rs. 5 crore": None, "in Crores": ("crore", "in Crores"),
+}
+
+
+def test_unit_boundaries(spark):
+    assert dict(zip(UNITS_A, applied(spark, list(UNITS_A), units.unit_a))) == UNITS_A
+    assert {k: x and (x.unit, x.text) for k, x in zip(UNITS_B, applied(spark, list(UNITS_B), units.unit_b))} == UNITS_B
+
+
+PERIODS_A = {
+    "March 31, 2023": ("FY2023", 12), "31 March 2023": ("FY2023", 12), "31st March, 2023": ("FY2023", 12), "31-03-2023": ("FY2023", 12), "FY23": ("FY2023", 12), "FY 2022-23": ("FY2023", 12), "Financial Year 2024": ("FY2024", 12),
+    "Fiscal 2023": ("FY2023", 12), "for the three months ended June 30, 2023": ("P2023-06-30-3M", 3), "six months period ended 30 September 2023": ("P2023-09-30-6M", 6), "9 months ended December 31, 2023": ("P2023-12-31-9M", 9),
+    "six months ended": None, "Year ended December 31, 2023": ("YE2023-12", 12), "31 June 2023": None, "31-Mar-24": ("FY2024", 12), "'2022-23": ("FY2023", 12), "2022–23": ("FY2023", 12), "1,234.50": None, "Note 12": None, "": None,
+}
+PERIODS_B = {
+    "As at March 31, 2025": "AT-2025-03-31", "as on 31st March, 2025": "AT-2025-03-31", "year ended 31-Mar-25": "FY2025", "For the nine months ended December 31, 2024": "9M-2024-12-31", "half-year ended September 30, 2024": "6M-2024-09-30",
+    "Fiscal 2025": "FY2025", "FY2024-25": "FY2025", "F.Y. 2024-25": "FY2025", "FY 1999-00": "FY2000", "Fiscal 2025-24": "FY2025", "31.12.2024": "?-2024-12-31", "31-Mar-69": "?-2069-03-31", "31-Mar-70": "?-1970-03-31",
+    "year ended March 31, 2024 and 2023": "FY2024", "February 30, 2024": None, "as at": None, "12 months ended 30 June 2024": "12M-2024-06-30", "quarter ended 30/06/2024": "3M-2024-06-30",
+}
+
+
+def test_period_boundaries(spark):
+    assert {k: x and (x.label, x.months) for k, x in zip(PERIODS_A, applied(spark, list(PERIODS_A), periods.period_a))} == PERIODS_A
+    assert dict(zip(PERIODS_B, applied(spark, list(PERIODS_B), lambda c: periods.period_key(periods.period_b(c))))) == PERIODS_B
+
+
 def test_periods(spark):
     texts = ["As at March 31, 2024", "31-Dec-23", "31.3.2022", "FY 2021-22", "Fiscal 2024", "six months ended September 30, 2023", "nine months ended", "FY 2021-23", "particulars", "x" * 161, "Fiscal 1899", "30 February 2024"]
     got = [(x.label, x.months) if x else None for x in applied(spark, texts, periods.period_a)]
