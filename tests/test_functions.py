@@ -106,6 +106,28 @@ def test_labels(spark):
     assert applied(spark, heads, labels.concept_b) == ["revenue_from_operations", "profit_before_tax", "total_assets", None, "cash_from_operations", None, "total_expenses"]
 
 
+LABELS_A = {
+    "Restated Net Tangible Assets (A)": "net_tangible_assets", "Monetary assets as a % of net tangible assets": None, "Monetary Assets, as restated (₹ in lakhs)": "monetary_assets", "Pre-tax operating profit": "operating_profit",
+    "Restated pre-tax operating profit": "operating_profit", "Operating profit before tax": "operating_profit", "Average pre-tax operating profit": None, "Operating profit (EBITDA)": None, "Net Worth as restated": "net_worth",
+    "Return on Net Worth (%)": None, "Net worth per share": None, "Total shareholders' funds": "net_worth", "Total equity attributable to the owners of the company": "net_worth", "Revenue from Operations1": "revenue",
+    "Total Revenue from Operations": "revenue", "Restated profit/(loss) for the year": "pat", "Net profit after tax": "pat", "Profit after tax margin": None, "Profit before tax": None, "Profit for the year from discontinued operations": None,
+    "Total Assets": "total_assets", "Net total assets": None, "Equity share capital": "paid_up_capital", "Paid-up share capital": "paid_up_capital", "Reserves & surplus": "reserves_and_surplus", "EBITDA": "ebitda", "Net worth (audited)": None,
+    "Number of shareholders' funds": None, "": None,
+}
+LABELS_B = {
+    "I. Revenue from operations": "revenue_from_operations", "(a) Other income (net)": "other_income", "Total income (I+II)": "total_income", "III) Total income = (I+II)": "total_income", "Profit / (Loss) before tax (V-VI)": "profit_before_tax",
+    "Restated (loss)/profit before tax": "profit_before_tax", "Total tax expense/(credit)": "tax_expense", "Income tax expenses": "tax_expense", "Profit for the year (A)": "profit_after_tax", "Restated profit for the year/period": "profit_after_tax",
+    "Profit for the year attributable to owners": None, "Profit after tax but before extra-ordinary items": "profit_after_tax", "Total comprehensive income": None, "Profit for the year including OCI": None, "T otal assets": "total_assets",
+    "Total Equity and Liabilities": "total_equity_and_liabilities", "Long-term borrowings": "borrowings", "N et cash generated from operating activities": "cash_from_operations", "Net cash used in investing activities (B)": "cash_from_investing",
+    "Trade receivables turnover": None, "Inventories*": "inventories", "EBITDA Margin": None, "Total income of the group": None, "Trade receivables (refer note 12)": "trade_receivables", "Adjusted EBITDA": "adjusted_ebitda",
+}
+
+
+def test_label_boundaries(spark):
+    assert {k: x and x.field for k, x in zip(LABELS_A, applied(spark, list(LABELS_A), labels.match_a))} == LABELS_A
+    assert dict(zip(LABELS_B, applied(spark, list(LABELS_B), labels.concept_b))) == LABELS_B
+
+
 @pytest.mark.parametrize("y, m, d, want", [(2024, 2, 29, datetime.date(2024, 2, 29)), (2023, 2, 29, None), (2023, 13, 1, None)])
 def test_safe_date(spark, y, m, d, want):
     assert spark.range(1).select(periods.safe_date(F.lit(y), F.lit(m), F.lit(d)).alias("d")).first().d == want
