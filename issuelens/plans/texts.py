@@ -87,7 +87,7 @@ def garbled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sector_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as documents, their texts as pages; words of the corpus stand for a sector's."""
     pages = portable(spark, sf_dir, "SELECT source AS doc_id, doc_id AS page, text FROM documents")
-    return d.sectors(pages, front=10**12, found={"lender": (r"(?i)\bthe\b", 30), "real_estate": (r" (?:und|der) ", 30)})
+    return d.sectors(pages, front=10**12, found={"lender": ("the", 30), "real_estate": ("{und|der}", 30)})
 
 
 TYPE_HEADS = ["DRAFT RED HERRING PROSPECTUS dated", "Red Herring Prospectus", "prospectus", "Annual Report 2024", "Report of the auditor", "minutes"]
@@ -106,7 +106,7 @@ def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narrative_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = portable(spark, sf_dir, "SELECT source AS doc_id, doc_id AS page, text FROM documents")
-    return d.first_hits(pages, {"licensed": r"(?i)licensed under", "password": r"password|token"}).select("doc_id", "fact", "page")
+    return d.first_hits(pages, {"licensed": ("licensed under",), "password": ("{password|token}",)}).select("doc_id", "fact", "page")
 
 
 def issue_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +174,9 @@ ORACLE: dict[str, str] = {
     "key_families": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'financials.' || lower(substr(o_orderpriority, 3, 10)) ELSE 'issue' END AS family, count(*) AS n FROM orders GROUP BY ALL",
     "page_classify": "WITH p AS (SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) % 60 AS c FROM pages) SELECT page_id, CASE WHEN c < 25 AND page_id % 3 * 0.02 < 0.05 THEN 'blank' WHEN c < 25 THEN 'scanned' WHEN page_id % 5 * 0.06 > 0.2 THEN 'garbled' WHEN page_id % 4 * 0.25 < 0.5 THEN 'rotated' ELSE 'native' END AS kind, c < 25 AND page_id % 2 > 0 AS needs_ocr FROM p",
     "garbled_ratio": r"WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN '(cid:12)' WHEN 1 THEN chr(127) ELSE '' END AS text FROM documents) SELECT doc_id, round(least(1.0, CAST(length(text) - length(regexp_replace(text, '[\x{FFFD}\x{E000}-\x{F8FF}\x00-\x08\x0E-\x1F\x7F]', '', 'g')) + 5 * len(regexp_extract_all(text, '\(cid:')) AS DOUBLE) / greatest(length(text), 1)), 9) AS ratio FROM t",
-    "sector_mentions": r"WITH m AS (SELECT source AS doc_id, sum(len(regexp_extract_all(text, '(?i)\bthe\b'))) AS a, sum(len(regexp_extract_all(text, ' (?:und|der) '))) AS b FROM documents GROUP BY source), l AS (SELECT doc_id, 'lender' AS sector, CAST(a AS BIGINT) AS mentions FROM m UNION ALL SELECT doc_id, 'real_estate', CAST(b AS BIGINT) FROM m) SELECT doc_id, sector, mentions, CAST(30 AS INT) AS threshold FROM l WHERE mentions >= 30",
+    "sector_mentions": r"WITH m AS (SELECT source AS doc_id, sum(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w = 'the'))) AS a, sum(len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ('und', 'der')))) AS b FROM documents GROUP BY source), l AS (SELECT doc_id, 'lender' AS sector, CAST(a AS BIGINT) AS mentions FROM m UNION ALL SELECT doc_id, 'real_estate', CAST(b AS BIGINT) FROM m) SELECT doc_id, sector, mentions, CAST(30 AS INT) AS threshold FROM l WHERE mentions >= 30",
     "doc_type": f"SELECT doc_id, {_case('doc_id', ['drhp', 'rhp', 'prospectus', 'annual_report', 'financial_statements', None])} AS doc_type FROM documents",
-    "narrative_first_hit": "SELECT source AS doc_id, 'licensed' AS fact, min(doc_id) AS page FROM documents WHERE regexp_matches(text, '(?i)licensed\\s+under') GROUP BY source UNION ALL SELECT source, 'password', min(doc_id) FROM documents WHERE regexp_matches(text, 'password|token') GROUP BY source",
+    "narrative_first_hit": "SELECT source AS doc_id, 'licensed' AS fact, min(doc_id) AS page FROM documents WHERE regexp_matches(text, '(?i)(^|[^a-z])licensed[^a-z0-9()]+under([^a-z]|$)') GROUP BY source UNION ALL SELECT source, 'password', min(doc_id) FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: w IN ('password', 'token'))) > 0 GROUP BY source",
     "issue_prose": f"SELECT doc_id, {_case('doc_id', ['mixed', 'fresh', 'offer_for_sale', None, None])} AS issue_type, {_case('doc_id', [None, None, None, '6(1)', '6(2)'])} AS route, CAST(CASE WHEN doc_id % 5 IN (1, 2) THEN 1 ELSE 0 END AS INT) AS n_amounts FROM documents",
     "most_printed": f"SELECT doc_id, key, value, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY n DESC, first) AS r FROM (SELECT doc_id, key, value, count(*) AS n, min(place) AS first FROM ({MENTIONS}) m GROUP BY ALL) c) t WHERE r = 1",
     "issue_totals": f"WITH c AS (SELECT doc_id, key, CAST(value AS DOUBLE) AS v, count(*) AS n, min(place) AS first FROM ({MENTIONS}) m GROUP BY ALL), t AS (SELECT f.doc_id, f.v AS fresh, o.v AS ofs, t.v AS total, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.n + o.n + t.n DESC, f.first + o.first + t.first, f.v DESC) AS r FROM c f JOIN c o ON f.doc_id = o.doc_id JOIN c t ON f.doc_id = t.doc_id WHERE f.key = 'fresh' AND o.key = 'ofs' AND t.key = 'total' AND f.v + o.v = t.v), k AS (SELECT doc_id, key, v, row_number() OVER (PARTITION BY doc_id, key ORDER BY n DESC, first) AS r FROM c), w AS (SELECT doc_id, max(v) FILTER (WHERE key = 'fresh') AS fresh, max(v) FILTER (WHERE key = 'ofs') AS ofs, max(v) FILTER (WHERE key = 'total') AS total FROM k WHERE r = 1 GROUP BY doc_id) SELECT w.doc_id, coalesce(t.fresh, w.fresh) AS fresh, coalesce(t.ofs, w.ofs) AS ofs, coalesce(t.total, w.total) AS total FROM w LEFT JOIN t ON t.doc_id = w.doc_id AND t.r = 1",
@@ -191,6 +191,6 @@ QUERIES |= {"doc_type_whole": doc_type, "issue_prose_whole": issue_prose}
 _WHOLE = "SELECT doc_id, coalesce(text, '') || ' ' || {} AS t FROM documents"
 ORACLE["doc_type_whole"] = f"WITH w AS ({_WHOLE.format(_case('doc_id', TYPE_HEADS))}) SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(t), '{words}') THEN '{kind}'" for words, kind in d.TYPES) + " END AS doc_type FROM w"
 ORACLE["issue_prose_whole"] = f"""
-    WITH w AS ({_WHOLE.format(_case('doc_id', ISSUE_HEADS))}), f AS (SELECT *, contains(lower(t), 'fresh issue') AS fresh, contains(lower(t), 'offer for sale') AS ofs, regexp_extract(t, '{d.ROUTE}', 1) AS r FROM w)
-    SELECT doc_id, CASE WHEN fresh AND ofs THEN 'mixed' WHEN fresh THEN 'fresh' WHEN ofs THEN 'offer_for_sale' END AS issue_type, CASE WHEN r <> '' THEN '6(' || r || ')' END AS route, CAST(len(regexp_extract_all(lower(t), '{d.AMOUNT}')) AS INT) AS n_amounts FROM f
+    WITH w AS ({_WHOLE.format(_case('doc_id', ISSUE_HEADS))}), f AS (SELECT *, contains(lower(t), 'fresh issue') AS fresh, contains(lower(t), 'offer for sale') AS ofs, regexp_extract(lower(t), 'made pursuant to regulation 6 *[(] *([12]) *[)] of ', 1) AS r FROM w)
+    SELECT doc_id, CASE WHEN fresh AND ofs THEN 'mixed' WHEN fresh THEN 'fresh' WHEN ofs THEN 'offer_for_sale' END AS issue_type, CASE WHEN r <> '' THEN '6(' || r || ')' END AS route, CAST(len(regexp_extract_all(lower(t), '(₹|rs[.]|inr) ?[0-9][0-9,.]* (lakh|lakhs|million|crore)')) AS INT) AS n_amounts FROM f
 """

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from issuelens.operators import candidates, compare, consensus, documents, eligibility, evidence, flags, layout, ranking, workflow
+from issuelens.operators import candidates, compare, consensus, documents, eligibility, evidence, flags, layout, prose, ranking, workflow
 from issuelens.streaming import events
 
 
@@ -182,3 +182,37 @@ def test_streamed_limits_and_states(spark, tmp_path):
     wanted = F.element_at(F.array(*[F.lit(x) for x in ("extracting", "complete", "extracted", "complete", "deleted")]), (F.col("event_id") + 1).cast("int"))
     got = run(events.document_states(source.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), wanted.alias("wanted"))), "states")
     assert [(r.state, r.accepted) for r in sorted(got, key=lambda r: r.seq)] == [("extracting", True), ("extracting", False), ("extracted", True), ("complete", True), ("deleted", True)]
+
+
+def test_issue_amounts_by_the_words_around_them(spark):
+    texts = {
+        1: "The offer comprises a fresh issue of 10 shares aggregating up to ₹7,000 million and an offer for sale of 5 shares aggregating to Rs. 500 crore.",
+        2: 'Initial public issue aggregating to Rs. 5,000.00 million (the "Issue" or "Fresh Issue").',
+        3: "Offer aggregating up to ₹ 9,000 million comprising of a fresh issue of shares.",
+        4: "Fresh Issue ₹1,301.04 Lakhs Nil ₹1,301.04 Lakhs",
+        5: "A fresh issue of shares and a pre-IPO placement aggregating to ₹100 million.",
+        6: 'Of the ("Fresh Issue") shares aggregating to ₹ 3 crore.',
+        7: "Shares aggregating to ₹ 3 crore.",
+        8: None,
+    }
+    pages = spark.createDataFrame([(i, 1, t) for i, t in texts.items()], "doc_id int, page int, text string")
+    got = sorted((r.doc_id, r.key, r.value) for r in prose.issue_mentions(pages).collect())
+    assert got == [(1, "fresh", 7e9), (1, "ofs", 5e9), (2, "fresh", 5e9), (2, "total", 5e9), (3, "total", 9e9), (4, "fresh", 130_104_000.0), (4, "total", 130_104_000.0)]
+    total = prose.with_total(prose.issue_mentions(pages).select("doc_id", "key", "value")).where("method = 'derived'").collect()
+    assert [(r.doc_id, r.key, r.value) for r in total] == [(1, "total", 1.2e10)]
+
+
+def test_cover_tables_are_read_by_column(spark):
+    head, row = ["Type", "Fresh Issue size", "Offer", "Total Offer size"], ["Fresh Issue and Offer for Sale", "aggregating to ₹ 5 crore", "aggregating to ₹ 2 crore", "aggregating up to ₹ 7 crore"]
+    rows = [(1, 1, 1, head), (1, 1, 2, ["", "", "for Sale size", ""]), (1, 1, 3, row), (1, 2, 1, ["Type", "Total", "Offer for sale", "Fresh issue"]), (1, 2, 2, row), (1, 3, 1, head), (1, 3, 2, [*row[:2], "[●]", row[3]])]
+    got = [(r.table_id, r.key, r.value) for r in prose.cover_amounts(spark.createDataFrame(rows, "doc_id int, table_id int, row_no int, cells array<string>")).collect()]
+    assert got == [(1, "fresh", 5e7), (1, "ofs", 2e7), (1, "total", 7e7)]
+
+
+def test_suggestions_and_monitoring_agency(spark):
+    pages = [(1, 1, "We are eligible under Regulation 6(1) of the rules. A fresh issue is made."), (1, 7, "It is eligible under Regulation 6(2). The Book Building Process applies. An offer for sale follows."), (2, 1, "A fresh issue and an offer for sale."), (3, 9, "fresh issue")]
+    frame = spark.createDataFrame(pages, "doc_id int, page int, text string")
+    got = {(r.doc_id, r.suggestion): (r.value, r.page) for r in documents.suggestions(frame).collect()}
+    assert got == {(1, "listing_route"): ("mainboard_reg6_2", 7), (1, "is_book_built"): ("true", 7), (1, "issue_type"): ("fresh", 1), (2, "issue_type"): ("mixed", 1)}
+    said = [(1, "We have appointed XYZ as the monitoring agency."), (2, "Our company is not required to appoint a monitoring agency."), (3, "We have appointed X as monitoring agency. No monitoring agency is needed."), (4, "A monitoring agency has been appointed."), (5, None)]
+    assert {r.doc_id: r.appointed for r in documents.monitoring_agency(spark.createDataFrame(said, "doc_id int, text string")).collect()} == {1: 1, 2: 0, 4: 1}
