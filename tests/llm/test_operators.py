@@ -686,7 +686,11 @@ def test_odd_sketches_estimate_high_similarities():
         assert low < near.similarity(odd[0], odd[1]) <= high
 
 
-def test_components_follow_long_chains(spark):
+@pytest.mark.parametrize("hub", [3, 1000])
+def test_components_follow_long_chains(spark, hub, monkeypatch):
+    monkeypatch.setattr(graph, "HUB", hub)
+    stars = [(500, i) for i in range(501, 530)] + [(i, 600) for i in range(571, 600)]
+    assert {r.root for r in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()} == {500, 571}
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (None, 3)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
