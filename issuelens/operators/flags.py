@@ -1,4 +1,4 @@
-"""Red-flag rules of four kinds over cited facts."""
+"""Red-flag rules of four kinds over cited facts."""
 
 from __future__ import annotations
 
@@ -33,9 +33,52 @@ def in_force(as_of: Column, valid_from: Column, valid_to: Column) -> Column:
 
 
 def catalogue(spark) -> DataFrame:
-    rows = [(i, p.split(","), s, f, t, [x for x in n.split(",") if x], k, q.get("numerators", q.get("trigger", "")).split(","), q.get("denominator", q.get("required")), q.get("cap"), q.get("near"), q.get("abs_cap"), q.get("over", "high"), q.get("threshold"), q.get("left"), q.get("right"), n_) for n_, (i, p, s, f, t, n, k, q) in enumerate(RULES, 1)]
-    kind = "rule_id string, platforms array<string>, severity string, valid_from string, valid_to string, not_for array<string>, kind string, tops array<string>, bottom string, cap double, near double, abs_cap double, over_severity string, threshold double, left_key string, right_key string, ord int"
-    return spark.createDataFrame(rows, kind).withColumns({x: F.col(x).cast("date") for x in ("valid_from", "valid_to")})
+    shape = {"rule_id": "string", "platforms": "array<string>", "severity": "string", "valid_from": "string", "valid_to": "string", "not_for": "array<string>", "kind": "string", "tops": "array<string>", "bottom": "string", "ord": "int"}
+    numbers = {"cap": "double", "near": "double", "abs_cap": "double", "over": "string", "threshold": "double", "left": "string", "right": "string", "periods": "int", "breaches": "int", "gap_pp": "double", "base_ratio": "double"}
+    rows = [
+        (rule, platforms.split(","), severity, start, end, [x for x in not_for.split(",") if x], kind, p.get("numerators", p.get("trigger", "")).split(","), p.get("denominator", p.get("required")), n, *[p.get(k, "high" if k == "over" else None) for k in numbers])
+        for n, (rule, platforms, severity, start, end, not_for, kind, p) in enumerate(RULES, 1)
+    ]
+    return spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in (shape | numbers).items())).withColumns({x: F.col(x).cast("date") for x in ("valid_from", "valid_to")})
+
+
+def series(known: Column, prefix: Column, form: str = r"^FY\d{4}$") -> Column:
+    """period to value of the facts prefix.<period> whose period has the form (P12). known: map of key to value."""
+    start = F.concat(prefix, F.lit("."))
+    period = lambda key: F.substr(key, F.length(start) + 1)
+    return F.transform_keys(F.map_filter(known, lambda k, v: F.startswith(k, start) & period(k).rlike(form)), lambda k, v: period(k))
+
+
+def _common(left: Column, right: Column) -> Column:
+    return F.array_sort(F.array_intersect(F.map_keys(left), F.map_keys(right)))
+
+
+def series_below(left: Column, right: Column, periods: Column, breaches: Column, severity: Column) -> Column:
+    """Of the last common periods, those where left is below a positive right."""
+    common = _common(left, right)
+    last = F.slice(common, F.greatest(F.size(common) - periods + 1, F.lit(1)), periods)
+    below = F.size(F.filter(last, lambda p: (right[p] > 0) & (left[p] < right[p])))
+    return F.when(F.size(common) < periods, _said("missing_inputs")).when(below >= breaches, _said("flagged", severity)).otherwise(_said("clear"))
+
+
+def series_gap(left: Column, right: Column, gap_pp: Column, base_ratio: Column, severity: Column) -> Column:
+    """Growth of left over that of right between the last two common fiscal years, where they follow each other, bases are positive and left is material."""
+    common = _common(left, right)
+    p0, p1 = F.try_element_at(common, F.lit(-2)), F.try_element_at(common, F.lit(-1))
+    year = lambda p: F.substring(p, 3, 4).cast("int")
+    l0, r0 = left[p0], right[p0]
+    gap = ((left[p1] / l0 - 1) - (right[p1] / r0 - 1)) * 100
+    return (
+        F.when((F.size(common) < 2) | (year(p1) - year(p0) != 1), _said("missing_inputs"))
+        .when((l0 <= 0) | (r0 <= 0), _said("missing_inputs"))
+        .when((l0 / r0 >= base_ratio) & (gap >= gap_pp), _said("flagged", severity))
+        .otherwise(_said("clear"))
+    )
+
+
+def citations_of(facts: Column) -> Column:
+    """The citations (page and span) of some facts, each once, in the order in which the facts bring them."""
+    return F.array_distinct(F.flatten(F.transform(facts, lambda f: f["citations"])))
 
 
 def ratio_vs_cap(top: Column, bottom: Column, cap: Column, near: Column, abs_cap: Column, severity: Column, over: Column) -> Column:
@@ -85,17 +128,19 @@ def audit(docs: DataFrame, facts: DataFrame, rules: DataFrame, as_of: Column) ->
     Facts gather into one map a document before they meet the rules, a table of a dozen rows, so no fact is copied.
     """
     known = usable(facts).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("value").cast("double")))).alias("known"))
-    pairs = docs.join(known, "doc_id", "left").crossJoin(F.broadcast(rules.where(F.col("kind").isin("ratio_vs_cap", "required_if"))))
-    value = lambda key: F.try_element_at(F.coalesce(F.col("known"), F.create_map().cast("map<string,double>")), key)
+    pairs = docs.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,double>"))).crossJoin(F.broadcast(rules))
+    value = lambda key: F.try_element_at(F.col("known"), key)
     tops = F.transform("tops", value)
     top = F.when(F.exists(tops, lambda v: v.isNull()), None).otherwise(F.aggregate(tops, F.lit(0.0), lambda a, v: a + v))
     bottom = value(F.col("bottom"))
-    ratio = ratio_vs_cap(top, bottom, F.col("cap"), F.col("near"), F.col("abs_cap"), F.col("severity"), F.col("over_severity"))
+    ratio = ratio_vs_cap(top, bottom, F.col("cap"), F.col("near"), F.col("abs_cap"), F.col("severity"), F.col("over"))
     needed = required_if(top, F.col("threshold"), bottom, F.col("severity"))
+    left, right = (series(F.col("known"), F.concat(F.lit("financials."), F.col(k))) for k in ("left", "right"))
+    below, gap = series_below(left, right, F.col("periods"), F.col("breaches"), F.col("severity")), series_gap(left, right, F.col("gap_pp"), F.col("base_ratio"), F.col("severity"))
     out = (
         F.when(~F.array_contains("platforms", F.col("platform")), _said("other_platform"))
         .when(~in_force(as_of, F.col("valid_from"), F.col("valid_to")), _said("not_in_force"))
         .when(F.arrays_overlap("not_for", "sectors"), _said("not_applicable"))
-        .when(F.col("kind") == "ratio_vs_cap", ratio).otherwise(needed)
+        .when(F.col("kind") == "ratio_vs_cap", ratio).when(F.col("kind") == "required_if", needed).when(F.col("kind") == "persistent_below", below).otherwise(gap)
     )
     return pairs.select("doc_id", "rule_id", out.alias("o")).select("doc_id", "rule_id", "o.status", "o.severity")

@@ -21,6 +21,7 @@ ISSUE = f"""
 """
 #: Yearly series of nations: what is owed against revenue.
 SERIES = f"SELECT case_id AS doc_id, fy, CAST(revenue AS BIGINT) AS revenue, CAST(returned AS BIGINT) AS receivables, CAST(open_value AS BIGINT) AS cash, CAST(accepted AS BIGINT) AS profit FROM ({FISCAL}) f WHERE months = 12"
+SERIES_KEYS = {"revenue": "revenue_from_operations", "receivables": "trade_receivables", "cash": "cash_from_operations", "profit": "profit_after_tax"}
 #: Statement columns of nations: three parts and a total that leaves out line 7 for odd nations.
 COLUMNS = f"SELECT case_id AS table_id, fy AS period, revenue, accepted, returned + pending AS rest, CASE WHEN case_id % 2 = 1 THEN revenue - seventh ELSE revenue END AS printed, CASE WHEN case_id % 9 = 4 THEN 'lakh' ELSE 'crore' END AS unit FROM ({FISCAL}) f"
 #: Readings of quantities by supplier: tables are line numbers, figures return flag and line status.
@@ -28,6 +29,13 @@ READINGS = """
     SELECT l_suppkey AS doc_id, l_linenumber AS table_id, concat('c', l_returnflag, l_linestatus) AS concept, concat('FY', CAST(year(l_shipdate) AS VARCHAR(4))) AS period, floor(l_quantity / 10) * 10 AS value, l_orderkey AS page
     FROM lineitem
 """
+#: Readings of four anchors: figures lie 0, 0.75 or 1.5 above a base (so that they chain, with a step of 1), one table of each supplier far off; another entity's tables and front pages weigh otherwise.
+CONTRADICTING = """
+    SELECT l_suppkey AS doc_id, l_linenumber AS table_id, CASE l_orderkey % 4 WHEN 0 THEN 'revenue_from_operations' WHEN 1 THEN 'total_income' WHEN 2 THEN 'profit_before_tax' ELSE 'profit_after_tax' END AS concept,
+           concat('FY', CAST(year(l_shipdate) AS VARCHAR(4))) AS period, CAST((l_suppkey % 50 + 1) * 100 + (year(l_shipdate) % 7) * 10 AS DOUBLE) + CASE WHEN l_linenumber = l_suppkey % 7 + 1 THEN 5000.0 ELSE CAST(l_partkey % 3 AS DOUBLE) * 0.75 END AS value,
+           l_orderkey % 40 + 1 AS page, 40 AS n_pages, CASE WHEN l_linenumber = 3 AND l_suppkey % 2 = 0 THEN 'Standalone' END AS header
+    FROM lineitem
+"""
 EDITS = "SELECT c_custkey AS doc_id, {side} FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE o.o_orderdate {op} TIMESTAMP '1998-06-01 00:00:00' GROUP BY c_custkey, o_orderpriority"
 
 
@@ -36,8 +44,12 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = issue.select("doc_id", "platform", F.array("sector").alias("sectors"))
     keys = {"issue.fresh_issue_amount": "fresh", "objects.gcp_amount": "gcp", "objects.debt_repayment_amount": "debt", "issue.ofs_amount": "ofs", "issue.total_issue_amount": "total", "objects.unidentified_acquisition_amount": "unidentified", "objects.monitoring_agency_appointed": "agency"}
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("double").alias("value")) for k, c in keys.items()])
-    facts = issue.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.key", "r.value", F.array(F.lit(1)).alias("citations")).where("value is not null")
-    return docs, facts
+    # Some documents state the amount for general purposes on no page that could be cited.
+    cited = F.when((F.col("r.key") == "objects.gcp_amount") & (F.col("doc_id") % 8 == 5), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    facts = issue.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.key", "r.value", cited.alias("citations")).where("value is not null")
+    names = F.create_map(*[F.lit(x) for pair in SERIES_KEYS.items() for x in pair])
+    yearly = _series(spark, sf_dir).select("doc_id", F.concat(F.lit("financials."), names[F.col("concept")], F.lit(".FY"), F.col("fy").cast("string")).alias("key"), F.col("value").cast("double").alias("value"), F.array(F.lit(1)).alias("citations"))
+    return docs, facts.unionByName(yearly)
 
 
 def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +112,7 @@ def _weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consensus.consensus(_weighed(spark, sf_dir)).select("doc_id", "concept", "period", "total", "supporters", "strength", "rival")
+    return consensus.consensus(_weighed(spark, sf_dir)).select("doc_id", "concept", "period", F.col("value").cast("double").alias("value"), "total", "supporters", "strength", "rival")
 
 
 def facts_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +128,23 @@ def withheld_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.withheld_years(rows)
 
 
+def _contradicting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consensus.weigh(portable(spark, sf_dir, CONTRADICTING).withColumns({"step": F.lit(1.0), "confidence": F.lit(1.0), "trusted": F.lit(False)}))
+
+
+def weighed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights by page and header, summed over the readings of each table."""
+    return _contradicting(spark, sf_dir).groupBy("doc_id", "table_id").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+
+
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two passes over readings whose concepts are anchors."""
-    rows = _weighed(spark, sf_dir).withColumn("concept", F.element_at(F.array(*[F.lit(a) for a in consensus.ANCHORS]), (F.col("doc_id") % 4 + 1).cast("int")))
+    """Columns whose anchors all contradict what the other tables agree on."""
+    rows = _contradicting(spark, sf_dir)
     return consensus.quarantined(rows, consensus.consensus(rows))
 
 
 def facts_two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _weighed(spark, sf_dir).withColumn("concept", F.element_at(F.array(*[F.lit(a) for a in consensus.ANCHORS]), (F.col("doc_id") % 4 + 1).cast("int")))
-    return consensus.facts(rows)
+    return consensus.facts(_contradicting(spark, sf_dir))
 
 
 def fy_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,12 +205,13 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------------
+_COLUMN_OF = {key: column for column, key in SERIES_KEYS.items()}
+
+
 def _audit_sql(day: str) -> str:
     parts = []
     for rule_id, platforms, severity, start, end, not_for, kind, p in flags.RULES:
-        if kind not in ("ratio_vs_cap", "required_if"):
-            continue
-        column = {"issue.fresh_issue_amount": "fresh", "objects.gcp_amount": "gcp", "objects.debt_repayment_amount": "debt", "issue.ofs_amount": "ofs", "issue.total_issue_amount": "total", "objects.unidentified_acquisition_amount": "unidentified", "objects.monitoring_agency_appointed": "agency"}
+        column = {"issue.fresh_issue_amount": "fresh", "objects.gcp_amount": "CASE WHEN doc_id % 8 = 5 THEN NULL ELSE gcp END", "objects.debt_repayment_amount": "debt", "issue.ofs_amount": "ofs", "issue.total_issue_amount": "total", "objects.unidentified_acquisition_amount": "unidentified", "objects.monitoring_agency_appointed": "agency"}
         on = ", ".join(f"'{x}'" for x in platforms.split(","))
         live = (start is None or start <= day) and (end is None or day <= end)
         if kind == "ratio_vs_cap":
@@ -198,11 +219,17 @@ def _audit_sql(day: str) -> str:
             cap = f"least({p['cap']}, {p['abs_cap']} / {bottom})" if "abs_cap" in p else str(p["cap"])
             over = p.get("over", "high")
             said = f"CASE WHEN ({top}) IS NULL OR {bottom} IS NULL OR {bottom} <= 0 THEN 'missing_inputs' WHEN ({top}) / {bottom} > {cap} THEN 'flagged|{over}' WHEN ({top}) / {bottom} >= CAST({cap} AS DOUBLE) * {p['near']} THEN 'flagged|{severity}' ELSE 'clear' END"
+        elif kind == "persistent_below":
+            a, b = _COLUMN_OF[p["left"]], _COLUMN_OF[p["right"]]
+            said = f"coalesce((SELECT CASE WHEN count(*) < {p['periods']} THEN 'missing_inputs' WHEN count(*) FILTER (WHERE {b} > 0 AND {a} < {b}) >= {p['breaches']} THEN 'flagged|{severity}' ELSE 'clear' END FROM s WHERE s.doc_id = i.doc_id AND s.back <= {p['periods']}), 'missing_inputs')"
+        elif kind == "growth_gap":
+            a, b = _COLUMN_OF[p["left"]], _COLUMN_OF[p["right"]]
+            said = f"coalesce((SELECT CASE WHEN n.fy - o.fy <> 1 OR o.{a} <= 0 OR o.{b} <= 0 THEN 'missing_inputs' WHEN CAST(o.{a} AS DOUBLE) / o.{b} >= {p['base_ratio']} AND ((CAST(n.{a} AS DOUBLE) / o.{a} - 1) - (CAST(n.{b} AS DOUBLE) / o.{b} - 1)) * 100 >= {p['gap_pp']} THEN 'flagged|{severity}' ELSE 'clear' END FROM s n JOIN s o ON n.doc_id = o.doc_id AND n.back = 1 AND o.back = 2 WHERE n.doc_id = i.doc_id), 'missing_inputs')"
         else:
             a, b = column[p["trigger"]], column[p["required"]]
             said = f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN 'missing_inputs' WHEN {a} > {p['threshold']} AND {b} = 0 THEN 'flagged|{severity}' ELSE 'clear' END"
-        parts.append(f"SELECT doc_id, '{rule_id}' AS rule_id, CASE WHEN platform NOT IN ({on}) THEN 'other_platform' WHEN {'FALSE' if live else 'TRUE'} THEN 'not_in_force' ELSE {said} END AS said FROM i")
-    return f"WITH i AS ({ISSUE}), q AS ({' UNION ALL '.join(parts)}), audit AS (SELECT doc_id, rule_id, split_part(said, '|', 1) AS status, nullif(split_part(said, '|', 2), '') AS severity FROM q)"
+        parts.append(f"SELECT doc_id, '{rule_id}' AS rule_id, CASE WHEN platform NOT IN ({on}) THEN 'other_platform' WHEN {'FALSE' if live else 'TRUE'} THEN 'not_in_force' WHEN sector IN ({', '.join(f"'{x}'" for x in not_for.split(','))}) THEN 'not_applicable' ELSE {said} END AS said FROM i")
+    return f"WITH i AS ({ISSUE}), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fy DESC) AS back FROM ({SERIES}) x), q AS ({' UNION ALL '.join(parts)}), audit AS (SELECT doc_id, rule_id, split_part(said, '|', 1) AS status, nullif(split_part(said, '|', 2), '') AS severity FROM q)"
 
 
 _NOW, _THEN = _audit_sql("2025-06-30"), _audit_sql("2020-01-01")
@@ -210,13 +237,35 @@ _CONS = f"""
     WITH r AS ({READINGS}), x AS (SELECT doc_id, concept, period, value, count(*) AS n, count(*) FILTER (WHERE table_id <= 2) AS t FROM r GROUP BY ALL),
     g AS (SELECT *, sum(n) OVER w AS total, sum(t) OVER w > 0 AS any_t FROM x WINDOW w AS (PARTITION BY doc_id, concept, period)),
     k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, concept, period ORDER BY n DESC, value) AS place FROM g WHERE t > 0 OR NOT any_t),
-    c AS (SELECT doc_id, concept, period, CAST(max(total) AS BIGINT) AS total, CAST(max(n) FILTER (WHERE place = 1) AS BIGINT) AS supporters, CAST(max(n) FILTER (WHERE place = 1) AS DOUBLE) AS strength, CAST(coalesce(max(n) FILTER (WHERE place = 2), 0) AS DOUBLE) AS rival FROM k GROUP BY ALL)
+    c AS (SELECT doc_id, concept, period, CAST(max(total) AS BIGINT) AS total, CAST(max(value) FILTER (WHERE place = 1) AS DOUBLE) AS value, CAST(max(n) FILTER (WHERE place = 1) AS BIGINT) AS supporters, CAST(max(n) FILTER (WHERE place = 1) AS DOUBLE) AS strength, CAST(coalesce(max(n) FILTER (WHERE place = 2), 0) AS DOUBLE) AS rival FROM k GROUP BY ALL)
+"""
+
+
+def _agreed_sql(rows: str, name: str) -> str:
+    """Consensus over CTE rows, as CTEs that end in name: clusters by what lies 0, 0.75, 1.5 or 5000 above the base."""
+    key = "doc_id, concept, period"
+    return f"""
+        {name}_o AS (SELECT *, value - min(base) OVER (PARTITION BY {key}) AS above FROM {rows}),
+        {name}_h AS (SELECT *, bool_or(above = 0) OVER (PARTITION BY {key}) AS has0, bool_or(above = 0.75) OVER (PARTITION BY {key}) AS has1, count(*) OVER (PARTITION BY {key}) AS total FROM {name}_o),
+        {name}_c AS (SELECT *, CASE WHEN above > 100 THEN 3 WHEN has0 THEN CASE WHEN above = 1.5 THEN 2 ELSE 1 END ELSE 1 END AS cluster FROM {name}_h),
+        {name}_v AS (SELECT {key}, cluster, value, count(*) AS n, max(total) AS total, sum(weight) AS weight FROM {name}_c GROUP BY ALL),
+        {name}_k AS (SELECT {key}, cluster, max(total) AS total, sum(n) AS supporters, sum(weight) AS strength, min(value) AS head, arg_max(value, n * 1000000.0 + value) AS value FROM {name}_v GROUP BY ALL),
+        {name}_r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY strength DESC, head) AS place, max(head) OVER (PARTITION BY {key}) AS top FROM {name}_k),
+        {name} AS (SELECT {key}, max(total) AS total, max(value) FILTER (WHERE place = 1) AS agreed, max(supporters) FILTER (WHERE place = 1) AS supporters, max(strength) FILTER (WHERE place = 1) AS strength, coalesce(max(strength) FILTER (WHERE place = 2), 0) AS rival, bool_or(place = 1 AND head >= top) AS largest FROM {name}_r GROUP BY {key})"""
+
+
+_WEIGHED = f"""
+    WITH raw AS ({CONTRADICTING}), q AS (SELECT *, coalesce(header, '') = 'Standalone' AS other FROM raw),
+    w AS (SELECT *, CAST((doc_id % 50 + 1) * 100 + (CAST(substr(period, 3) AS INT) % 7) * 10 AS DOUBLE) AS base, CASE WHEN other AND NOT bool_and(other) OVER (PARTITION BY doc_id, concept, period) THEN 0.0 WHEN page * 4 <= n_pages THEN 2.0 ELSE 1.0 END AS weight FROM q)
+"""
+_QUARANTINE = f"""{_WEIGHED}, {_agreed_sql('w', 'a')},
+    bad AS (SELECT w.doc_id, w.table_id, w.period FROM w JOIN a ON w.doc_id = a.doc_id AND w.concept = a.concept AND w.period = a.period WHERE a.supporters >= 2 AND a.strength >= 2 * a.rival GROUP BY ALL HAVING NOT bool_or(abs(w.value - a.agreed) <= 1.0))
 """
 _KEEP = "(total = 1 OR (supporters >= 2 AND strength >= 2 * rival))"
 _ITEMS = "i2 AS (SELECT doc_id, CASE status WHEN 'flagged' THEN 'flag' ELSE 'unchecked' END AS kind, severity, length(rule_id) AS page, rule_id AS key FROM audit WHERE status IN ('flagged', 'missing_inputs'))"
 _SEV = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
 _EDIT = lambda op: EDITS.format(op=op, side="concat('issue.', o_orderpriority) AS key, CAST(SUM(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS value")
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rule_audit, rule_audit_2020, filing_index, growth_gap, persistent_below, newest_growth, footing, trusted_columns, drop_ambiguous, consensus_figures, facts_keep, withheld_figures, withheld_years, quarantine, facts_two_pass, fy_matrix, decide_field, top_candidates, validate_cross_field, value_diff, flag_diff, eval_score, read_first_topk, triage)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rule_audit, rule_audit_2020, filing_index, growth_gap, persistent_below, newest_growth, footing, trusted_columns, drop_ambiguous, consensus_figures, facts_keep, withheld_figures, withheld_years, weighed_readings, quarantine, facts_two_pass, fy_matrix, decide_field, top_candidates, validate_cross_field, value_diff, flag_diff, eval_score, read_first_topk, triage)}
 ORACLE: dict[str, str] = {
     "rule_audit": f"{_NOW} SELECT doc_id, rule_id, status, severity FROM audit",
     "rule_audit_2020": f"{_THEN} SELECT doc_id, rule_id, status, severity FROM audit",
@@ -227,10 +276,15 @@ ORACLE: dict[str, str] = {
     "footing": f"SELECT table_id, period, 'total_income' AS identity, abs(printed - accepted - rest) <= 3 AS ok FROM ({COLUMNS}) c WHERE unit = 'crore'",
     "trusted_columns": f"SELECT table_id, period FROM ({COLUMNS}) c WHERE unit = 'crore' AND abs(printed - accepted - rest) <= 3",
     "drop_ambiguous": f"SELECT doc_id, table_id, concept, period, value, page FROM (SELECT *, min(value) OVER w = max(value) OVER w AS one FROM ({READINGS}) r WINDOW w AS (PARTITION BY doc_id, table_id, concept, period)) t WHERE one",
-    "consensus_figures": f"{_CONS} SELECT doc_id, concept, period, total, supporters, strength, rival FROM c",
+    "consensus_figures": f"{_CONS} SELECT doc_id, concept, period, value, total, supporters, strength, rival FROM c",
     "facts_keep": f"{_CONS} SELECT doc_id, concept, period, supporters FROM c WHERE {_KEEP}",
     "withheld_figures": f"{_CONS} SELECT doc_id, concept, period, total, supporters FROM c WHERE NOT {_KEEP}",
     "withheld_years": f"{_CONS}, w AS (SELECT doc_id, CAST(substr(period, 3, 4) AS INT) AS fy FROM c WHERE NOT {_KEEP}), m AS (SELECT *, max(fy) OVER (PARTITION BY doc_id) AS newest FROM w) SELECT doc_id, count(*) FILTER (WHERE fy > newest - 2) AS n_listed, count(*) FILTER (WHERE fy <= newest - 2) AS n_older FROM m GROUP BY doc_id",
+    "weighed_readings": f"{_WEIGHED} SELECT doc_id, table_id, sum(weight) AS weight, count(*) AS n FROM w GROUP BY ALL",
+    "quarantine": f"{_QUARANTINE} SELECT * FROM bad",
+    "facts_two_pass": f"""{_QUARANTINE}, w2 AS (SELECT * FROM w ANTI JOIN bad USING (doc_id, table_id, period)), {_agreed_sql('w2', 'b')}
+        SELECT doc_id, 'financials.' || concept || '.' || period AS key, agreed AS value, CAST(supporters AS BIGINT) AS supporters FROM b
+        WHERE total = 1 OR (supporters >= 2 AND strength >= 2 * rival) OR (concept IN ('revenue_from_operations', 'total_income') AND largest AND supporters >= 2 AND strength > rival)""",
     "fy_matrix": f"WITH l AS (SELECT doc_id, fy, unnest(['revenue', 'receivables', 'cash', 'profit']) AS concept, unnest([revenue, receivables, cash, profit]) AS value FROM ({SERIES}) s) SELECT doc_id, concept, {', '.join(f'max(CASE WHEN fy = {y} THEN value END) AS FY{y}' for y in range(1997, 2002))} FROM l GROUP BY doc_id, concept",
     "top_candidates": f"SELECT * FROM (SELECT doc_id, ord, score, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, ord) AS INT) AS rank FROM ({CANDIDATES}) c) t WHERE rank <= 3",
     "validate_cross_field": f"WITH l AS (SELECT doc_id, fy AS period, profit, unnest(['total_assets', 'net_tangible_assets', 'revenue']) AS field, unnest([profit, receivables, revenue]) AS value FROM ({SERIES}) s) SELECT doc_id, period, field, CASE WHEN doc_id % 2 = 1 THEN 'not_found' WHEN (field = 'net_tangible_assets' AND value * 1000 > profit * 1001) OR (field = 'revenue' AND value < 0) THEN 'extracted_needs_verification' ELSE 'extracted_high_confidence' END AS checked FROM l",
