@@ -6,7 +6,7 @@ wordings of each concept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .periods import let
@@ -172,6 +172,11 @@ def skipped_column(header: Column) -> Column:
     return F.lower(header).rlike(r"%|\bnotes?\b|\bsr\.?\s*no\b|\bs\.?\s*no\b|\bparticulars\b")
 
 
+def note_columns(cells: DataFrame) -> DataFrame:
+    """table_no, col: columns that hold references to notes, whole numbers from 1 to 99 and nothing else (P15). cells: table_no, col, text."""
+    return cells.groupBy("table_no", "col").agg(F.bool_and(F.trim("text").rlike(r"^[1-9]\d?$")).alias("notes")).where("notes").select("table_no", "col")
+
+
 def family(key: Column) -> Column:
     """financials.<concept>.<period> belongs to its concept; any other key to its first part."""
     parts = F.split(key, r"\.")

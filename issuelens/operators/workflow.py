@@ -29,6 +29,13 @@ def appended(current: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataF
     return new.dropDuplicates(list(keys)).join(current.select(*keys), list(keys), "left_anti")
 
 
+def rejected(new: DataFrame, current: DataFrame, key: str, order: str) -> DataFrame:
+    """New rows whose id is taken, by a row that is there already or by an earlier new one: refused, not silently dropped."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    known = current.select(key, F.lit(True).alias("known")).distinct()
+    return new.withColumn("place", place).join(known, key, "left").where("place > 1 or known").drop("place", "known")
+
+
 def merged(outcomes: DataFrame, current: DataFrame) -> DataFrame:
     """What an extraction does to stored values: kept, replaced or unchanged, and whether a review item opens.
 

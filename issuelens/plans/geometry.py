@@ -15,7 +15,6 @@ LINES = "(SELECT l_orderkey, l_linenumber, MIN(l_returnflag) AS l_returnflag, MI
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORDS = "SELECT l_suppkey AS doc_id, l_linenumber AS page, l_orderkey AS no, CAST((l_orderkey * 7919) % 6000 AS DOUBLE) + l_orderkey / 1E8 AS x, CAST((l_orderkey * 104729) % 800 AS DOUBLE) AS y, width FROM (SELECT l_suppkey, l_linenumber, l_orderkey, MIN(l_quantity) AS width FROM lineitem GROUP BY l_suppkey, l_linenumber, l_orderkey) x"
-COLUMNS = "SELECT s_suppkey AS doc_id, p.page, c.col, CAST(c.col * 700 + (s_suppkey * 31) % 200 AS DOUBLE) AS at FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2 UNION ALL SELECT 3) p CROSS JOIN (SELECT 1 AS col UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 5 UNION ALL SELECT 7) c"
 BOXES = "SELECT s_suppkey AS doc_id, p.page, CAST(500 + (s_suppkey * 13) % 300 AS DOUBLE) AS x0, CAST(2500 + (s_suppkey * 17) % 900 AS DOUBLE) AS x1, CAST(100 + s_suppkey % 50 AS DOUBLE) AS y0, CAST(420 + s_suppkey % 99 AS DOUBLE) AS y1 FROM supplier CROSS JOIN (SELECT 1 AS page UNION ALL SELECT 2) p"
 #: The same columns and boxes on every page that occurs.
 _PAGES = "(SELECT DISTINCT l_suppkey AS doc_id, l_linenumber AS page FROM lineitem) p"
@@ -53,22 +52,10 @@ def statement_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.segments(rows, 1, 2).select("doc_id", "first_line", "last_line", "n")
 
 
-def nearest_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.nearest_column(_words(spark, sf_dir).where("page <= 3"), portable(spark, sf_dir, COLUMNS), 0.25).select("doc_id", "page", "no", "col")
-
-
-def band_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.banded(_words(spark, sf_dir).where("page <= 3").select("doc_id", "page", "no", "x"), portable(spark, sf_dir, COLUMNS).withColumnRenamed("at", "x"))
-
-
 def point_in_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.inside(_words(spark, sf_dir).select("doc_id", "page", "no", "x", "y"), portable(spark, sf_dir, BOXES)).select("doc_id", "page", "no")
 
 
-def outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.inside(_words(spark, sf_dir).where("page <= 2").select("doc_id", "page", "no", "x", "y"), portable(spark, sf_dir, BOXES), outside=True).select("doc_id", "page", "no")
-
-
 def nearest_column_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.nearest_column(_words(spark, sf_dir), portable(spark, sf_dir, ALL_COLUMNS), 0.25).select("doc_id", "page", "no", "col")
 
@@ -132,18 +119,14 @@ def scanned_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.scanned_statements(rows)
 
 
-_BAND = f"SELECT w.doc_id, w.page, w.no, c.col FROM (SELECT * FROM ({WORDS}) a WHERE page <= 3) w ASOF LEFT JOIN ({COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x >= c.at"
 _IN = f"EXISTS (SELECT 1 FROM ({BOXES}) b WHERE b.doc_id = w.doc_id AND b.page = w.page AND w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 AND b.y1)"
-QUERIES: dict[str, Query] = {f.__name__: f for f in (page_lines, page_cells, column_anchors, page_blocks, statement_segments, nearest_column, band_assign, point_in_box, outside_boxes, nearest_column_all, band_assign_all, outside_boxes_all, carry_forward, lookback_context, stitch, unit_donors, header_inheritance, label_column, transposed_tables, header_wording, slot_clashes, joined_numbers, image_coverage, scanned_statements)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (page_lines, page_cells, column_anchors, page_blocks, statement_segments, point_in_box, nearest_column_all, band_assign_all, outside_boxes_all, carry_forward, lookback_context, stitch, unit_donors, header_inheritance, label_column, transposed_tables, header_wording, slot_clashes, joined_numbers, image_coverage, scanned_statements)}
 ORACLE: dict[str, str] = {
     "page_cells": f"WITH w AS (SELECT doc_id, page, no, x, width FROM ({WORDS}) a), s AS (SELECT *, quantile_cont(width / 5, 0.5) OVER (PARTITION BY doc_id, page) AS sp, x - lag(x + width) OVER (PARTITION BY doc_id, page ORDER BY x) AS gap FROM w) SELECT doc_id, page, no, CAST(sum(CASE WHEN gap IS NULL OR gap > 2.2 * sp THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cell FROM s",
     "column_anchors": f"WITH s AS (SELECT *, x - lag(x) OVER (PARTITION BY doc_id, page ORDER BY x) AS gap FROM ({WORDS}) a), g AS (SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 30 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY x ROWS UNBOUNDED PRECEDING) AS BIGINT) AS anchor FROM s) SELECT doc_id, page, anchor, round(quantile_cont(x, 0.5), 3) AS at, count(*) AS n FROM g GROUP BY doc_id, page, anchor",
     "page_blocks": "WITH t AS (SELECT conv_id AS doc_id, turn AS line, turn * 20 + length(text) % 13 AS top FROM conversations), g AS (SELECT *, top - lag(top + 12) OVER (PARTITION BY doc_id ORDER BY line) AS gap FROM t) SELECT doc_id, line, CAST(sum(CASE WHEN gap IS NULL OR gap > 6 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM g",
     "statement_segments": "WITH r AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line, o_orderkey % 3 <> 0 AS is_data FROM orders), d AS (SELECT *, line - lag(line) OVER (PARTITION BY doc_id ORDER BY line) - 1 AS skip FROM r WHERE is_data), g AS (SELECT *, sum(CASE WHEN skip IS NULL OR skip > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS s FROM d) SELECT doc_id, min(line) AS first_line, max(line) AS last_line, count(*) AS n FROM g GROUP BY doc_id, s HAVING count(*) >= 2",
-    "nearest_column": f"WITH w AS (SELECT * FROM ({WORDS}) a WHERE page <= 3), m AS (SELECT w.doc_id, w.page, w.no, c.col, abs(w.x - c.at) AS away, row_number() OVER (PARTITION BY w.doc_id, w.page, w.no ORDER BY abs(w.x - c.at), c.col) AS r FROM w JOIN ({COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page) SELECT doc_id, page, no, col FROM m WHERE r = 1 AND away <= 175",
-    "band_assign": _BAND,
     "point_in_box": f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE {_IN}",
-    "outside_boxes": f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE page <= 2 AND NOT {_IN}",
     "carry_forward": f"SELECT doc_id, line, last_value(caption IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS caption_above FROM ({TURNS}) t",
     "lookback_context": f"SELECT doc_id, line, coalesce(bool_or(size > 60) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), FALSE) AS any_above FROM ({TURNS}) t",
     "stitch": f"WITH l AS (SELECT *, lag(page) OVER w AS p0, lag(bottom) OVER w AS b0, lag(width) OVER w AS w0, lag(header) OVER w AS h0 FROM ({TABLES}) t WINDOW w AS (PARTITION BY doc_id ORDER BY page, top)) SELECT doc_id, table_no, CAST(sum(CASE WHEN coalesce(page = p0 + 1 AND b0 >= 0.8 AND top <= 0.25 AND width = w0 AND (header IS NULL OR header IS NOT DISTINCT FROM h0), FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, top ROWS UNBOUNDED PRECEDING) AS BIGINT) AS whole FROM l",
@@ -157,6 +140,9 @@ ORACLE: dict[str, str] = {
 ORACLE["nearest_column_all"] = f"WITH m AS (SELECT w.doc_id, w.page, w.no, c.col, abs(w.x - c.at) AS away, row_number() OVER (PARTITION BY w.doc_id, w.page, w.no ORDER BY abs(w.x - c.at), c.col) AS r FROM ({WORDS}) w JOIN ({ALL_COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page) SELECT doc_id, page, no, col FROM m WHERE r = 1 AND away <= 175"
 ORACLE["band_assign_all"] = f"SELECT w.doc_id, w.page, w.no, c.col FROM ({WORDS}) w ASOF LEFT JOIN ({ALL_COLUMNS}) c ON w.doc_id = c.doc_id AND w.page = c.page AND w.x >= c.at"
 ORACLE["outside_boxes_all"] = f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE NOT EXISTS (SELECT 1 FROM ({ALL_BOXES}) b WHERE b.doc_id = w.doc_id AND b.page = w.page AND w.x BETWEEN b.x0 AND b.x1 AND w.y BETWEEN b.y0 AND b.y1)"
+# The same under the names without _all.
+QUERIES |= {name: QUERIES[f"{name}_all"] for name in ("nearest_column", "band_assign", "outside_boxes")}
+ORACLE |= {name: ORACLE[f"{name}_all"] for name in ("nearest_column", "band_assign", "outside_boxes")}
 ORACLE["joined_numbers"] = f"""
     WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber * 10 AS x0, l_linenumber * 10 + 7 + l_partkey % 4 AS x1, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS text FROM {LINES}),
     c AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id ORDER BY x0) <= 2, FALSE) AS close FROM t),
