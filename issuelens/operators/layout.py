@@ -1,4 +1,4 @@
-"""From words on a page to lines, cells, columns and tables.
+"""From words on a page to lines, cells, columns and tables.
 
 Everything joins or windows on (doc_id, page) first; only running means and carried state fold in Python, a page (or a
 document's few hundred pages) at a time.
@@ -62,11 +62,15 @@ def blocks(text_lines: DataFrame, most: float = 0.9) -> DataFrame:
     return islands(tall, PAGE, "line", F.col("gap").isNull() | (F.col("gap") > most * (F.col("bottom") - F.col("top"))), "block").drop("gap")
 
 
-def segments(rows: DataFrame, most_between: int = 3, least: int = 3) -> DataFrame:
-    """Runs of data lines with at most so many others between; runs of fewer than least are no statement. rows: doc_id, page, line, is_data."""
+def segments(rows: DataFrame, most_between: int = 3, least: int = 3, most_heights: float = 6.0) -> DataFrame:
+    """Runs of data lines with at most so many others between and, where tops and bottoms are given, no gap of over most_heights times a line's height; runs of fewer than least are no statement (W12). rows: doc_id, page, line, is_data, and top and bottom if known."""
     data = rows.where("is_data")
-    before = F.lag("line").over(Window.partitionBy(*PAGE).orderBy("line"))
-    run = islands(data.withColumn("skip", F.col("line") - before - 1), PAGE, "line", F.col("skip").isNull() | (F.col("skip") > most_between), "segment")
+    by = Window.partitionBy(*PAGE).orderBy("line")
+    apart = F.col("skip").isNull() | (F.col("skip") > most_between)
+    if "top" in rows.columns:
+        apart = apart | (F.col("top") - F.lag("bottom").over(by) > most_heights * (F.col("bottom") - F.col("top")))
+    marked = data.withColumn("skip", F.col("line") - F.lag("line").over(by) - 1).withColumn("apart", apart)
+    run = islands(marked, PAGE, "line", F.col("apart"), "segment")
     return run.groupBy(*PAGE, "segment").agg(F.min("line").alias("first_line"), F.max("line").alias("last_line"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -108,16 +112,25 @@ def carried(rows: DataFrame, by: list[str], order: str, column: str, back: int)
     return rows.withColumn(f"{column}_above", F.last(column, ignorenulls=True).over(frame))
 
 
+def carried_or_head(rows: DataFrame, by: list[str], order: str, column: str, back: int, head: int = 12) -> DataFrame:
+    """As carried, and where those rows hold nothing, the last value among the first head rows of the page, as far as they lie above."""
+    near = carried(rows, by, order, column, back)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    above = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    top = F.last(F.when(F.col("place") <= head, F.col(column)), ignorenulls=True).over(above)
+    return near.withColumn("place", place).withColumn(f"{column}_above", F.coalesce(f"{column}_above", top)).drop("place")
+
+
 def any_above(rows: DataFrame, by: list[str], order: str, hit: Column, back: int = 40) -> DataFrame:
     """rows with whether any of the back rows before has a hit."""
     return rows.withColumn("any_above", F.coalesce(F.bool_or(hit).over(Window.partitionBy(*by).orderBy(order).rowsBetween(-back, -1)), F.lit(False)))
 
 
 def stitched(tables: DataFrame) -> DataFrame:
-    """tables with whole: a number that tables share which run on over a page break: next page, bottom at 80 % or lower, top at 25 % or higher, same width, same header or none. tables: doc_id, page, top, bottom, width, header."""
+    """tables with whole: a number that tables share which run on over a page break: next page, bottom at 80 % or lower, top at 25 % or higher, same width, same header or none, same unit or none on either side (W18). tables: doc_id, page, top, bottom, width, header, unit."""
     by = Window.partitionBy("doc_id").orderBy("page", "top")
     was = lambda c: F.lag(c).over(by)
-    goes_on = (F.col("page") == was("page") + 1) & (was("bottom") >= 0.8) & (F.col("top") <= 0.25) & (F.col("width") == was("width")) & (F.col("header").isNull() | F.col("header").eqNullSafe(was("header")))
+    goes_on = (F.col("page") == was("page") + 1) & (was("bottom") >= 0.8) & (F.col("top") <= 0.25) & (F.col("width") == was("width")) & (F.col("header").isNull() | F.col("header").eqNullSafe(was("header"))) & F.coalesce(F.col("unit") == was("unit"), F.lit(True))
     marked = tables.withColumn("new", ~F.coalesce(goes_on, F.lit(False)))
     return marked.withColumn("whole", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
@@ -145,11 +158,14 @@ def inherited(tables: DataFrame, column: str, most_pages: int = 2, same: tuple[s
 
 
 def unit_donors(tables: DataFrame, most_pages: int = 2) -> DataFrame:
-    """Tables without a unit and the one unit of tables of the same dates on the pages before, if they agree. tables: doc_id, table_no, page, unit, dates."""
+    """Tables without a unit and the one unit of tables of the same dates at most so many pages before, if they agree; of those as near behind where none is before (J16). tables: doc_id, table_no (in order), page, unit, dates."""
     left = tables.where("unit is null").select("doc_id", "table_no", "page", "dates")
-    right = tables.where("unit is not null").select("doc_id", "dates", F.col("page").alias("donor_page"), F.col("unit").alias("donor"))
-    met = left.join(right, ["doc_id", "dates"]).where((F.col("donor_page") <= F.col("page")) & (F.col("page") - F.col("donor_page") <= most_pages))
-    return met.groupBy("doc_id", "table_no").agg(F.min("donor").alias("unit"), F.max("donor").alias("other")).where("unit = other").drop("other")
+    right = tables.where("unit is not null").select("doc_id", "dates", F.col("table_no").alias("donor_no"), F.col("page").alias("donor_page"), F.col("unit").alias("donor"))
+    met = left.join(right, ["doc_id", "dates"]).where(F.abs(F.col("donor_page") - F.col("page")) <= most_pages)
+    side = lambda name, ok: [f(F.when(ok, F.col("donor"))).alias(f"{name}_{k}") for k, f in (("least", F.min), ("most", F.max))]
+    told = met.groupBy("doc_id", "table_no").agg(*side("before", F.col("donor_no") < F.col("table_no")), *side("after", F.col("donor_no") > F.col("table_no")))
+    agreed = lambda name: F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least"))
+    return told.select("doc_id", "table_no", F.when(F.col("before_least").isNotNull(), agreed("before")).otherwise(agreed("after")).alias("unit")).where("unit is not null")
 
 
 def label_column(cells_: DataFrame, most: int = 5) -> DataFrame:

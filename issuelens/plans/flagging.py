@@ -286,6 +286,10 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, 'financials.' || concept || '.' || period AS key, agreed AS value, CAST(supporters AS BIGINT) AS supporters FROM b
         WHERE total = 1 OR (supporters >= 2 AND strength >= 2 * rival) OR (concept IN ('revenue_from_operations', 'total_income') AND largest AND supporters >= 2 AND strength > rival)""",
     "fy_matrix": f"WITH l AS (SELECT doc_id, fy, unnest(['revenue', 'receivables', 'cash', 'profit']) AS concept, unnest([revenue, receivables, cash, profit]) AS value FROM ({SERIES}) s) SELECT doc_id, concept, {', '.join(f'max(CASE WHEN fy = {y} THEN value END) AS FY{y}' for y in range(1997, 2002))} FROM l GROUP BY doc_id, concept",
+    "decide_field": f"""WITH c AS ({CANDIDATES}), k AS (SELECT doc_id, field, value, max(score) AS top, max(score) + least(CAST(0.1 AS DOUBLE), CAST(0.05 AS DOUBLE) * (count(DISTINCT source) - 1)) AS score, count(DISTINCT source) AS sources, arg_max(ord, score * 1000 - ord) AS first FROM c GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, top DESC, first) AS place, max(score) OVER (PARTITION BY doc_id, field) AS best FROM k),
+        d AS (SELECT doc_id, field, max(value) FILTER (WHERE place = 1) AS value, max(best) AS best, max(sources) FILTER (WHERE place = 1) AS sources, count(*) FILTER (WHERE score >= best - 0.15 - 1e-9) - 1 AS rivals FROM r GROUP BY doc_id, field)
+        SELECT doc_id, field, CAST(value AS DOUBLE) AS value, round(best, 4) AS score, sources, rivals, CASE WHEN rivals > 0 THEN 'conflicting_candidates' WHEN best >= 0.78 AND sources >= 2 THEN 'extracted_high_confidence' ELSE 'extracted_needs_verification' END AS status FROM d""",
     "top_candidates": f"SELECT * FROM (SELECT doc_id, ord, score, CAST(row_number() OVER (PARTITION BY doc_id, field ORDER BY score DESC, ord) AS INT) AS rank FROM ({CANDIDATES}) c) t WHERE rank <= 3",
     "validate_cross_field": f"WITH l AS (SELECT doc_id, fy AS period, profit, unnest(['total_assets', 'net_tangible_assets', 'revenue']) AS field, unnest([profit, receivables, revenue]) AS value FROM ({SERIES}) s) SELECT doc_id, period, field, CASE WHEN doc_id % 2 = 1 THEN 'not_found' WHEN (field = 'net_tangible_assets' AND value * 1000 > profit * 1001) OR (field = 'revenue' AND value < 0) THEN 'extracted_needs_verification' ELSE 'extracted_high_confidence' END AS checked FROM l",
     "value_diff": f"SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, coalesce(o.key, n.key) AS key, CAST(o.value AS DOUBLE) AS old, CAST(n.value AS DOUBLE) AS new, CASE WHEN o.value IS NULL THEN 'added' WHEN n.value IS NULL THEN 'removed' WHEN abs(n.value - o.value) <= 1000 THEN 'same' ELSE 'moved' END AS kind, CASE WHEN o.value <> 0 THEN round((n.value - o.value) / CAST(abs(o.value) AS DOUBLE) * 100, 3) END AS pct FROM ({_EDIT('<')}) o FULL JOIN ({_EDIT('>=')}) n ON o.doc_id = n.doc_id AND o.key = n.key",

@@ -129,8 +129,9 @@ ORACLE: dict[str, str] = {
     "point_in_box": f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE {_IN}",
     "carry_forward": f"SELECT doc_id, line, last_value(caption IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS caption_above FROM ({TURNS}) t",
     "lookback_context": f"SELECT doc_id, line, coalesce(bool_or(size > 60) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), FALSE) AS any_above FROM ({TURNS}) t",
-    "stitch": f"WITH l AS (SELECT *, lag(page) OVER w AS p0, lag(bottom) OVER w AS b0, lag(width) OVER w AS w0, lag(header) OVER w AS h0 FROM ({TABLES}) t WINDOW w AS (PARTITION BY doc_id ORDER BY page, top)) SELECT doc_id, table_no, CAST(sum(CASE WHEN coalesce(page = p0 + 1 AND b0 >= 0.8 AND top <= 0.25 AND width = w0 AND (header IS NULL OR header IS NOT DISTINCT FROM h0), FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, top ROWS UNBOUNDED PRECEDING) AS BIGINT) AS whole FROM l",
-    "unit_donors": f"WITH t AS ({TABLES}) SELECT a.doc_id, a.table_no, min(b.unit) AS unit FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.dates = b.dates AND b.page <= a.page AND a.page - b.page <= 2 WHERE a.unit IS NULL AND b.unit IS NOT NULL GROUP BY a.doc_id, a.table_no HAVING min(b.unit) = max(b.unit)",
+    "stitch": f"WITH l AS (SELECT *, lag(page) OVER w AS p0, lag(bottom) OVER w AS b0, lag(width) OVER w AS w0, lag(header) OVER w AS h0, lag(unit) OVER w AS u0 FROM ({TABLES}) t WINDOW w AS (PARTITION BY doc_id ORDER BY page, top)) SELECT doc_id, table_no, CAST(sum(CASE WHEN coalesce(page = p0 + 1 AND b0 >= 0.8 AND top <= 0.25 AND width = w0 AND (header IS NULL OR header IS NOT DISTINCT FROM h0) AND coalesce(unit = u0, TRUE), FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, top ROWS UNBOUNDED PRECEDING) AS BIGINT) AS whole FROM l",
+    "unit_donors": f"""WITH t AS ({TABLES}), m AS (SELECT a.doc_id, a.table_no, min(b.unit) FILTER (WHERE b.table_no < a.table_no) AS b0, max(b.unit) FILTER (WHERE b.table_no < a.table_no) AS b1, min(b.unit) FILTER (WHERE b.table_no > a.table_no) AS a0, max(b.unit) FILTER (WHERE b.table_no > a.table_no) AS a1
+        FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.dates = b.dates AND abs(a.page - b.page) <= 2 WHERE a.unit IS NULL AND b.unit IS NOT NULL GROUP BY ALL) SELECT doc_id, table_no, coalesce(b0, a0) AS unit FROM m WHERE CASE WHEN b0 IS NOT NULL THEN b0 = b1 ELSE a0 = a1 END""",
     "label_column": "SELECT doc_id, table_no, min(col) AS col FROM (SELECT l_suppkey AS doc_id, l_orderkey % 50 AS table_no, l_linenumber - 1 AS col FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL HAVING avg(CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 THEN 0 ELSE 1 END) >= 0.5) t GROUP BY doc_id, table_no",
     "transposed_tables": "SELECT l_suppkey AS doc_id, l_orderkey % 50 AS table_no, avg(CASE WHEN l_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS transposed FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL",
     "header_wording": f"WITH h AS (SELECT l_orderkey AS doc_id, l_linenumber AS col, CASE WHEN l_returnflag = 'R' THEN 'year ' || l_linestatus END AS wording FROM {LINES}) SELECT doc_id, col, coalesce(wording, last_value(wording IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY col ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(wording IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY col ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS wording FROM h",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import eligibility as e
+from ..operators.workflow import TRANSITIONS
 from ..sources import files, reports
 from ..streaming import events as streams
 from .inputs import portable
@@ -79,24 +80,20 @@ def _streamed(spark: SparkSession, sf_dir: str, transform: Callable[[DataFrame],
     table = f"{sf_dir}/events.parquet"
     shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     at = f"{shared}/stream-{uuid.uuid4().hex}"
-    source = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table if not table.endswith(".parquet") or _is_folder(spark, table) else f"{sf_dir}/events*.parquet")
+    # A file source takes folders and patterns; a pattern that begins with the table's name fits it whether it is a file or a folder.
+    source = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{sf_dir}/events.parquet*")
     query = transform(source).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
-
-
 def stream_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First uploads by user and type, while the watermark holds them: as many as there are pairs, all events being in one span."""
     return _streamed(spark, sf_dir, lambda s: streams.unique_uploads(s.select(F.col("user_id").alias("case_id"), F.col("event_type").alias("sha256"), F.col("ts").cast("timestamp").alias("ts")), "3650 days")).select("case_id", "sha256")
 
 
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sf_dir, lambda s: streams.admitted(s.select("event_id", "user_id", "ts"), 3, 86_400))
+    return _streamed(spark, sf_dir, lambda s: streams.admitted(s.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")), 3, 86_400))
 
 
 def stream_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,4 +112,13 @@ ORACLE: dict[str, str] = {
     "rule_sources": "WITH r AS (SELECT p_brand AS source_id FROM part UNION ALL SELECT p_type FROM part) SELECT source_id, count(*) AS n FROM r WHERE source_id NOT IN (SELECT p_brand FROM part WHERE p_size < 10) GROUP BY source_id",
     "draft_labels": "SELECT doc_id, lang AS key, 'present' AS status, n_chars AS value, CAST(1 AS INT) AS page, 'draft' AS note FROM documents",
     "stream_unique": "SELECT DISTINCT user_id AS case_id, event_type AS sha256 FROM events",
+    "stream_rate_limit": """WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        r AS (SELECT event_id, user_id, n, [t] AS held, TRUE AS allowed FROM e WHERE n = 1
+            UNION ALL SELECT event_id, user_id, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM (SELECT e.*, list_filter(r.held, lambda h: h > e.t - 86400) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1) x)
+        SELECT event_id, user_id, allowed FROM r""",
+    "stream_states": f"""WITH RECURSIVE e AS (SELECT user_id AS doc_id, event_id AS seq, ['extracting', 'extracted', 'complete', 'failed', 'deleted'][event_id % 5 + 1] AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        t AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, bs in TRANSITIONS.items() for b in bs)}) v(was, becomes)),
+        r AS (SELECT doc_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, 'uploaded' AS state, TRUE AS accepted FROM e WHERE n = 1
+            UNION ALL SELECT e.doc_id, e.seq, e.n, CASE WHEN t.was IS NULL THEN r.state ELSE e.wanted END, t.was IS NOT NULL FROM r JOIN e ON e.doc_id = r.doc_id AND e.n = r.n + 1 LEFT JOIN t ON t.was = r.state AND t.becomes = e.wanted)
+        SELECT doc_id, seq, state, accepted FROM r WHERE n > 0""",
 }

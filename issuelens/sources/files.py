@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,13 @@ def validated(files: DataFrame, max_bytes: int = 100 << 20, content: str = "cont
 
 
 def safe_name(name: Column, most: int = 150) -> Column:
-    """The last part of a path, printable characters only, most characters at the most."""
-    last = F.regexp_extract(name, r"([^/\\]*)$", 1)
-    return F.left(F.trim(F.regexp_replace(last, r"[^\w.()\[\] \-]", "_")), F.lit(most))
+    """The last part of a path in its compatibility form (NFKC), letters and digits of any script and plain marks only, most characters at the most."""
+    last = F.pandas_udf(_composed, "string")(F.regexp_extract(name, r"([^/\\]*)$", 1))
+    return F.left(F.trim(F.regexp_replace(last, r"(?U)[^\w.()\[\] \-]", "_")), F.lit(most))
+
+
+def _composed(names: pd.Series) -> pd.Series:
+    return names.str.normalize("NFKC")
 
 
 def stored(files: DataFrame) -> DataFrame:
@@ -34,9 +39,13 @@ def stored(files: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an append-only JSON-lines manifest; lines are read in order of file and place."""
-    lines = spark.read.schema(MANIFEST).json(path)
-    return lines.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("seq"))
+    """Entries of an append-only JSON-lines manifest, each with its place: file, and number of the line in it.
+
+    A manifest file is read whole by one task and its lines numbered, so that the order doesn't depend on how files are split.
+    """
+    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "json"))
+    read = whole.where(F.trim("json") != "").select(F.from_json("json", MANIFEST).alias("entry"), F.struct("file", "line").alias("seq"))
+    return read.select("entry.*", "seq")
 
 
 def last_entries(entries: DataFrame, key: str = "doc_id", seq: str = "seq") -> DataFrame:

@@ -22,22 +22,35 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def admitted(events: DataFrame, most: int, seconds: int) -> DataFrame:
-    """event_id, user_id, allowed: at most so many admitted events of a user in a sliding window; refused ones don't count."""
+def admitted(events: DataFrame, most: int, seconds: int, late: str = "1 day") -> DataFrame:
+    """event_id, user_id, allowed: at most so many admitted events of a user in a sliding window; refused ones don't count.
+
+    The times that a user's state holds are those of one window, most at the most; once the watermark has passed it, the
+    state is dropped, so idle users cost nothing. Within a batch, events are taken in order of time.
+    """
 
     def limit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         allowed = []
-        for at in rows["ts"].astype("int64") // 10**9 if rows["ts"].dtype == "datetime64[ns]" else rows["ts"].map(lambda t: int(t.timestamp())):
+        for at in rows["ts"].map(lambda t: int(t.timestamp())):
             held = [t for t in held if t > at - seconds]
             allowed.append(len(held) < most)
             if allowed[-1]:
-                held.append(int(at))
-        state.update((held,))
+                held.append(at)
+        ends = (held[-1] + seconds) * 1000 if held else 0
+        if ends > state.getCurrentWatermarkMs():
+            state.update((held,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
 
-    return events.groupBy("user_id").applyInPandasWithState(limit, "event_id long, user_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", late)
+    return timed.groupBy("user_id").applyInPandasWithState(limit, "event_id long, user_id long, allowed boolean", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def document_states(changes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from issuelens.operators import candidates, compare, consensus, documents, eligibility, evidence, flags, layout, prose, ranking, workflow
+from issuelens.operators import candidates, compare, consensus, documents, eligibility, evidence, flags, headers, layout, prose, ranking, workflow
 from issuelens.streaming import events
 
 
@@ -216,3 +216,58 @@ def test_suggestions_and_monitoring_agency(spark):
     assert got == {(1, "listing_route"): ("mainboard_reg6_2", 7), (1, "is_book_built"): ("true", 7), (1, "issue_type"): ("fresh", 1), (2, "issue_type"): ("mixed", 1)}
     said = [(1, "We have appointed XYZ as the monitoring agency."), (2, "Our company is not required to appoint a monitoring agency."), (3, "We have appointed X as monitoring agency. No monitoring agency is needed."), (4, "A monitoring agency has been appointed."), (5, None)]
     assert {r.doc_id: r.appointed for r in documents.monitoring_agency(spark.createDataFrame(said, "doc_id int, text string")).collect()} == {1: 1, 2: 0, 4: 1}
+
+
+def test_header_band_stops_at_gaps_captions_and_data(spark):
+    # line: top, bottom, data, caption, header
+    spec = [(10, 20, False, False, True), (25, 35, False, True, False), (40, 50, False, False, True), (55, 65, False, False, False), (70, 80, True, False, False), (85, 95, True, False, False), (150, 160, False, False, True), (200, 210, False, False, True), (215, 225, True, False, False)]
+    rows = [(1, 1, i + 1, float(a), float(b), d, c, h) for i, (a, b, d, c, h) in enumerate(spec)]
+    got = headers.header_band(spark.createDataFrame(rows, "doc_id int, page int, line int, top double, bottom double, is_data boolean, is_caption boolean, is_header boolean")).collect()
+    assert sorted((r.line, r.data_line) for r in got) == [(3, 5), (8, 9)]
+
+
+def test_lines_join_the_first_word_of_a_line(spark):
+    words = [(1, 1, i, t, float(i)) for i, t in enumerate([10.0, 12.0, 12.9, 14.0, 15.9, 30.0])]
+    got = headers.lines_by_head(spark.createDataFrame(words, "doc_id int, page int, word_no int, top double, x0 double")).collect()
+    assert [r.line for r in sorted(got, key=lambda r: r.word_no)] == [1, 1, 1, 2, 2, 3]
+
+
+def test_period_windows_are_short_and_tight(spark):
+    cells = {1: "Particulars March 31, 2025 March 31, 2024", 2: "nine months ended December 31, 2023 Fiscal 2023", 3: "Note 12 and 14", 4: "FY 2023 FY 2022 FY 2021"}
+    words = [(c, i, w) for c, text in cells.items() for i, w in enumerate(text.split())]
+    got = sorted(tuple(r) for r in headers.period_windows(spark.createDataFrame(words, "cell int, word_no int, text string"), ["cell"]).collect())
+    assert got == [(1, 1, 3, "FY2025"), (1, 4, 6, "FY2024"), (2, 0, 5, "P2023-12-31-9M"), (2, 6, 7, "FY2023"), (4, 0, 1, "FY2023"), (4, 2, 3, "FY2022"), (4, 4, 5, "FY2021")]
+
+
+def test_basis_lines_below_and_above(spark):
+    words = [(2, 100.0, "(Consolidated)"), (3, 205.0, "Standalone"), (0, 205.0, "Consolidated"), (12, 100.0, "Standalone"), (11, 5.0, "Total"), (11, 9.0, "income")]
+    columns = [(1, 1, 110.0), (1, 2, 190.0), (10, 1, 110.0)]
+    got = headers.column_basis(spark.createDataFrame([(1, 1, *w) for w in words], "doc_id int, page int, line int, x double, text string"), spark.createDataFrame([(1, 1, *c) for c in columns], "doc_id int, page int, line int, col int, x double"))
+    assert sorted((r.line, r.col, r.basis) for r in got.collect()) == [(1, 1, "consolidated"), (1, 2, "standalone")]
+
+
+def test_series_rules_and_uncited_facts(spark):
+    facts = [(1, f"financials.{c}.{p}", v, [1]) for c, p, v in [("cash_from_operations", "FY2022", 1.0), ("cash_from_operations", "FY2023", -1.0), ("cash_from_operations", "FY2024", 9.0), ("cash_from_operations", "9M-2024-12-31", 0.0), ("profit_after_tax", "FY2022", 2.0), ("profit_after_tax", "FY2023", 2.0), ("profit_after_tax", "FY2024", 2.0), ("trade_receivables", "FY2023", 10.0), ("trade_receivables", "FY2024", 15.0), ("revenue_from_operations", "FY2023", 100.0), ("revenue_from_operations", "FY2024", 110.0)]]
+    facts += [(1, "objects.gcp_amount", 90.0, []), (1, "issue.fresh_issue_amount", 100.0, [1])]
+    docs = spark.createDataFrame([(1, "mainboard", ["other"]), (2, "mainboard", ["lender"])], "doc_id int, platform string, sectors array<string>")
+    out = flags.audit(docs, spark.createDataFrame(facts, "doc_id int, key string, value double, citations array<int>"), flags.catalogue(spark), F.lit("2025-06-30").cast("date"))
+    got = {(r.doc_id, r.rule_id): r.status for r in out.collect()}
+    assert len(got) == 24 and got[1, "FIN-CFO-BELOW-PAT"] == "flagged" and got[1, "FIN-RECEIVABLES-OUTGROW-REVENUE"] == "flagged"
+    assert got[2, "FIN-CFO-BELOW-PAT"] == "not_applicable" and got[2, "FIN-RECEIVABLES-OUTGROW-REVENUE"] == "missing_inputs" and got[1, "OBJ-GCP-CAP-MAINBOARD"] == "missing_inputs"
+
+
+def test_partial_layout_rules(spark, tmp_path):
+    tables = [(1, 1, 1, "lakh", 1), (1, 2, 2, None, 1), (1, 3, 3, "crore", 1), (2, 1, 1, None, 1), (2, 2, 2, "crore", 1), (3, 1, 1, "lakh", 1), (3, 2, 1, "crore", 1), (3, 3, 2, None, 1)]
+    got = {(r.doc_id, r.table_no): r.unit for r in layout.unit_donors(spark.createDataFrame(tables, "doc_id int, table_no int, page int, unit string, dates int")).collect()}
+    assert got == {(1, 2): "lakh", (2, 1): "crore"}
+    rows = [(1, 1, i, True, float(t), float(t + 10)) for i, t in enumerate([0, 12, 24, 100, 112, 124])]
+    assert [r.n for r in layout.segments(spark.createDataFrame(rows, "doc_id int, page int, line int, is_data boolean, top double, bottom double")).collect()] == [3, 3]
+    lines = [(1, i, "unit" if i == 2 else None) for i in range(40)]
+    above = {r.line: r.caption_above for r in layout.carried_or_head(spark.createDataFrame(lines, "doc_id int, line int, caption string"), ["doc_id"], "line", "caption", 10).collect()}
+    assert above[2] is None and above[12] == "unit" and above[30] == "unit"
+    from issuelens.sources import files
+
+    names = spark.createDataFrame([("a/b\\ré​sumé①.pdf",), ("x:y.pdf",)], "n string").select(files.safe_name(F.col("n")).alias("n"))
+    assert [r.n for r in names.collect()] == ["ré_sumé1.pdf", "x_y.pdf"]
+    (tmp_path / "m.jsonl").write_text('{"doc_id": "a", "url": "1"}\n\n{"doc_id": "a", "url": "2"}\n{"doc_id": "b", "url": "3"}\n')
+    assert {r.doc_id: r.url for r in files.last_entries(files.manifest(spark, str(tmp_path))).collect()} == {"a": "2", "b": "3"}
