@@ -130,9 +130,9 @@ FACTS = "SELECT d.doc_id, CAST(d.doc_id % 3 AS INT) AS page, substr(d.text, 10,
 
 
 def evidence_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts cut from texts, against pages cut from the same texts, some shifted."""
+    """Quotes from texts against pages that hold the whole texts, some of them turned round."""
     facts = portable(spark, sf_dir, FACTS).withColumn("table_pages", F.array(F.lit(0), F.lit(1)))
-    pages = portable(spark, sf_dir, "SELECT doc_id, CAST(doc_id % 3 AS INT) AS page, CASE WHEN doc_id % 5 = 0 THEN substr(text, 40, 200) ELSE text END AS text FROM documents")
+    pages = portable(spark, sf_dir, "SELECT doc_id, CAST(doc_id % 3 AS INT) AS page, CASE WHEN doc_id % 5 = 0 THEN reverse(text) ELSE text END AS text FROM documents")
     return evidence.verified(facts, pages).select("doc_id", "in_span", "in_table", "on_page")
 
 
@@ -207,7 +207,7 @@ ORACLE: dict[str, str] = {
     "coerced_values": "SELECT event_id, TRY_CAST(props ->> '$.k' AS BIGINT) AS as_int, CAST(NULL AS BOOLEAN) AS as_bool, CAST(NULL AS BIGINT) AS refused FROM events",
     "runs_with_documents": "SELECT c_mktsegment, o_orderstatus, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
     "stale_labels": "SELECT doc_id, 'old' AS sha256, source AS current FROM documents WHERE doc_id % 4 = 0",
-    "evidence_verified": f"WITH {_FACTS} SELECT f.doc_id, contains(f.span, f.raw) AS in_span, f.page IN (0, 1) AS in_table, contains(regexp_replace(CASE WHEN f.doc_id % 5 = 0 THEN substr(d.text, 40, 200) ELSE d.text END, '\\s+', '', 'g'), regexp_replace(f.raw, '\\s+', '', 'g')) AS on_page FROM f JOIN documents d ON f.doc_id = d.doc_id",
+    "evidence_verified": f"WITH {_FACTS} SELECT f.doc_id, contains(f.span, f.raw) AS in_span, f.page IN (0, 1) AS in_table, contains(regexp_replace(CASE WHEN f.doc_id % 5 = 0 THEN reverse(d.text) ELSE d.text END, '\\s+', '', 'g'), regexp_replace(f.raw, '\\s+', '', 'g')) AS on_page FROM f JOIN documents d ON f.doc_id = d.doc_id",
     "labels_verified": f"WITH {_FACTS} SELECT doc_id, page IN (0, 1) AS found FROM f",
     "hidden_pages": "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderkey % 5 IN (c_custkey % 5, (c_custkey + 1) % 5) AND o_orderkey % 5 + 1 IN (c_custkey % 5, (c_custkey + 1) % 5))",
     "fingerprint": """SELECT c_custkey, sha256('{"name":"' || c_name || '","nation":' || c_nationkey || ',"segment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || '}') AS sha256 FROM customer""",
