@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-#: Nodes of HUB neighbours or more, and of a share of 1 / HUBS of all edges: 2 * HUBS at most, 16 bytes each.
-HUBS, HUB = 100_000, 1000
+#: Nodes of HUB neighbours or more (16 MB that one task would read), and of a share of 1 / HUBS of all edges: 2 * HUBS at most, 16 bytes each.
+HUBS, HUB = 100_000, 1_000_000
 
 
 def _told(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
     """rows with the m of their u; least: u, m, n (rows of u). Hubs tell theirs to every task, so that no task reads a hub's neighbours whole."""
+    if 2 * edges < HUB:  # there can't be a hub
+        return rows.join(least.select("u", "m"), "u")
     limit = max(HUB, -(-edges // HUBS))
     met = rows.join(F.broadcast(least.where(F.col("n") >= limit).select("u", F.col("m").alias("hub"))), "u", "left")
     others = met.where("hub is null").drop("hub").join(least.where(F.col("n") < limit).select("u", "m"), "u")
