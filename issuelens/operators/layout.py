@@ -136,25 +136,15 @@ def stitched(tables: DataFrame) -> DataFrame:
 
 
 def inherited(tables: DataFrame, column: str, most_pages: int = 2, same: tuple[str, ...] = ("anchors",)) -> DataFrame:
-    """tables with column filled from the nearest earlier table of the document with the same shape and at most so many pages before; rows filled by it may pass it on."""
-    schema = tables.schema
-
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        doc = doc.sort_values(["page", "table_no"], kind="stable").reset_index(drop=True)
-        seen: dict[tuple, tuple[int, object]] = {}
-        values = []
-        for row in doc.to_dict("records"):
-            shape, value = tuple(row[s] for s in same), row[column]
-            if value is None or value != value:
-                page, donor = seen.get(shape, (-(10**9), None))
-                value = donor if row["page"] - page <= most_pages else None
-            if value is not None and value == value:
-                seen[shape] = (row["page"], value)
-            values.append(value)
-        doc[column] = values
-        return doc
-
-    return tables.groupBy("doc_id").applyInPandas(fold, schema)
+    """tables with column filled from the nearest earlier table of the document with the same shape and at most so many pages before; rows filled by it may pass it on.
+
+    Tables of one shape in order make runs: a new one begins with a value of its own, or after more pages than that.
+    """
+    by = Window.partitionBy("doc_id", *same).orderBy("page", "table_no")
+    begins = F.col(column).isNotNull() | F.coalesce(F.col("page") - F.lag("page").over(by) > most_pages, F.lit(True))
+    runs = tables.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    filled = F.first(column).over(Window.partitionBy("doc_id", *same, "run").orderBy("page", "table_no"))
+    return runs.withColumn(column, filled).select(*tables.columns)
 
 
 def unit_donors(tables: DataFrame, most_pages: int = 2) -> DataFrame:

@@ -144,6 +144,16 @@ ORACLE["outside_boxes_all"] = f"SELECT doc_id, page, no FROM ({WORDS}) w WHERE N
 # The same under the names without _all.
 QUERIES |= {name: QUERIES[f"{name}_all"] for name in ("nearest_column", "band_assign", "outside_boxes")}
 ORACLE |= {name: ORACLE[f"{name}_all"] for name in ("nearest_column", "band_assign", "outside_boxes")}
+ORACLE["header_inheritance"] = f"""WITH b AS (SELECT *, unit IS NOT NULL OR coalesce(page - lag(page) OVER (PARTITION BY doc_id, dates ORDER BY page, table_no) > 2, TRUE) AS begins FROM ({TABLES}) t),
+    g AS (SELECT *, sum(CAST(begins AS INT)) OVER (PARTITION BY doc_id, dates ORDER BY page, table_no ROWS UNBOUNDED PRECEDING) AS run FROM b) SELECT doc_id, table_no, first_value(unit) OVER (PARTITION BY doc_id, dates, run ORDER BY page, table_no) AS unit FROM g"""
+ORACLE["page_lines"] = f"""WITH RECURSIVE w AS (SELECT doc_id, page, no, y + 5 AS mid, row_number() OVER (PARTITION BY doc_id, page ORDER BY y, x, no) AS n FROM ({WORDS}) a),
+    r AS (SELECT doc_id, page, no, n, CAST(1 AS BIGINT) AS line, mid AS mean, 1 AS k FROM w WHERE n = 1
+        UNION ALL SELECT w.doc_id, w.page, w.no, w.n, CASE WHEN abs(w.mid - r.mean) > 5 THEN r.line + 1 ELSE r.line END, CASE WHEN abs(w.mid - r.mean) > 5 THEN w.mid ELSE r.mean + (w.mid - r.mean) / (r.k + 1) END, CASE WHEN abs(w.mid - r.mean) > 5 THEN 1 ELSE r.k + 1 END
+        FROM r JOIN w ON w.doc_id = r.doc_id AND w.page = r.page AND w.n = r.n + 1) SELECT doc_id, page, no AS word_no, line FROM r"""
+ORACLE["scanned_statements"] = """WITH RECURSIVE w AS (SELECT conv_id AS doc_id, turn AS line, coalesce(role, '') AS label, length(text) % 3 AS f, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+    r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS table_no, 0 AS blank, '' AS pending, '' AS label, FALSE AS out FROM w
+        UNION ALL SELECT w.doc_id, w.line, w.n, CASE WHEN w.f > 0 AND (r.blank > 6 OR r.table_no = 0) THEN r.table_no + 1 ELSE r.table_no END, CASE WHEN w.f > 0 THEN 0 ELSE r.blank + 1 END, CASE WHEN w.f > 0 OR r.blank + 1 > 6 THEN '' ELSE w.label END, trim(r.pending || ' ' || w.label), w.f > 0
+        FROM r JOIN w ON w.doc_id = r.doc_id AND w.n = r.n + 1) SELECT doc_id, table_no, CAST(1 AS BIGINT) AS page, line, label FROM r WHERE out"""
 ORACLE["joined_numbers"] = f"""
     WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber * 10 AS x0, l_linenumber * 10 + 7 + l_partkey % 4 AS x1, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS text FROM {LINES}),
     c AS (SELECT *, coalesce(x0 - lag(x1) OVER (PARTITION BY doc_id ORDER BY x0) <= 2, FALSE) AS close FROM t),
