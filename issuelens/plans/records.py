@@ -12,6 +12,7 @@ from ..operators import eligibility as e
 from ..operators.workflow import TRANSITIONS
 from ..sources import files, reports
 from ..streaming import events as streams
+from . import screening
 from .inputs import portable
 from .screening import cases
 
@@ -122,3 +123,11 @@ ORACLE: dict[str, str] = {
             UNION ALL SELECT e.doc_id, e.seq, e.n, CASE WHEN t.was IS NULL THEN r.state ELSE e.wanted END, t.was IS NOT NULL FROM r JOIN e ON e.doc_id = r.doc_id AND e.n = r.n + 1 LEFT JOIN t ON t.was = r.state AND t.becomes = e.wanted)
         SELECT doc_id, seq, state, accepted FROM r WHERE n > 0""",
 }
+# Reports, from the SQL of the screening queries.
+_REPORTED = f"""
+    WITH o AS ({screening.ORACLE['screening_outcome']}), l AS ({screening.ORACLE['rules_long']}),
+    r AS (SELECT l.*, list_position([{', '.join(f"'{x[0]}'" for x in e.CATALOGUE)}], l.rule_id) AS ord FROM l)
+"""
+ORACLE["report_html"] = f"{_REPORTED} SELECT o.case_id, '<h1>' || o.case_id || ' ' || any_value(o.outcome) || '</h1><table>' || string_agg('<tr><td>' || rule_id || '</td><td>' || verdict || '</td></tr>', '' ORDER BY ord) || '</table>' AS report FROM o JOIN r ON o.case_id = r.case_id GROUP BY o.case_id"
+ORACLE["report_text"] = f"{_REPORTED} SELECT o.case_id, format('Case {{}}: {{}}, {{:.2f}}% passed', o.case_id, any_value(o.outcome), any_value(o.passed_pct)) || chr(10) || string_agg(format('{{:<32}} {{}}{{}}', rule_id, verdict, CASE WHEN review THEN ' (review)' ELSE '' END), chr(10) ORDER BY ord) AS report FROM o JOIN r ON o.case_id = r.case_id GROUP BY o.case_id"
+ORACLE["report_json"] = f"{_REPORTED} SELECT o.case_id, CAST(to_json({{'case_id': o.case_id, 'outcome': any_value(o.outcome), 'passed_pct': any_value(o.passed_pct), 'rules': list({{'ord': ord, 'rule_id': rule_id, 'category': category, 'verdict': verdict, 'review': review}} ORDER BY ord)}}) AS VARCHAR) AS report FROM o JOIN r ON o.case_id = r.case_id GROUP BY o.case_id"
