@@ -14,7 +14,9 @@
 A pair at the limit of 0.75 shares no band key with probability (1 - 0.75^4)^32 = 5e-6.
 
 Defined cases: null and empty texts have no shingle and link with nothing; 1 to 4 words are one shingle; a document
-without doc_id links with nothing, has no component_id and is kept; rows that repeat a doc_id are one document.
+without doc_id links with nothing, has no component_id and is kept; rows that repeat a doc_id are one document, and where
+their texts differ, the links of any of them are the document's; very long texts are read whole; an empty table gives an
+empty result; columns beside doc_id and text aren't looked at.
 """
 
 from __future__ import annotations
@@ -262,9 +264,15 @@ def groups(docs: DataFrame) -> DataFrame:
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "shingles")
     checked = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(_verified, "a long, b long")
+    # An id that different texts share is in several classes, and joins them.
+    shared = of_class.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("of"), "a")
+    several = shared.limit(1).count() > 0
+    if several:
+        checked = checked.unionByName(of_class.join(shared, F.col("doc_id") == F.col("of")).select("a", F.col("rep").alias("b")))
     root = components(checked).select(F.col("node").alias("rep"), "root")
 
     placed = of_class.join(root, "rep", "left").select(F.col("doc_id").alias("of"), F.coalesce("root", "rep").alias("found"))
+    placed = placed.groupBy("of").agg(F.min("found").alias("found")) if several else placed
     out = known.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     nameless = texts.where("doc_id is null").mapInPandas(_sketched, sketched).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -674,6 +674,15 @@ def test_chains_across_families_of_parts_keep_their_links(spark, monkeypatch):
     assert got == {i: 1000 * (i // 1000) for i in of}
 
 
+def test_an_id_that_texts_share_joins_their_groups(spark):
+    rng = random.Random(31)
+    one, two, three = ([f"w{rng.randrange(10**9)}" for _ in range(100)] for _ in range(3))
+    rows = [(7, " ".join(one)), (7, " ".join(two)), (5, " ".join([*one[:95], "x"])), (3, " ".join(["y", *two[4:]])), (9, " ".join(two)), (8, " ".join(three)), (8, None)]
+    out = near.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id, r.kept) for r in out} == {(7, 3, False), (5, 3, False), (3, 3, True), (9, 3, False), (8, 8, True)}
+    assert sorted(r.doc_id for r in near.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [3, 8]
+
+
 def test_odd_sketches_estimate_high_similarities():
     rng = random.Random(5)
     base = [str(rng.random()) for _ in range(400)]
