@@ -247,9 +247,10 @@ def groups(docs: DataFrame) -> DataFrame:
     of_class = written(_with_class(full))
     alone = full.join(of_class.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
 
-    spread = alone.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    # c1 tells the texts of one id apart.
+    spread = alone.select(F.col("doc_id").alias("rep"), "c1", F.explode("bands").alias("key"))
     crowded = spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = spread.join(crowded, "key").join(alone.select(F.col("doc_id").alias("rep"), "odd").dropDuplicates(["rep"]), "rep")
+    members = spread.join(crowded, "key").join(alone.select(F.col("doc_id").alias("rep"), "c1", "odd").dropDuplicates(["rep", "c1"]), ["rep", "c1"])
     parts = members.withColumn("parts", F.ceil(F.col("m") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
     met = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "odd")
