@@ -106,6 +106,16 @@ def overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
+def overlapping(left: DataFrame, right: DataFrame, least: float = 0.5, slice_height: float = 100.0) -> DataFrame:
+    """doc_id, page, no, box: rows of left and right whose heights overlap by least of the lower one or more (J14). They meet by page and slice. left: doc_id, page, no, y0, y1; right: doc_id, page, box, y0, y1."""
+    cut = lambda c: F.floor(c / slice_height)
+    spread = lambda rows, name: rows.select(*PAGE, name, F.col("y0").alias(f"{name}_0"), F.col("y1").alias(f"{name}_1"), F.explode(F.sequence(cut(F.col("y0")), cut(F.col("y1")))).alias("slice"))
+    met = spread(left, "no").join(spread(right, "box"), [*PAGE, "slice"])
+    shared = overlap(F.col("no_0"), F.col("no_1"), F.col("box_0"), F.col("box_1"))
+    lower = F.least(F.col("no_1") - F.col("no_0"), F.col("box_1") - F.col("box_0"))
+    return met.where((shared > 0) & (shared >= least * lower)).select(*PAGE, "no", "box").distinct()
+
+
 def carried(rows: DataFrame, by: list[str], order: str, column: str, back: int) -> DataFrame:
     """rows with the last value of column among the back rows before (captions, units, basis above a table)."""
     frame = Window.partitionBy(*by).orderBy(order).rowsBetween(-back, -1)

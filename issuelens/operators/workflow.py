@@ -29,6 +29,13 @@ def appended(current: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataF
     return new.dropDuplicates(list(keys)).join(current.select(*keys), list(keys), "left_anti")
 
 
+def logged(log: DataFrame, entries: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """entries as they go behind a log: numbered within each key from where the log ends; nothing that is there changes (M09). log: key, seq."""
+    last = log.groupBy(key).agg(F.max("seq").alias("last"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return entries.withColumn("place", place).join(last, key, "left").withColumn("seq", F.coalesce("last", F.lit(0)) + F.col("place")).drop("place", "last")
+
+
 def rejected(new: DataFrame, current: DataFrame, key: str, order: str) -> DataFrame:
     """New rows whose id is taken, by a row that is there already or by an earlier new one: refused, not silently dropped."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(order))

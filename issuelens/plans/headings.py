@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, numbers
-from ..operators import candidates, consensus, documents, evidence, headers, prose, ranking, summaries, workflow
+from ..operators import candidates, consensus, documents, evidence, headers, layout, prose, ranking, summaries, workflow
 from ..sources import files
 from .geometry import ALL_BOXES, ALL_COLUMNS, LINES, WORDS
 from .inputs import portable
@@ -253,6 +253,22 @@ def money_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", numbers.crore_text(F.col("v") / 8).alias("crore"), numbers.percent_text(F.col("v") % 1000 / 8).alias("percent"))
 
 
+TALL = f"SELECT doc_id, page, no, y AS y0, y + width AS y1 FROM ({WORDS}) w"
+BOXED = f"SELECT doc_id, page, 1 AS box, y0, y1 FROM ({ALL_BOXES}) b UNION ALL SELECT doc_id, page, 2 AS box, y0 + 300 AS y0, y0 + 310 AS y1 FROM ({ALL_BOXES}) c"
+
+
+def overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.overlapping(portable(spark, sf_dir, TALL), portable(spark, sf_dir, BOXED))
+
+
+LOG = "SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events WHERE event_type <> 'error'"
+ENTRIES = "SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'"
+
+
+def audit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.logged(portable(spark, sf_dir, LOG), portable(spark, sf_dir, ENTRIES), "user_id", ["ts", "event_id"]).select("user_id", "event_id", F.col("seq").cast("long").alias("seq"))
+
+
 # --- the same in SQL -------------------------------------------------------------------------------------------------
 _VOCAB = ", ".join(f"'{w}'" for w in headers.VOCABULARY)
 _RATES = "round(correct / CAST(nullif(correct + wrong, 0) AS DOUBLE), 4) AS precision, round(correct / CAST(nullif(scored, 0) AS DOUBLE), 4) AS recall, round(missing / CAST(nullif(scored, 0) AS DOUBLE), 4) AS missing_rate, round(false_high / CAST(nullif(scored, 0) AS DOUBLE), 4) AS false_high_rate"
@@ -296,6 +312,8 @@ ORACLE: dict[str, str] = {
     "timing_summary": "SELECT event_type AS name, count(*) AS n, round(avg(floor(value * 100)), 6) AS mean, median(floor(value * 100)) AS median, max(floor(value * 100)) AS slowest FROM events GROUP BY event_type",
     "difference_order": f"SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'moved' THEN 0 WHEN 'same' THEN 1 WHEN 'added' THEN 2 ELSE 3 END, key) AS INT) AS place FROM ({KINDS}) k",
     "one_sided_periods": f"SELECT doc_id, kind, regexp_extract(key, '^(.*)[.][^.]*$', 1) AS concept, string_agg(DISTINCT split_part(key, '.', 3), ', ' ORDER BY split_part(key, '.', 3)) AS periods FROM ({KINDS}) k WHERE kind IN ('added', 'removed') GROUP BY ALL",
+    "overlapping_boxes": f"SELECT w.doc_id, w.page, w.no, b.box FROM ({TALL}) w JOIN ({BOXED}) b ON w.doc_id = b.doc_id AND w.page = b.page WHERE least(w.y1, b.y1) - greatest(w.y0, b.y0) > 0 AND least(w.y1, b.y1) - greatest(w.y0, b.y0) >= 0.5 * least(w.y1 - w.y0, b.y1 - b.y0)",
+    "audit_append": f"WITH l AS (SELECT user_id, max(seq) AS last FROM ({LOG}) a GROUP BY user_id) SELECT e.user_id, e.event_id, CAST(coalesce(l.last, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS BIGINT) AS seq FROM ({ENTRIES}) e LEFT JOIN l ON e.user_id = l.user_id",
     "review_reasons": "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'candidates conflict' WHEN 1 THEN 'needs verification' END AS reason FROM orders",
     "statement_kinds": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN strftime(o_orderdate, '%m-%d') = '03-31' THEN 'stock or income' ELSE 'stock' END ELSE 'flow or income' END AS kind FROM orders",
     "skipped_columns": "SELECT o_orderkey, o_orderkey % 5 IN (0, 2, 3) AS skipped FROM orders",
@@ -311,6 +329,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         head_lines, header_band, header_columns, header_phrases, period_windows, wrapped_headers, column_basis, nearest_dated, borrowed_caption, prose_words, readable_chars, invisible_text, overlapping_spaces, issue_amounts, cover_amounts, suggestions, statement_basis, run_metrics, run_warnings,
-        benchmark_summary, parse_statistics, analysis_summary, unresolved_issues, observations, timing_summary, difference_order, one_sided_periods, review_reasons, statement_kinds, skipped_columns, note_references, candidate_scores, printed_pages, rejected_uploads, executable_rulesets, newest_version, money_text,
+        benchmark_summary, parse_statistics, analysis_summary, unresolved_issues, observations, timing_summary, difference_order, one_sided_periods, review_reasons, statement_kinds, skipped_columns, note_references, candidate_scores, printed_pages, rejected_uploads, executable_rulesets, newest_version, money_text, overlapping_boxes, audit_append,
     )
 }
