@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk
+from . import align, anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op13_token_align": op13_token_align,
 }
 ORACLE: dict[str, str] = {
     "op8_exact_topk": """
