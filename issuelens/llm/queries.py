@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk
+from . import align, anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk, whiten
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(topk.usable()).select(F.col("vec_id").cast("long").alias("vec_id"), whiten.whole().alias("x"))
+    fitted = whiten.fit(rows.select("x"))
+    explained = [float(e * e / fitted.trace) for e in fitted.deviations] if fitted else []
+    out = whiten.whitened(rows, fitted).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select(
+        "vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(fitted.n if fitted else 0).cast("long").alias("n"), "deviation", "whitened",
+        F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at")).alias("explained"), F.lit(fitted.identity_error if fitted else 0.0).alias("identity_error"),
+    )
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
@@ -81,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op12_whitening": op12_whitening,
     "op13_token_align": op13_token_align,
 }
 ORACLE: dict[str, str] = {
