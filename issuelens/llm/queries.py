@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, anomaly, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk, whiten
+from . import align, anomaly, jaccard, licenses, lm, mixing, near, packing, quality, repeats, secrets, topk, whiten
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"stats.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").where(topk.usable()).select(F.col("vec_id").cast("long").alias("vec_id"), whiten.whole().alias("x"))
     fitted = whiten.fit(rows.select("x"))
@@ -92,10 +96,39 @@ QUERIES: dict[str, Query] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ngram_join": op11_ngram_join,
     "op12_whitening": op12_whitening,
     "op13_token_align": op13_token_align,
 }
+
+
+def _linked_sql(shingle: int, percent: int, more: str = "") -> str:
+    """Documents linked by the similarity of their word-shingle sets, by an inverted list of shingles; groups by closure."""
+    return f"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower_ascii, '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS words
+            FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii FROM documents)
+        ), sets AS (
+            SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {shingle} THEN [array_to_string(words, ' ')]
+                ELSE list_transform(range(1, len(words) - {shingle - 2}), lambda i: array_to_string(words[i : i + {shingle - 1}], ' ')) END) AS s FROM w
+        ), tokens AS (SELECT doc_id, hash(unnest(s)) AS t FROM sets), sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+        same AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sets WHERE len(s) > 0),
+        rare AS (SELECT t.* FROM tokens t JOIN same s ON t.doc_id = s.doc_id AND s.rep = s.doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM rare a JOIN rare b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= {percent} * (x.n + y.n - m)
+            UNION ALL SELECT rep, doc_id FROM same WHERE rep <> doc_id
+        ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach AS (SELECT a AS node, b AS other FROM ways UNION SELECT r.node, w.b FROM reach r JOIN ways w ON w.a = r.other),
+        lowest AS (SELECT node, min(other) AS m FROM reach GROUP BY node)
+        SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, CAST(least(s.doc_id, coalesce(m, s.doc_id)) AS BIGINT) AS component_id{more}
+        FROM sizes s LEFT JOIN lowest ON node = s.doc_id
+    """
+
+
 ORACLE: dict[str, str] = {
+    "op9_near_dedup": _linked_sql(5, 75, ", least(s.doc_id, coalesce(m, s.doc_id)) = s.doc_id AS kept"),
+    "op11_ngram_join": _linked_sql(3, 90),
     "op8_exact_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
