@@ -21,69 +21,65 @@ def _replace(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, pattern, by)
 
 
-def parse_a(text: Column) -> Column:
-    """Dialect a: struct of value, is_null_mark, is_percent, negative_by (parentheses, minus or trailing minus), grouping and warning.
-
-    Groups of digits must be Indian or international; both readings count as international. A leading point is no number.
-    """
-    plain = F.trim(F.translate(text, DASHES, "-" * len(DASHES)))
-    return let(plain, _parse_a)
-
+_CUT = "\x01"
+#: An amount in one look: bracket, sign, currency, sign, digits in groups, fraction; then a minus, or a mark of a note and a percent sign, and a bracket; or a note in brackets.
+_PARTS_A = (
+    r"^(\(?)\s*(-?)\s*(?:(?:₹|[Rr][Ss]\.?|[Ii][Nn][Rr]|`)\s*)?(-?)\s*([\d,](?:[\d,\s]*[\d,])?)(\s*\.\s*\d[\d\s]*)?"
+    r"(?:\s*(-)\s*(\)?)|\s*(?:\*{1,3}|#{1,2}|\^|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)?\s*%?\s*(\)?)|\s*\(([^()]{1,4})\))$"
+)
+#: The same for dialect b: bracket, currency, sign, digits in groups, fraction, bracket, percent sign, marks of notes.
+_PARTS_B = r"^(\(?)\s*(?:(?:₹|`|[Rr][Ss]\.?|[Ii][Nn][Rr])\s*)?([-−–—]?)\s*([\d,]*)(\.\d+)?\s*(\)?)\s*(%?)\s*[*#^†‡]*$"
 
-def _parse_a(t: Column) -> Column:
-    bare = F.lower(_replace(t, r"^[\s.]+|[\s.]+$"))
-    null_mark = F.lower(t).isin(NULL_MARKS_A) | bare.isin(NULL_MARKS_A)
-    t = F.when(t.startswith("("), t).otherwise(_replace(t, r"(?<=\d)\s*\((?:\d{1,2}|[a-z]|[ivx]{1,4})\)$"))
-    opened, closed = t.startswith("("), t.endswith(")")
-    inner = F.trim(_replace(t, r"^\(|\)$"))
-    return let(F.struct(null_mark.alias("null_mark"), opened.alias("opened"), closed.alias("closed"), inner.alias("t")), _signed_a)
 
+def _parts(t: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that fits the whole text, each "" if it is left out; else an array of another size."""
+    return F.split(_replace(t, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
 
-def _signed_a(p: Column) -> Column:
-    t, null_mark = p["t"], p["null_mark"]
-    wrapped, unbalanced = p["opened"] & p["closed"], p["opened"] != p["closed"]
-    trailing, leading = t.rlike(r"\d\s*-$"), t.startswith("-")
-    amount = _replace(F.trim(_replace(_replace(t, r"\s*-$"), r"^-\s*")), r"(?i)^(?:₹|rs\.?|inr|`)\s*")
-    facts = F.struct(amount.alias("t"), null_mark.alias("null_mark"), wrapped.alias("wrapped"), unbalanced.alias("unbalanced"), trailing.alias("trailing"), leading.alias("leading"))
-    return let(facts, _valued_a)
 
+def parse_a(text: Column) -> Column:
+    """Dialect a: struct of value, is_null_mark, is_percent, negative_by (parentheses, minus or trailing minus), grouping and warning.
 
-def _valued_a(p: Column) -> Column:
-    t, null_mark, wrapped, trailing = p["t"], p["null_mark"], p["wrapped"], p["trailing"]
-    minus = p["leading"] | trailing | t.startswith("-")
-    percent = t.endswith("%")
-    body = _replace(_replace(F.trim(_replace(_replace(t, r"^-\s*"), r"%$")), r"(?:\*{1,3}|#{1,2}|\^|[¹²³⁴⁵⁶⁷⁸⁹⁰]+)$"), r"\s+")
-
-    def made(b: Column) -> Column:
-        whole = F.regexp_extract(b, r"^([\d,]+)(\.\d+)?$", 1)
-        grouping = F.when(~whole.contains(","), "none").when(whole.rlike(r"^\d{1,3}(?:,\d{3})+$"), "international").when(whole.rlike(r"^\d{1,2}(?:,\d{2})*,\d{3}$"), "indian")
-        digits = (whole != "") & grouping.isNotNull()
-        size = _replace(b, ",").try_cast(AMOUNT)
-        value = F.when(~null_mark & digits, F.when(wrapped | minus, -size).otherwise(size))
-        by = F.when(wrapped, "parentheses").when(trailing, "trailing minus").when(minus, "minus")
-        warning = F.when(p["unbalanced"], "unbalanced parenthesis").when(wrapped & minus, "multiple negative markers").when(~null_mark & (whole != "") & ~digits, "malformed digit grouping")
-        return F.struct(value.cast(AMOUNT).alias("value"), null_mark.alias("is_null_mark"), percent.alias("is_percent"), by.alias("negative_by"), grouping.alias("grouping"), warning.alias("warning"))
-
-    return let(body, made)
+    Groups of digits must be Indian or international; both readings count as international. A leading point is no number. A
+    note of one or two digits, a letter or a small Roman numeral may follow in brackets.
+    """
+    plain = F.trim(F.translate(text, DASHES, "-" * len(DASHES)))
+    return let(plain, lambda t: let(F.struct(t.alias("t"), _parts(t, _PARTS_A, 9).alias("p")), _valued_a))
+
+
+def _valued_a(x: Column) -> Column:
+    t, fits = x["t"], F.size(x["p"]) == 9
+    part = lambda i: F.get(x["p"], F.lit(i - 1))
+    low, whole, note = F.lower(t), part(4), part(9)
+    no_note = F.when(note == "", False).otherwise(~((F.translate(note, "0123456789", "") == "") & (F.length(note) <= 2) | (F.length(note) == 1) & note.between("a", "z") | (F.translate(note, "ivx", "") == "")) | t.startswith("("))
+    null_mark = low.isin(NULL_MARKS_A) | F.btrim(low, F.lit(" .\t")).isin(NULL_MARKS_A)
+    opened, closed = t.startswith("("), t.endswith(")") & F.when(fits, note == "").otherwise(True)
+    wrapped, trailing, minus = opened & closed, fits & (part(6) != ""), fits & ((part(2) != "") | (part(3) != ""))
+    # Groups by three digits; or, as the Indian way has it, the last by three and those before by two.
+    grouping = F.when(~whole.contains(","), "none").otherwise(F.when(whole.rlike(r"^\d{1,3}(?:,\d{3})+$"), "international").when(whole.rlike(r"^\d{1,2}(?:,\d{2})*,\d{3}$"), "indian"))
+    grouped = fits & ~no_note & grouping.isNotNull()
+    size = F.translate(F.concat(whole, part(5)), ", \t\n", "").try_cast(AMOUNT)
+    value = F.when(~null_mark & grouped, F.when(wrapped | minus | trailing, -size).otherwise(size))
+    by = F.when(wrapped, "parentheses").when(trailing, "trailing minus").when(minus | t.startswith("-"), "minus")
+    warning = F.when(opened != closed, "unbalanced parenthesis").when(wrapped & (minus | trailing), "multiple negative markers").when(~null_mark & fits & grouping.isNull(), "malformed digit grouping")
+    percent = t.endswith("%") | t.endswith("%)")
+    return F.struct(value.cast(AMOUNT).alias("value"), null_mark.alias("is_null_mark"), percent.alias("is_percent"), by.alias("negative_by"), F.when(fits, grouping).alias("grouping"), warning.alias("warning"))
 
 
 def parse_b(text: Column, allow_percent: bool = False) -> Column:
-    """Dialect b: nil is zero, dashes and NA are no value, percentages are refused unless allowed, .5 is a number."""
-    t = F.trim(F.translate(text, " ", " "))
-    low = F.lower(t)
-    missing = low.isin(MISSING_B)
-    s = F.trim(_replace(t, r"[*#^†‡]+$"))
-    percent = s.endswith("%")
-    s = F.trim(_replace(s, r"%$"))
-    wrapped = s.startswith("(") & s.endswith(")")
-    s = F.when(wrapped, F.trim(_replace(s, r"^\(|\)$"))).otherwise(s)
-    s = _replace(s, r"(?i)^(?:₹|`|rs\.?|inr)\s*")
-    minus = s.rlike(r"^[-−–—]")
-    s = F.trim(_replace(s, r"^[-−–—]"))
-    fits = s.rlike(r"^(?:\d{1,3}(?:,\d{2,3})*(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+)$")
-    size = _replace(s, ",").try_cast(AMOUNT)
-    value = F.when(wrapped | minus, -size).otherwise(size)
-    return F.when(low == "nil", F.lit(0).cast(AMOUNT)).when(~missing & fits & (F.lit(allow_percent) | ~percent), value).cast(AMOUNT)
+    """Dialect b: nil is zero, dashes and NA are no value, percentages are refused unless allowed, .5 is a number. Digits stand in one group, or in groups of which the first has one to three and the others two or three."""
+    plain = F.trim(F.translate(text, "\u00a0", " "))
+    return let(plain, lambda t: let(F.struct(F.lower(t).alias("low"), _parts(t, _PARTS_B, 6).alias("p")), lambda x: _valued_b(x, allow_percent)))
+
+
+def _valued_b(x: Column, allow_percent: bool) -> Column:
+    part = lambda i: F.get(x["p"], F.lit(i - 1))
+    whole, fraction, groups = part(3), part(4), F.split(part(3), ",")
+    in_groups = F.length(F.get(groups, F.lit(0))).between(1, 3) & F.forall(F.slice(groups, 2, F.size(groups)), lambda g: F.length(g).between(2, 3))
+    fits = (F.size(x["p"]) == 6) & ((part(1) == "") == (part(5) == "")) & F.when(whole.contains(","), in_groups).otherwise((whole != "") | (fraction != ""))
+    size = F.translate(F.concat(whole, fraction), ",", "").try_cast(AMOUNT)
+    value = F.when((part(1) != "") | (part(2) != ""), -size).otherwise(size)
+    allowed = F.lit(True) if allow_percent else part(6) == ""
+    return F.when(x["low"] == "nil", F.lit(0).cast(AMOUNT)).when(~x["low"].isin(MISSING_B) & fits & allowed, value).cast(AMOUNT)
 
 
 def _by_unit(unit: Column, table: dict, kind: str) -> Column:
