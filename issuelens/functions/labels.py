@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .periods import let
-from .wording import spelled
 
 # Fixed values (dialect a): field, phrase, where it stands (first, whole, or inside a label) and strength.
 PHRASES = [
@@ -58,36 +57,52 @@ RULED_OUT = {
 }
 NEVER = ("margin", "ratio", "growth", "return on", "per share", "per equity share", "%", "percentage", "cagr", "days", "times", "average", "avg", "number of", "basic", "diluted", "eps", "as per audited", "as per the audited")
 
-# Fixed values (dialect b): what a label must not say, and the wordings of each concept. A word in brackets may be left out.
+# Fixed values (dialect b): what a label must not say, and what heads of labels, as _head_b leaves them, are called.
 REJECTED = ("%", "percent", "per cent", "growth", "margin", "ratio", "per share", "days", "attributable", "comprehensive", "as a", "turnover", "cagr", "including oci", "incl oci", "after oci", "net of oci")
-WORDINGS = {
-    "revenue_from_operations": ["[total] revenue from operations"],
-    "other_income": ["other income"],
-    "total_income": ["total income", "total revenue"],
-    "total_expenses": ["total expenses", "total expenditure"],
-    "profit_before_tax": ["[restated] [net] {profit|loss} before {tax|taxation}"],
-    "tax_expense": ["{total|net|} [income] tax {expense|expenses}"],
-    "profit_after_tax": [
-        "[restated] [net] {profit|loss} for the {year|period|year period} [from continuing] [operations]", "[restated] [net] {profit|loss} for", "[restated] [net] {profit|loss} for the {year|period} net of tax",
-        "[restated] [net] {profit|loss} after {tax|adjustments}", "[restated] [net] {profit|loss} after tax but before {extraordinary|extra ordinary} items",
-    ],
-    "adjusted_ebitda": ["adjusted ebitda"],
-    "ebitda": ["ebitda"],
-    "total_assets": ["total assets"],
-    "total_equity_and_liabilities": ["total equity and liabilities", "total liabilities and equity"],
-    "total_equity": ["total equity"],
-    "net_worth": ["net worth"],
-    "total_borrowings": ["total borrowings"],
-    "borrowings": ["borrowings", "{long|short} term borrowings", "debt securities"],
-    "trade_receivables": ["trade receivables"],
-    "inventories": ["{inventory|inventories}"],
-}
+CONCEPTS = {
+    "revenue from operations": "revenue_from_operations",
+    "total revenue from operations": "revenue_from_operations",
+    "other income": "other_income",
+    "total income": "total_income",
+    "total revenue": "total_income",
+    "total expenses": "total_expenses",
+    "total expenditure": "total_expenses",
+    "profit before tax": "profit_before_tax",
+    "profit before taxation": "profit_before_tax",
+    "tax expense": "tax_expense",
+    "tax expenses": "tax_expense",
+    "profit for": "profit_after_tax",
+    "profit for the year": "profit_after_tax",
+    "profit after tax": "profit_after_tax",
+    "profit after adjustments": "profit_after_tax",
+    "adjusted ebitda": "adjusted_ebitda",
+    "ebitda": "ebitda",
+    "total assets": "total_assets",
+    "total equity and liabilities": "total_equity_and_liabilities",
+    "total liabilities and equity": "total_equity_and_liabilities",
+    "total equity": "total_equity",
+    "net worth": "net_worth",
+    "total borrowings": "total_borrowings",
+    "borrowings": "borrowings",
+    "long term borrowings": "borrowings",
+    "short term borrowings": "borrowings",
+    "debt securities": "borrowings",
+    "trade receivables": "trade_receivables",
+    "inventory": "inventories",
+    "inventories": "inventories",
+}
 #: Labels that begin with cash and end with one of these activities.
 CASH = {"operating": "cash_from_operations", "investing": "cash_from_investing", "financing": "cash_from_financing"}
 LABEL_WORDS = ["total", "revenue", "other", "income", "profit", "loss", "tax", "trade", "net", "cash", "finance", "employee", "depreciation", "borrowings", "current", "equity", "liabilities", "expenses", "interest"]
 
 
-_CONCEPT_OF = {label: concept for concept, wordings in WORDINGS.items() for w in wordings for label in spelled(w)}
+def _head_b(words: Column) -> Column:
+    """The words of a label's head without what only qualifies them: profit and loss are one, a period is a year, and restated, net, income, or what remains before unusual items says nothing more of a profit or tax."""
+    one = F.regexp_replace(F.regexp_replace(words, r"\bloss\b", "profit"), r"\b(?:year )?period\b", "year")
+    profit = F.regexp_replace(one, r"^(?:restated )?(?:net )?(?=profit )", "")
+    profit = F.when(profit.startswith("profit for the year "), F.regexp_replace(profit, r"(?: from continuing)?(?: operations)?$| net of tax$", "")).otherwise(profit)
+    profit = F.regexp_replace(profit, r"^(profit after tax) but before extra ?ordinary items$", "$1")
+    return F.when(profit.endswith("tax expense") | profit.endswith("tax expenses"), F.regexp_replace(profit, r"^(?:total |net )?(?:income )?(?=tax )", "")).otherwise(profit)
 
 
 def _says(words: Column, phrases: tuple[str, ...]) -> Column:
@@ -161,10 +176,10 @@ def _concept_b(label: Column) -> Column:
     head = F.when(at > 0, F.substring(plain, F.lit(1), at - 1)).otherwise(plain)
     behind = F.when(at > 0, F.regexp_replace(F.substr(plain, at), r"\([^)]*\)?|= ?[a-z0-9+-]*", "")).otherwise("")
     words = F.array_join(F.regexp_extract_all(head, F.lit(r"[a-z']+|\d+|[%&]"), F.lit(0)), " ")
-    table = F.create_map(*[F.lit(x) for pair in _CONCEPT_OF.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in CONCEPTS.items() for x in pair])
     cash = F.coalesce(*[F.when(words.rlike(rf"^(?:net )?cash\b.*\b{activity} activit(?:y|ies)$"), F.lit(c)) for activity, c in CASH.items()])
     everything = F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(label, F.lit(r"[a-z]+|%"), F.lit(0)), " "), F.lit(" "))
-    return F.when((F.trim(behind) == "") & ~_says(everything, REJECTED), F.coalesce(F.try_element_at(table, words), cash))
+    return F.when((F.trim(behind) == "") & ~_says(everything, REJECTED), F.coalesce(F.try_element_at(table, _head_b(words)), cash))
 
 
 def skipped_column(header: Column) -> Column:

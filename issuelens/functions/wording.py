@@ -1,38 +1,12 @@
-"""Search for word sequences in prose: phrases are lists of words, written plainly, and what may stand between them."""
+"""Words of prose, as a text with a blank around each."""
 
 from __future__ import annotations
 
-import re
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def spelled(wording: str) -> list[str]:
-    """All the phrases that a wording stands for: {a|b} is a choice, a word in brackets may be left out."""
-    parts = []
-    for part in wording.replace("[", "{|").replace("]", "}").replace("{", "\0{").replace("}", "}\0").split("\0"):
-        parts.append(part[1:-1].split("|") if part.startswith("{") else [part])
-    return list(dict.fromkeys(" ".join("".join(p).split()) for p in product(*parts)))
-
-
 def words_of(text: Column) -> Column:
     """Words, numbers, signs of the rupee, quotes and brackets in lower case, a blank around each."""
     parts = F.regexp_extract_all(F.lower(F.translate(text, "“”", '""')), F.lit(r'[a-z]+|\d[\d,]*(?:\.\d+)?%?|[₹`()"]'), F.lit(0))
     return F.concat(F.lit(" "), F.array_join(parts, " "), F.lit(" "))
-
-
-def pattern(*steps: str | int) -> str:
-    """A pattern over words_of: wordings in order, a number of characters that may stand between two. A word that ends in * stands for all that begin so."""
-    out = ""
-    for step in steps:
-        if isinstance(step, int):
-            out += f".{{0,{step}}}"
-        else:
-            out += " (?:" + "|".join(re.sub(r"([()`])", r"\\\1", p).replace("*", "[a-z]*") for p in spelled(step)) + ")(?= )"
-    return out
-
-
-def says(words: Column, *steps: str | int) -> Column:
-    return words.rlike(pattern(*steps))

@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import claims
 from ..functions.labels import sentences
-from ..functions.wording import pattern, says, words_of
+from ..functions.wording import words_of
 
-# Words that tell a document's type (first found wins), sectors with the wordings that mention them and their
-# threshold, and the wordings that state a fact (numbers: characters that may stand between).
+# Words that tell a document's type (first found wins); what mentions a sector, and how many mentions it takes.
 TYPES = [("draft red herring prospectus", "drhp"), ("red herring prospectus", "rhp"), ("prospectus", "prospectus"), ("annual report", "annual_report"), ("financial statements", "financial_statements"), ("auditor", "financial_statements")]
 SECTORS = {
-    "lender": ("{non banking financial compan*|nbfc*|housing finance compan*|microfinance*|small finance bank*}", 30),
-    "real_estate": ("{rera|real estate development*|real estate project*|residential project*}", 30),
+    "lender": (["housing finance company", "housing finance companies", "microfinance", "nbfc", "nbfcs", "non banking financial company", "non banking financial companies", "small finance bank", "small finance banks"], 30),
+    "real_estate": (["real estate development", "real estate developments", "real estate project", "real estate projects", "rera", "residential project", "residential projects"], 30),
 }
-DECLARATIONS = {
-    "declarations.debarred_by_sebi": ("{company|promoter|promoters|director|directors}", 200, "{are|is|have} not [been] {prohibited|debarred}", 120, "{capital market*|securities}"),
-    "declarations.promoter_or_director_of_debarred_company": ("{none of|neither}", 120, "{promoter|promoters|director|directors}", 160, "{promoter|promoters|director|directors} of any [other] {company|companies} which {is|are|has been} debarred"),
-    "declarations.wilful_defaulter_or_fraudulent_borrower": ("{neither|none of|not been identified as|has not been declared|has not been identified}", 200, "wilful defaulter*"),
-    "declarations.fugitive_economic_offender": ("{none of|neither|not been declared|is not|are not}", 160, "fugitive economic offender*"),
-}
-QIB = ("not less than 75% of the net offer shall be [available for] allo*",)
-LOCK_IN = ("{eighteen|18} {month|months}", "{thirty six|36} {month|months}", "{three|3} {year|years}")
-LOCKED = "locked in for a period of"
+# Facts of declarations, the people they are about, and months of a lock-in.
+PEOPLE = ("company", "promoter", "promoters", "director", "directors")
+LOCK_IN = {18: ("eighteen months", "18 months"), 36: ("thirty six months", "36 months", "three years", "3 years")}
 MONEY = r" (?:₹|`|rs|inr) (\d[\d,]*(?:\.\d+)?) (million|mn|lakhs?|lacs?|crores?|cr)(?= )"
 FRESH, SALE = "fresh issue", "offer for sale"
 
@@ -53,33 +47,67 @@ def document_type(head: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(low, F.lit(words)), F.lit(kind)) for words, kind in TYPES])
 
 
-def sectors(pages: DataFrame, front: int = 150, found: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+def sectors(pages: DataFrame, front: int = 150, found: dict[str, tuple[list[str], int]] | None = None) -> DataFrame:
     """doc_id, sector, mentions where they reach the threshold, over the first pages."""
     kinds = found or SECTORS
     rows = pages.where(F.col("page") <= front).select("doc_id", words_of(F.col("text")).alias("words"))
-    counted = rows.groupBy("doc_id").agg(*[F.sum(F.regexp_count("words", F.lit(pattern(wording)))).alias(s) for s, (wording, _) in kinds.items()])
+    # Mentions may share the blank between them.
+    mentions = lambda phrases: sum((F.regexp_count("words", F.lit(f" {p}(?= )")) for p in phrases), F.lit(0))
+    counted = rows.groupBy("doc_id").agg(*[F.sum(mentions(phrases)).alias(s) for s, (phrases, _) in kinds.items()])
     rows = F.array(*[F.struct(F.lit(s).alias("sector"), F.col(s).alias("mentions"), F.lit(t).alias("threshold")) for s, (_, t) in kinds.items()])
     return counted.select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*").where("mentions >= threshold")
 
 
-def first_hits(pages: DataFrame, facts: dict[str, tuple[str | int, ...] | list[tuple[str | int, ...]]], **read: Column) -> DataFrame:
-    """doc_id, fact, page, snippet of the first sentence that states each fact (its wording, or all of several), and what is read from the whole of it (columns over fact
-    and words); only the snippet is cut."""
+def first_hits(pages: DataFrame, facts: dict[str, Column], **read: Column) -> DataFrame:
+    """doc_id, fact, page, snippet of the first sentence that states each fact (a condition on words, its text with a blank around each word), and what is read from the whole of it; only the snippet is cut."""
     rows = pages.select("doc_id", "page", F.posexplode(sentences(F.col("text"))).alias("place", "sentence")).withColumn("words", words_of(F.col("sentence")))
-    stated = lambda steps: F.lit(True) if not steps else says(F.col("words"), *steps[0]) & stated(steps[1:])
-    hits = F.array_compact(F.array(*[F.when(stated(x if isinstance(x, list) else [x]), F.lit(fact)) for fact, x in facts.items()]))
+    hits = F.array_compact(F.array(*[F.when(stated, F.lit(fact)) for fact, stated in facts.items()]))
     told = rows.select("doc_id", "page", "place", "sentence", "words", F.explode(hits).alias("fact"))
     kept = [F.substring("sentence", 1, 400).alias("snippet"), *[c.alias(k) for k, c in read.items()]]
     return told.groupBy("doc_id", "fact").agg(F.min(F.struct("page", "place", *kept)).alias("m")).select("doc_id", "fact", "m.page", "m.snippet", *[f"m.{k}" for k in read])
 
 
+def said(words: Column, *phrases: str) -> Column:
+    """Does the text of words (a blank around each) hold one of the phrases?"""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | F.contains(words, F.lit(f" {p} "))
+    return out
+
+
+def _declared(w: Column) -> dict[str, Column]:
+    """Which facts a sentence of words w states, and the value."""
+    barred, which = claims.places(w, "debarred", "prohibited"), claims.places(w, "which")
+    people, firm = claims.places(w, *PEOPLE), claims.places(w, "company", "companies")
+    # "... of any company which is debarred" is about that company.
+    of_another = claims.behind(claims.behind(firm, which, 1), barred, 3)
+    own = claims.without(barred, which, 3)
+    refused = claims.behind(claims.behind(claims.places(w, *claims.AUXILIARIES), claims.places(w, "not"), 1), own, 2)
+    nobody, locked = claims.places(w, "none", "neither"), claims.places(w, "locked in")
+    months = {m: claims.has(claims.behind(claims.behind(locked, claims.places(w, "period"), 4), claims.places(w, *phrases), 2)) for m, phrases in LOCK_IN.items()}
+    least = claims.behind(claims.places(w, "not less than 75%"), claims.places(w, "net offer"), 8)
+    false = lambda stated: F.when(stated, "false")
+    return {
+        "declarations.debarred_by_sebi": false(claims.has(claims.ahead(people, claims.ahead(refused, claims.places(w, "securities", "capital market*"), 25), claims.SCOPE))),
+        "declarations.promoter_or_director_of_debarred_company": false(claims.has(claims.behind(claims.behind(nobody, claims.places(w, "promoter", "promoters", "director", "directors"), 25), of_another, claims.SCOPE))),
+        "declarations.wilful_defaulter_or_fraudulent_borrower": false(claims.denied(w, claims.places(w, "wilful defaulter*"))),
+        "declarations.fugitive_economic_offender": false(claims.denied(w, claims.places(w, "fugitive economic offender*"))),
+        "issue_details.qib_net_offer_allocation": F.when(claims.has(claims.behind(least, claims.places(w, "allot*", "alloc*"), 8)), "75"),
+        "promoter.lock_in_months": F.when(claims.has(claims.places(w, "promoter*")), F.when(months[18], "18").when(months[36], "36")),
+    }
+
+
+#: A sentence that says none of these states no fact.
+_WORTH_READING = ("debarred", "prohibited", "wilful", "fugitive", "75%", "locked")
+
+
 def narrative(pages: DataFrame) -> DataFrame:
-    """Standard negative declarations, the 75 % allotment and lock-in months, with page and snippet."""
-    locked = [f"{LOCKED} {w}" for w in LOCK_IN]
-    value = F.when(F.col("fact").startswith("declarations."), "false").when(F.col("fact") == "promoter.lock_in_months", F.when(says(F.col("words"), locked[0]), "18").otherwise("36")).otherwise("75")
-    facts = DECLARATIONS | {"issue_details.qib_net_offer_allocation": QIB} | {f"promoter.lock_in_months/{k}": [(w,), ("promoter*",)] for k, w in enumerate(locked)}
-    found = first_hits(pages, facts, words=F.col("words")).withColumn("fact", F.substring_index("fact", "/", 1)).withColumn("value", value)
-    return found.groupBy("doc_id", "fact").agg(F.min(F.struct("page", "snippet", "value")).alias("m")).select("doc_id", "fact", "m.*")
+    """doc_id, fact, page, snippet, value of the first sentence that states it: standard negative declarations, the 75 % allotment and lock-in months."""
+    rows = pages.select("doc_id", "page", F.posexplode(sentences(F.col("text"))).alias("place", "sentence")).withColumn("words", words_of(F.col("sentence")))
+    rows = rows.where(said(F.col("words"), *_WORTH_READING)).withColumn("w", claims.word_list(F.col("sentence")))
+    stated = F.array(*[F.struct(F.lit(fact).alias("fact"), value.alias("value")) for fact, value in _declared(F.col("w")).items()])
+    told = rows.select("doc_id", "page", "place", F.substring("sentence", 1, 400).alias("snippet"), F.explode(F.filter(stated, lambda x: x["value"].isNotNull())).alias("x"))
+    return told.groupBy("doc_id", "x.fact").agg(F.min(F.struct("page", "place", "snippet", "x.value")).alias("m")).select("doc_id", "fact", "m.page", "m.snippet", "m.value")
 
 
 def suggestions(pages: DataFrame) -> DataFrame:
@@ -92,9 +120,9 @@ def suggestions(pages: DataFrame) -> DataFrame:
     w, at = F.col("words"), F.struct("page", "place", F.substring("sentence", 1, 400).alias("snippet"))
     eligible = F.contains(w, F.lit(" eligib"))
     told = rows.groupBy("doc_id").agg(
-        F.max(F.when(eligible & says(w, "regulation 6 ( 2 )"), at)).alias("second"), F.min(F.when(eligible & says(w, "regulation 6 ( 1 )"), at)).alias("first"),
-        F.min(F.when(says(w, "book building process"), at)).alias("built"), F.min(F.when(says(w, FRESH) & says(w, SALE), at)).alias("mixed"),
-        F.bool_or((F.col("page") <= 5) & says(w, FRESH)).alias("fresh"), F.bool_or((F.col("page") <= 5) & says(w, SALE)).alias("sale"),
+        F.max(F.when(eligible & said(w, "regulation 6 ( 2 )"), at)).alias("second"), F.min(F.when(eligible & said(w, "regulation 6 ( 1 )"), at)).alias("first"),
+        F.min(F.when(said(w, "book building process"), at)).alias("built"), F.min(F.when(said(w, FRESH) & said(w, SALE), at)).alias("mixed"),
+        F.bool_or((F.col("page") <= 5) & said(w, FRESH)).alias("fresh"), F.bool_or((F.col("page") <= 5) & said(w, SALE)).alias("sale"),
     )
     cover = F.when(F.col("fresh") & F.col("sale"), "mixed").when(F.col("fresh"), "fresh").when(F.col("sale"), "offer_for_sale")
     row = lambda name, value, place: F.when(value.isNotNull(), F.struct(F.lit(name).alias("suggestion"), value.alias("value"), F.coalesce(place["page"], F.lit(1)).cast("long").alias("page"), F.coalesce(place["snippet"], F.lit("cover-page offer description")).alias("snippet")))
@@ -113,8 +141,8 @@ def issue_type(head: Column) -> Column:
 
 def route(text: Column) -> Column:
     """The regulation that the offer is first said to be made under."""
-    found = F.regexp_extract(words_of(text), pattern("made pursuant to regulation 6 ( {1|2} ) of"), 0)
-    return F.when(found != "", F.concat(F.lit("6("), F.regexp_extract(found, r"\( ([12]) \)", 1), F.lit(")")))
+    clause = F.substring(F.get(F.split(words_of(text), " made pursuant to regulation 6 (?=\\( [12] \\) of )"), F.lit(1)), 3, 1)
+    return F.when(clause.isNotNull(), F.concat(F.lit("6("), clause, F.lit(")")))
 
 
 def amounts(text: Column) -> Column:
@@ -157,13 +185,24 @@ def running_totals(rows: DataFrame) -> DataFrame:
 
 
 def monitoring_agency(pages: DataFrame) -> DataFrame:
-    """doc_id, appointed: true or false if exactly one of the two statements is made, in any sentence."""
-    agency = "monitoring agency"
-    yes = [("{has|have} appointed", 120, agency), ("appointed", 60, f"as [the] {agency}"), (agency, 80, "{has|have} been appointed"), ("{has|have} appointed", 160, "to monitor [the] {utilisation|utilization|use|deployment}")]
-    no = [(f"no {agency}",), (f"{{has|have}} not appointed {{any|a|}} {agency}",), (agency, 100, "{is|are|shall be|will be} not {required|applicable|necessary}"), (f"not required to {{appoint|have|engage}} [a] {agency}",)]
-    said = lambda words, ways: F.exists(words, lambda w: F.lit(False) | F.greatest(*[says(w, *x) for x in ways]))
-    told = pages.select("doc_id", F.transform(sentences(F.col("text")), words_of).alias("words"))
-    told = told.groupBy("doc_id").agg(F.bool_or(said(F.col("words"), yes)).alias("y"), F.bool_or(said(F.col("words"), no)).alias("n"))
+    """doc_id, appointed: true or false if sentences state one of the two and none the other.
+
+    An agency is appointed if "appointed" stands behind has or have (or before "as"), not behind "not", and near the agency,
+    or before what it is to monitor. There is none if "no" stands before the agency, or a negation before "appointed",
+    "required", "applicable" or "necessary" in a sentence about it.
+    """
+    rows = pages.select("doc_id", F.explode(sentences(F.col("text"))).alias("sentence"))
+    rows = rows.where(F.lower("sentence").contains("monitor")).withColumn("w", claims.word_list(F.col("sentence")))
+    w = F.col("w")
+    agency, verb = claims.places(w, "monitoring agency"), claims.places(w, "appointed")
+    use = claims.behind(claims.places(w, "to monitor"), claims.places(w, "utilisation", "utilization", "use", "deployment"), 4)
+    not_ = claims.places(w, "not")
+    done = claims.without(claims.without(verb, not_, 2), claims.places(w, "be"), 1)
+    done = F.array_union(claims.behind(claims.places(w, "has", "have"), done, 2), claims.ahead(done, claims.places(w, "as"), 12))
+    near = claims.has(claims.ahead(done, F.concat(agency, use), 25)) | claims.has(claims.behind(agency, done, 16))
+    refused = claims.behind(not_, claims.places(w, "appointed", "required", "applicable", "necessary"), 2)
+    none = claims.has(claims.behind(claims.places(w, "no"), agency, 1)) | claims.has(claims.ahead(refused, agency, 6)) | claims.has(claims.behind(agency, refused, 20))
+    told = rows.groupBy("doc_id").agg(F.bool_or(near).alias("y"), F.bool_or(none).alias("n"))
     return told.where(F.col("y") != F.col("n")).select("doc_id", F.col("y").cast("int").alias("appointed"))
 
 

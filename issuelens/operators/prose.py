@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import sentences
 from ..functions.numbers import to_rupees
-from ..functions.wording import pattern, words_of
+from ..functions.wording import words_of
 from .documents import FRESH, MONEY, SALE
 
 # Roles of amounts; a raise that isn't the offer's; how far from its amount a role may stand.
 ROLES = ("fresh", "ofs", "total")
-PLACEMENT = "{pre ipo|preipo|private placement}"
+PLACEMENT = " (?:pre ipo|preipo|private placement)(?= )"
 REACH = 1200
 OFFER = {"offer", "issue", "public issue"}
 UNITS = {"million": "million", "mn": "million", "lakh": "lakh", "lac": "lakh", "crore": "crore", "cr": "crore"}
-_NONE = "{nil|na|n a}"
+_NONE = " (?:nil|na|n a)(?= )"
 
 
 def _value(money: Column) -> Column:
@@ -31,7 +31,7 @@ def _role_before(lead: Column) -> Column:
     """The role that the words before an amount give it: the one named last, if no placement is named after it and it isn't just a defined term."""
     after = lambda phrase: F.substring_index(lead, f" {phrase} ", -1)
     named = lambda phrase, other: (
-        F.contains(after(other), F.lit(f" {phrase} ")) & ~F.substring_index(after(other), f" {phrase} ", 1).rlike(r'["(]\s*$') & ~F.concat(F.lit(" "), after(phrase)).rlike(pattern(PLACEMENT))
+        F.contains(after(other), F.lit(f" {phrase} ")) & ~F.substring_index(after(other), f" {phrase} ", 1).rlike(r'["(]\s*$') & ~F.concat(F.lit(" "), after(phrase)).rlike(PLACEMENT)
     )
     spaced = F.concat(F.lit(" "), lead)
     own = lambda phrase, other: F.when(F.contains(spaced, F.lit(f" {phrase} ")) & named(phrase, other), F.lit("fresh" if phrase == FRESH else "ofs"))
@@ -62,7 +62,7 @@ def issue_mentions(pages: DataFrame) -> DataFrame:
     total = F.when(behind.rlike(r"^(?: \([^)]{1,40}\))? comprising (?:of )?(?:a )?fresh issue "), F.array(F.lit("total")))
     keys = F.array_distinct(F.array_compact(F.flatten(F.array(F.array(_role_before(lead)), _roles_defined(F.regexp_extract(behind, r"^ \(([^)]{1,80})\)", 1)), F.coalesce(total, F.array().cast("array<string>"))))))
     stated = heads.select("doc_id", "page", (F.col("sentence_no") * 1000 + F.col("piece_no")).cast("long").alias("place"), F.explode(keys).alias("key"), _value(money).alias("value"))
-    form = rf" fresh issue({MONEY})(?:{pattern(_NONE)}|({MONEY}))({MONEY})"
+    form = rf" fresh issue({MONEY})(?:{_NONE}|({MONEY}))({MONEY})"
     by_row = [F.struct(F.lit(k).alias("key"), _value(F.regexp_extract("words", form, g)).alias("value")) for k, g in zip(ROLES, (1, 4, 7))]
     in_row = rows.where(F.col("words").rlike(form)).select("doc_id", "page", (F.col("sentence_no") * 1000).cast("long").alias("place"), F.explode(F.array(*by_row)).alias("m")).select("doc_id", "page", "place", "m.*")
     return stated.unionByName(in_row).where("value is not null")

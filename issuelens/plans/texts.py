@@ -87,7 +87,7 @@ def garbled_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sector_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as documents, their texts as pages; words of the corpus stand for a sector's."""
     pages = portable(spark, sf_dir, "SELECT source AS doc_id, doc_id AS page, text FROM documents")
-    return d.sectors(pages, front=10**12, found={"lender": ("the", 30), "real_estate": ("{und|der}", 30)})
+    return d.sectors(pages, front=10**12, found={"lender": (["the"], 30), "real_estate": (["und", "der"], 30)})
 
 
 TYPE_HEADS = ["DRAFT RED HERRING PROSPECTUS dated", "Red Herring Prospectus", "prospectus", "Annual Report 2024", "Report of the auditor", "minutes"]
@@ -106,7 +106,19 @@ def doc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def narrative_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = portable(spark, sf_dir, "SELECT source AS doc_id, doc_id AS page, text FROM documents")
-    return d.first_hits(pages, {"licensed": ("licensed under",), "password": ("{password|token}",)}).select("doc_id", "fact", "page")
+    return d.first_hits(pages, {"licensed": d.said(F.col("words"), "licensed under"), "password": d.said(F.col("words"), "password", "token")}).select("doc_id", "fact", "page")
+
+
+#: Statements of offer documents, true and otherwise, each behind a whole given text.
+STATEMENTS = [
+    "Our Company, its Promoters and its Directors have not been debarred from accessing the capital markets.", "None of our Promoters or Directors are promoters or directors of any other company which is debarred.", "Neither our Company nor any of its Directors has been identified as a Wilful Defaulter.",
+    "None of our Directors is a fugitive economic offender.", "Not less than 75% of the Net Offer shall be available for allocation to QIBs.", "The Promoter contribution shall be locked-in for a period of eighteen months.", "Shares of the Promoter are locked in for a period of three years.",
+    "One of our Directors is a wilful defaulter.", "Our Directors were debarred from the securities market.", "Whether or not he is a fugitive economic offender is unknown.", "Not less than 75% of the votes were cast.", "Shares shall be locked-in for a period of one year.",
+]
+
+
+def narrative_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.narrative(_whole_texts(spark, sf_dir, [f". {x}" for x in STATEMENTS]).select("doc_id", F.lit(1).alias("page"), F.col("t").alias("text"))).select("doc_id", "fact", "value")
 
 
 def issue_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +172,7 @@ _ISO = "strftime(o_orderdate, '%Y-%m-%d')"
 _FYM = "CASE WHEN month(o_orderdate) = 3 THEN 'FY' || year(o_orderdate) ELSE 'YE' || strftime(o_orderdate, '%Y-%m') END"
 _IND = "CASE WHEN v < 1000 THEN v::VARCHAR WHEN v < 100000 THEN (v // 1000) || ',' || lpad((v % 1000)::VARCHAR, 3, '0') WHEN v < 10000000 THEN (v // 100000) || ',' || lpad((v // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v % 1000)::VARCHAR, 3, '0') ELSE (v // 10000000) || ',' || lpad((v // 100000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v // 1000 % 100)::VARCHAR, 2, '0') || ',' || lpad((v % 1000)::VARCHAR, 3, '0') END"
 _BKEY = f"""CASE o_orderkey % 6 WHEN 0 THEN 'AT-' || {_ISO} WHEN 1 THEN CASE WHEN strftime(o_orderdate, '%m-%d') = '03-31' THEN 'FY' || year(o_orderdate) ELSE '12M-' || {_ISO} END WHEN 2 THEN '?-' || {_ISO} WHEN 3 THEN 'FY' || (year(o_orderdate) + 1) WHEN 4 THEN '9M-' || {_ISO} ELSE 'FY' || year(o_orderdate) END"""
-QUERIES: dict[str, Query] = {f.__name__: f for f in (number_parse_a, number_parse_b, unit_convert, unit_detect, format_indian, printed_steps, period_parse_a, period_parse_b, label_match, key_families, page_classify, garbled_ratio, sector_mentions, doc_type, narrative_first_hit, issue_prose, most_printed, issue_totals, debt_total, running_totals, objects_table, tabular_pages, monitoring_agency)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (number_parse_a, number_parse_b, unit_convert, unit_detect, format_indian, printed_steps, period_parse_a, period_parse_b, label_match, key_families, page_classify, garbled_ratio, sector_mentions, doc_type, narrative_first_hit, narrative_facts, issue_prose, most_printed, issue_totals, debt_total, running_totals, objects_table, tabular_pages, monitoring_agency)}
 ORACLE: dict[str, str] = {
     "number_parse_a": f"SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 = 5 THEN NULL WHEN {_NEG} THEN -floor(l_extendedprice) WHEN l_linenumber % 7 = 3 THEN floor(l_extendedprice) + 0.5 ELSE floor(l_extendedprice) END AS value, l_linenumber % 7 = 5 AS is_null_mark, l_linenumber % 7 = 6 AS is_percent, CASE l_linenumber % 7 WHEN 1 THEN 'parentheses' WHEN 2 THEN 'minus' WHEN 4 THEN 'trailing minus' END AS negative_by FROM lineitem",
     "number_parse_b": "SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN floor(l_extendedprice) WHEN 1 THEN -floor(l_extendedprice) WHEN 2 THEN -floor(l_extendedprice) WHEN 3 THEN floor(l_extendedprice) + 0.5 WHEN 5 THEN 0.0 END AS value FROM lineitem",
@@ -190,6 +202,16 @@ ORACLE: dict[str, str] = {
 QUERIES |= {"doc_type_whole": doc_type, "issue_prose_whole": issue_prose}
 _WHOLE = "SELECT doc_id, coalesce(text, '') || ' ' || {} AS t FROM documents"
 ORACLE["doc_type_whole"] = f"WITH w AS ({_WHOLE.format(_case('doc_id', TYPE_HEADS))}) SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(t), '{words}') THEN '{kind}'" for words, kind in d.TYPES) + " END AS doc_type FROM w"
+_SAID = {
+    ("declarations.debarred_by_sebi", "false"): "(is|are|has|have) not (been )?(debarred|prohibited)[^.]*(securities|capital market)",
+    ("declarations.promoter_or_director_of_debarred_company", "false"): "(none|neither)[^.]*(promoter|director)[^.]*compan(y|ies) which (is|are) debarred",
+    ("declarations.wilful_defaulter_or_fraudulent_borrower", "false"): "(none|neither|(is|are|has|have) not)[^.]*wilful defaulter",
+    ("declarations.fugitive_economic_offender", "false"): "(none|neither|(is|are|has|have) not)[^.]*fugitive economic offender",
+    ("issue_details.qib_net_offer_allocation", "75"): "not less than 75% of the net offer[^.]*all?o[ct]",
+    ("promoter.lock_in_months", "18"): "promoter[^.]*locked.in for a period of eighteen months",
+    ("promoter.lock_in_months", "36"): "promoter[^.]*locked.in for a period of three years",
+}
+ORACLE["narrative_facts"] = f"WITH w AS ({_WHOLE.format(_case('doc_id', ['. ' + x for x in STATEMENTS]))}) " + " UNION ALL ".join(f"SELECT doc_id, '{fact}' AS fact, '{value}' AS value FROM w WHERE regexp_matches(lower(t), '{form}')" for (fact, value), form in _SAID.items())
 ORACLE["issue_prose_whole"] = f"""
     WITH w AS ({_WHOLE.format(_case('doc_id', ISSUE_HEADS))}), f AS (SELECT *, contains(lower(t), 'fresh issue') AS fresh, contains(lower(t), 'offer for sale') AS ofs, regexp_extract(lower(t), 'made pursuant to regulation 6 *[(] *([12]) *[)] of ', 1) AS r FROM w)
     SELECT doc_id, CASE WHEN fresh AND ofs THEN 'mixed' WHEN fresh THEN 'fresh' WHEN ofs THEN 'offer_for_sale' END AS issue_type, CASE WHEN r <> '' THEN '6(' || r || ')' END AS route, CAST(len(regexp_extract_all(lower(t), '(₹|rs[.]|inr) ?[0-9][0-9,.]* (lakh|lakhs|million|crore)')) AS INT) AS n_amounts FROM f
