@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,5 +26,15 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that driver and executors share (spark.checkpoint.dir); a session in one process may have it unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
