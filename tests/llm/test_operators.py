@@ -708,3 +708,9 @@ def test_components_follow_long_chains(spark, hub, monkeypatch):
 def test_every_query_has_its_number():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     json.dumps(queries.ORACLE)
+
+
+def test_rows_that_share_a_vec_id_are_ranked_apart(spark):
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [2, 3]), (2, [3, 2]), (0, [1, 0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, terms array<long>").repartition(2), F.col("vec_id") % 50 == 0, 2).collect())
+    assert got == [(0, 1, 1, 3), (0, 1, 2, 3), (0, 1, 2, 3), (0, 2, 1, 2), (0, 2, 1, 2), (0, 2, 2, 2)]
