@@ -123,11 +123,36 @@ def growth_gap(series: DataFrame, left: str, right: str, gap_pp: float = 20.0, b
 
 
 def audit(docs: DataFrame, facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
-    """doc_id, rule_id, status, severity: every rule for every document. docs: doc_id, platform, sectors; facts: doc_id, key, value, citations.
+    """doc_id, rule_id, status, severity: every rule for every document. docs: doc_id, platform, sectors; facts: doc_id, key, value, citations."""
+    return _judged(docs, facts, rules, as_of).select("doc_id", "rule_id", "o.status", "o.severity")
+
+
+def cited_flags(docs: DataFrame, facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """doc_id, rule_id, severity, inputs, citations of every flag: the keys that the rule used, and their citations, each once, in the order in which the inputs bring them."""
+    flagged = _judged(docs, facts, rules, as_of).where("o.status = 'flagged'")
+    cited = F.transform("inputs", lambda key: F.struct(F.try_element_at(F.col("cites"), key).alias("citations")))
+    return flagged.select("doc_id", "rule_id", "o.severity", "inputs", citations_of(cited).alias("citations"))
+
+
+def _inputs() -> Column:
+    """The keys of the facts that a rule looks at: those it names, or two series in the periods that it compares."""
+    key = lambda side, period: F.concat(F.lit("financials."), F.col(side), F.lit("."), period)
+    common = _common(*(series(F.col("known"), F.concat(F.lit("financials."), F.col(k))) for k in ("left", "right")))
+    last = lambda n: F.slice(common, F.greatest(F.size(common) - n + 1, F.lit(1)), n)
+    by_period = F.flatten(F.transform(last(F.col("periods")), lambda p: F.array(key("left", p), key("right", p))))
+    of_side = lambda side: F.transform(last(F.lit(2)), lambda p: key(side, p))
+    by_series = F.concat(of_side("left"), of_side("right"))
+    named = F.concat("tops", F.array("bottom"))
+    return F.when(F.col("kind").isin("ratio_vs_cap", "required_if"), named).when(F.col("kind") == "persistent_below", by_period).otherwise(by_series)
+
+
+def _judged(docs: DataFrame, facts: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+    """doc_id, rule_id, o (status, severity), inputs, cites for every rule and document.
 
     Facts gather into one map a document before they meet the rules, a table of a dozen rows, so no fact is copied.
     """
-    known = usable(facts).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.col("value").cast("double")))).alias("known"))
+    maps = [F.map_from_entries(F.collect_list(F.struct("key", x))).alias(name) for name, x in (("known", F.col("value").cast("double")), ("cites", F.col("citations")))]
+    known = usable(facts).groupBy("doc_id").agg(*maps)
     pairs = docs.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.create_map().cast("map<string,double>"))).crossJoin(F.broadcast(rules))
     value = lambda key: F.try_element_at(F.col("known"), key)
     tops = F.transform("tops", value)
@@ -143,4 +168,4 @@ def audit(docs: DataFrame, facts: DataFrame, rules: DataFrame, as_of: Column) ->
         .when(F.arrays_overlap("not_for", "sectors"), _said("not_applicable"))
         .when(F.col("kind") == "ratio_vs_cap", ratio).when(F.col("kind") == "required_if", needed).when(F.col("kind") == "persistent_below", below).otherwise(gap)
     )
-    return pairs.select("doc_id", "rule_id", out.alias("o")).select("doc_id", "rule_id", "o.status", "o.severity")
+    return pairs.select("doc_id", "rule_id", out.alias("o"), _inputs().alias("inputs"), "cites")

@@ -126,3 +126,56 @@ def hits_in_window(events: DataFrame, key: str, at: str, seconds: int = 60) -> D
     """n: events of the key in the window that ends with each event."""
     span = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("long")).rangeBetween(-(seconds - 1), 0)
     return events.withColumn("n", F.count("*").over(span))
+
+
+def versioned(current: DataFrame, writes: DataFrame) -> DataFrame:
+    """case_id, seq, accepted, version, fields: what becomes of writes, in order of seq (M01). current: case_id, version, fields (map); writes: case_id, seq, base_version, replaces, fields.
+
+    A write is made on a version; if that is the latest when its turn comes it is accepted as the next version, else it is
+    refused and changes nothing: of two writers on one version the first wins. It sets the fields that it names, or
+    replaces the whole snapshot. A case that isn't there is at version 0 with nothing. version and fields are those that
+    hold after the write. The writes of a case since the last run are folded as one array.
+    """
+    kind = dict(writes.dtypes)["fields"]
+    in_order = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    gathered = writes.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("seq", "base_version", "replaces", "fields")), in_order).alias("w"))
+    met = gathered.join(current.select("case_id", F.col("version").alias("v0"), F.col("fields").alias("f0")), "case_id", "left")
+    start = F.struct(F.coalesce("v0", F.lit(0)).cast("long").alias("version"), F.coalesce("f0", F.create_map().cast(kind)).alias("fields"), F.array().cast(f"array<struct<seq:{dict(writes.dtypes)['seq']},accepted:boolean,version:bigint,fields:{kind}>>").alias("out"))
+
+    def step(state: Column, w: Column) -> Column:
+        ok = F.coalesce(w["base_version"] == state["version"], F.lit(False))
+        version = F.when(ok, state["version"] + 1).otherwise(state["version"])
+        others = F.map_filter(state["fields"], lambda k, _: ~F.map_contains_key(w["fields"], k))
+        fields = F.when(ok & w["replaces"], w["fields"]).when(ok, F.map_concat(others, w["fields"])).otherwise(state["fields"])
+        return F.struct(version.alias("version"), fields.alias("fields"), F.concat(state["out"], F.array(F.struct(w["seq"].alias("seq"), ok.alias("accepted"), version.alias("version"), fields.alias("fields")))).alias("out"))
+
+    return met.select("case_id", F.explode(F.aggregate("w", start, step, lambda s: s["out"])).alias("x")).select("case_id", "x.*")
+
+
+#: What may happen to a document: from which states, and the state that follows.
+STEPS = {
+    "start": (("uploaded",), "extracting"), "finish": (("extracting",), "extracted"), "complete": (("extracted",), "complete"), "fail": (("uploaded", "extracting"), "failed"),
+    "retry": (("extracted", "complete", "failed"), "uploaded"), "recover": (("uploaded", "extracting"), "failed"),
+}
+
+
+def replayed(events: DataFrame) -> DataFrame:
+    """doc_id, state, held, n_retries, n_recovered, n_refused after a document's events in order of seq (M06). events: doc_id, seq, action.
+
+    A document begins as uploaded, its content held. A step that its state doesn't allow is refused; "recover", which comes
+    for all documents after a crash, takes up only those that were being worked on, and is never refused. "delete_content"
+    is refused while a document is being worked on; a retry needs the content.
+    """
+    gathered = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("e"))
+    start = F.struct(F.lit("uploaded").alias("state"), F.lit(True).alias("held"), *[F.lit(0).cast("long").alias(n) for n in ("n_retries", "n_recovered", "n_refused")])
+
+    def step(s: Column, e: Column) -> Column:
+        action, busy = e["action"], s["state"].isin("uploaded", "extracting")
+        may = lambda name: (action == name) & s["state"].isin(*STEPS[name][0]) & (s["held"] if name == "retry" else F.lit(True))
+        state = F.coalesce(*[F.when(may(name), F.lit(to)) for name, (_, to) in STEPS.items()], s["state"])
+        deleted = (action == "delete_content") & ~busy
+        done = F.greatest(*[may(name) for name in STEPS]) | deleted | (action == "recover")
+        more = lambda name, when: (s[name] + when.cast("long")).alias(name)
+        return F.struct(state.alias("state"), (s["held"] & ~deleted).alias("held"), more("n_retries", may("retry")), more("n_recovered", may("recover")), more("n_refused", ~done))
+
+    return gathered.select("doc_id", F.aggregate("e", start, step).alias("s")).select("doc_id", "s.*")

@@ -184,7 +184,28 @@ def chronological_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SHARED = "WITH d AS (SELECT *, sha256(text) AS sha256 FROM documents)"
 _FACTS = f"f AS ({FACTS})"
-QUERIES: dict[str, Query] = {f.__name__: f for f in (latest_version, next_version, rate_limit_window, audit_history, status_counts, case_counts, case_status, as_of_signup, review_fold, sign_off, review_merge, supersede, idempotent_upload, purge, delete_content, complete_documents, transitions, case_search, coerced_values, runs_with_documents, stale_labels, evidence_verified, labels_verified, hidden_pages, fingerprint, page_text, field_paths, path_update, evidence_kind, chronological_rank)}
+#: Orders as writes on customers' cases: some on an older version, some on one that isn't there yet, some that replace the whole.
+WRITES = """
+    SELECT o_custkey AS case_id, o_orderkey AS seq, CAST(n + CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN -2 ELSE -1 END AS BIGINT) - CAST(floor(n / 4) AS BIGINT) AS base_version, o_orderkey % 5 = 0 AS replaces, substr(o_orderpriority, 1, 1) AS key1, o_orderstatus AS key2, CAST(floor(o_totalprice) AS BIGINT) AS value
+    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) x
+"""
+CURRENT = "SELECT c_custkey AS case_id, CAST(c_custkey % 2 AS BIGINT) AS version, CAST(floor(c_acctbal) AS BIGINT) AS value FROM customer WHERE c_custkey % 3 > 0"
+#: Events as what happens to users' documents.
+STEPS = "SELECT user_id AS doc_id, event_id AS seq, CASE event_id % 11 WHEN 0 THEN 'delete_content' WHEN 1 THEN 'fail' WHEN 2 THEN 'recover' WHEN 3 THEN 'retry' WHEN 4 THEN 'retry' WHEN 5 THEN 'complete' WHEN 6 THEN 'finish' WHEN 7 THEN 'finish' WHEN 8 THEN 'complete' ELSE 'start' END AS action FROM events"
+
+
+def versioned_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = portable(spark, sf_dir, CURRENT).select("case_id", "version", F.create_map(F.lit("first"), F.col("value")).alias("fields"))
+    writes = portable(spark, sf_dir, WRITES).select("case_id", "seq", "base_version", "replaces", F.when(F.col("key1") == F.col("key2"), F.create_map("key1", "value")).otherwise(F.create_map(F.col("key1"), F.col("value"), F.col("key2"), F.col("value") + 1)).alias("fields"))
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return workflow.versioned(current, writes).select("case_id", "seq", "accepted", "version", said.alias("fields"))
+
+
+def document_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.replayed(portable(spark, sf_dir, STEPS))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (versioned_writes, document_replay, latest_version, next_version, rate_limit_window, audit_history, status_counts, case_counts, case_status, as_of_signup, review_fold, sign_off, review_merge, supersede, idempotent_upload, purge, delete_content, complete_documents, transitions, case_search, coerced_values, runs_with_documents, stale_labels, evidence_verified, labels_verified, hidden_pages, fingerprint, page_text, field_paths, path_update, evidence_kind, chronological_rank)}
 ORACLE: dict[str, str] = {
     "latest_version": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) t WHERE r = 1",
     "next_version": "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS version FROM events",
@@ -217,3 +238,23 @@ ORACLE: dict[str, str] = {
     "evidence_kind": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'human' WHEN event_type = 'error' THEN 'calculated' WHEN event_id % 2 = 0 THEN 'document' ELSE 'declared' END AS kind, CASE WHEN event_id % 5 = 0 AND event_id % 3 = 0 THEN 'candidates conflict; low confidence' WHEN event_id % 5 = 0 THEN 'candidates conflict' WHEN event_id % 3 = 0 THEN 'low confidence' END AS reason FROM events",
     "chronological_rank": "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 = 0 THEN make_date(year(o_orderdate), 3, 31) ELSE CAST(o_orderdate AS DATE) END, 'FY' || year(o_orderdate) || '-' || o_orderkey) AS INT) AS rank FROM orders",
 }
+
+ORACLE["versioned_writes"] = f"""
+    WITH RECURSIVE w AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY seq) AS n FROM ({WRITES}) x),
+    r AS (SELECT DISTINCT w.case_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, FALSE AS accepted, coalesce(c.version, 0) AS version, CASE WHEN c.case_id IS NULL THEN CAST([] AS STRUCT(k VARCHAR, v BIGINT)[]) ELSE [{{'k': 'first', 'v': c.value}}] END AS fields FROM w LEFT JOIN ({CURRENT}) c ON c.case_id = w.case_id
+        UNION ALL SELECT w.case_id, w.n, w.seq, w.base_version = r.version, CASE WHEN w.base_version = r.version THEN r.version + 1 ELSE r.version END,
+            CASE WHEN w.base_version <> r.version THEN r.fields ELSE list_concat(CASE WHEN w.replaces THEN CAST([] AS STRUCT(k VARCHAR, v BIGINT)[]) ELSE list_filter(r.fields, lambda f: f.k NOT IN (w.key1, w.key2)) END, [{{'k': w.key1, 'v': w.value}}], CASE WHEN w.key1 = w.key2 THEN CAST([] AS STRUCT(k VARCHAR, v BIGINT)[]) ELSE [{{'k': w.key2, 'v': w.value + 1}}] END) END
+        FROM r JOIN w ON w.case_id = r.case_id AND w.n = r.n + 1)
+    SELECT case_id, seq, accepted, version, array_to_string(list_transform(list_sort(fields), lambda f: f.k || '=' || f.v), ',') AS fields FROM r WHERE n > 0
+"""
+_BUSY = "r.state IN ('uploaded', 'extracting')"
+ORACLE["document_replay"] = f"""
+    WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS n FROM ({STEPS}) x),
+    r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, 'uploaded' AS state, TRUE AS held, CAST(0 AS BIGINT) AS n_retries, CAST(0 AS BIGINT) AS n_recovered, CAST(0 AS BIGINT) AS n_refused FROM e
+        UNION ALL SELECT e.doc_id, e.n, CASE WHEN action = 'start' AND r.state = 'uploaded' THEN 'extracting' WHEN action = 'finish' AND r.state = 'extracting' THEN 'extracted' WHEN action = 'complete' AND r.state = 'extracted' THEN 'complete' WHEN action IN ('fail', 'recover') AND {_BUSY} THEN 'failed'
+                WHEN action = 'retry' AND NOT {_BUSY} AND r.held THEN 'uploaded' ELSE r.state END,
+            r.held AND NOT (action = 'delete_content' AND NOT {_BUSY}), r.n_retries + CASE WHEN action = 'retry' AND NOT {_BUSY} AND r.held THEN 1 ELSE 0 END, r.n_recovered + CASE WHEN action = 'recover' AND {_BUSY} THEN 1 ELSE 0 END,
+            r.n_refused + CASE WHEN (action = 'start' AND r.state <> 'uploaded') OR (action = 'finish' AND r.state <> 'extracting') OR (action = 'complete' AND r.state <> 'extracted') OR (action = 'fail' AND NOT {_BUSY}) OR (action = 'retry' AND ({_BUSY} OR NOT r.held)) OR (action = 'delete_content' AND {_BUSY}) THEN 1 ELSE 0 END
+        FROM r JOIN e ON e.doc_id = r.doc_id AND e.n = r.n + 1)
+    SELECT doc_id, state, held, n_retries, n_recovered, n_refused FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS last FROM r) t WHERE last = 1
+"""

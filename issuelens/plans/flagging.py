@@ -62,6 +62,17 @@ def rule_audit_2020(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.audit(docs, facts, flags.catalogue(spark), F.lit("2020-01-01").cast("date"))
 
 
+#: A page and a span for each fact by the length of its key, and a second one that all facts share.
+def flag_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, facts = _facts(spark, sf_dir)
+    cite = lambda page, span: F.struct(page.cast("int").alias("page"), span.alias("span"))
+    own = cite((F.length("key") + F.col("doc_id")) % 4, F.concat(F.lit("s"), (F.length("key") % 2).cast("string")))
+    told = facts.withColumn("citations", F.when(F.size("citations") > 0, F.array(own, cite(F.lit(9), F.lit("cover")))).otherwise(F.array().cast("array<struct<page:int,span:string>>")))
+    found = flags.cited_flags(docs, told, flags.catalogue(spark), F.lit("2025-06-30").cast("date"))
+    said = F.array_join(F.transform("citations", lambda c: F.concat(c["page"].cast("string"), F.lit(":"), c["span"])), ",")
+    return found.select("doc_id", "rule_id", "severity", F.array_join("inputs", ",").alias("inputs"), said.alias("citations"))
+
+
 def filing_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.filing_index(rule_audit(spark, sf_dir))
 
@@ -265,7 +276,7 @@ _KEEP = "(total = 1 OR (supporters >= 2 AND strength >= 2 * rival))"
 _ITEMS = "i2 AS (SELECT doc_id, CASE status WHEN 'flagged' THEN 'flag' ELSE 'unchecked' END AS kind, severity, length(rule_id) AS page, rule_id AS key FROM audit WHERE status IN ('flagged', 'missing_inputs'))"
 _SEV = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END"
 _EDIT = lambda op: EDITS.format(op=op, side="concat('issue.', o_orderpriority) AS key, CAST(SUM(CAST(round(o_totalprice) AS BIGINT)) AS BIGINT) AS value")
-QUERIES: dict[str, Query] = {f.__name__: f for f in (rule_audit, rule_audit_2020, filing_index, growth_gap, persistent_below, newest_growth, footing, trusted_columns, drop_ambiguous, consensus_figures, facts_keep, withheld_figures, withheld_years, weighed_readings, quarantine, facts_two_pass, fy_matrix, decide_field, top_candidates, validate_cross_field, value_diff, flag_diff, eval_score, read_first_topk, triage)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (rule_audit, rule_audit_2020, flag_citations, filing_index, growth_gap, persistent_below, newest_growth, footing, trusted_columns, drop_ambiguous, consensus_figures, facts_keep, withheld_figures, withheld_years, weighed_readings, quarantine, facts_two_pass, fy_matrix, decide_field, top_candidates, validate_cross_field, value_diff, flag_diff, eval_score, read_first_topk, triage)}
 ORACLE: dict[str, str] = {
     "rule_audit": f"{_NOW} SELECT doc_id, rule_id, status, severity FROM audit",
     "rule_audit_2020": f"{_THEN} SELECT doc_id, rule_id, status, severity FROM audit",
@@ -300,3 +311,16 @@ ORACLE: dict[str, str] = {
     "read_first_topk": f"{_NOW}, {_ITEMS} SELECT * FROM (SELECT doc_id, key, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE kind WHEN 'flag' THEN {_SEV} ELSE 4 END, CASE kind WHEN 'flag' THEN 1 ELSE 3 END, page, key) AS INT) AS rank FROM i2) t WHERE rank <= 3",
     "triage": f"{_NOW}, {_ITEMS} SELECT doc_id, CAST(min({_SEV}) AS INT) AS worst, count(*) AS n FROM i2 WHERE kind = 'flag' GROUP BY doc_id",
 }
+
+_NAMED = " UNION ALL ".join(f"SELECT '{r[0]}' AS rule_id, {k} AS place, '{key}' AS key" for r in flags.RULES if r[6] in ("ratio_vs_cap", "required_if") for k, key in enumerate([*r[7].get("numerators", r[7].get("trigger", "")).split(","), r[7].get("denominator", r[7].get("required"))], 1))
+_PERIODS = f"SELECT doc_id, fy, row_number() OVER (PARTITION BY doc_id ORDER BY fy DESC) AS back FROM ({SERIES}) s"
+ORACLE["flag_citations"] = f"""
+    WITH a AS ({ORACLE["rule_audit"]}), f AS (SELECT doc_id, rule_id, severity FROM a WHERE status = 'flagged'), p AS ({_PERIODS}),
+    used AS (
+        SELECT f.doc_id, f.rule_id, n.place, n.key FROM f JOIN ({_NAMED}) n ON f.rule_id = n.rule_id
+        UNION ALL SELECT f.doc_id, f.rule_id, 10 * (4 - back) + s, 'financials.' || CASE s WHEN 1 THEN 'cash_from_operations' ELSE 'profit_after_tax' END || '.FY' || fy FROM f JOIN p ON p.doc_id = f.doc_id AND back <= 3 CROSS JOIN (SELECT unnest([1, 2]) AS s) x WHERE rule_id = 'FIN-CFO-BELOW-PAT'
+        UNION ALL SELECT f.doc_id, f.rule_id, 10 * s + 3 - back, 'financials.' || CASE s WHEN 1 THEN 'trade_receivables' ELSE 'revenue_from_operations' END || '.FY' || fy FROM f JOIN p ON p.doc_id = f.doc_id AND back <= 2 CROSS JOIN (SELECT unnest([1, 2]) AS s) x WHERE rule_id = 'FIN-RECEIVABLES-OUTGROW-REVENUE'
+    ), c AS (SELECT doc_id, rule_id, 2 * place AS place, ((length(key) + doc_id) % 4) || ':s' || (length(key) % 2) AS c FROM used UNION ALL SELECT doc_id, rule_id, 2 * place + 1, '9:cover' FROM used),
+    once AS (SELECT doc_id, rule_id, c, min(place) AS place FROM c GROUP BY ALL), said AS (SELECT doc_id, rule_id, string_agg(c, ',' ORDER BY place) AS citations FROM once GROUP BY ALL), inputs AS (SELECT doc_id, rule_id, string_agg(key, ',' ORDER BY place) AS inputs FROM used GROUP BY ALL)
+    SELECT f.doc_id, f.rule_id, severity, inputs, citations FROM f JOIN said s ON f.doc_id = s.doc_id AND f.rule_id = s.rule_id JOIN inputs i ON f.doc_id = i.doc_id AND f.rule_id = i.rule_id
+"""
