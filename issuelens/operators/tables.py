@@ -268,3 +268,38 @@ def scan(lines: DataFrame, most_blank: int = 6, low: float = 0.7, most_above: in
     )
     rows = own.join(tables, [*PAGE, "segment"]).unionByName(onward.join(carry.withColumnsRenamed({"from_table": "table", "from_unit": "of_unit"}), PAGE), allowMissingColumns=True)
     return rows.select(*PAGE, "line", F.col("whole_label").alias("label"), "n_figures", F.col("k").alias("n_cols"), F.col("of_unit").alias("unit"), F.col("table.page").alias("table_page"), F.col("table.segment").alias("table_segment"))
+
+
+# What a page lends to its grids --------------------------------------------------------------------------------------
+
+
+def context(lines: DataFrame, for_unit: int = 10, for_basis: int = 14, titles: int = 3, head: int = 12, for_rules: int = 40) -> DataFrame:
+    """doc_id, page, line, unit, unit_source, basis, title, eligible of each header line (J29). lines: doc_id, page, line, text, is_header, names_rules (the line speaks of eligibility).
+
+    The unit is the header's own, or that of the nearest of for_unit lines above, or the first among the page's head lines. The
+    basis is that of the nearest of for_basis lines above which names one of the two, or that of the head lines if they name
+    just one. The title is the last lines above that aren't blank. All from one window over a page's lines.
+    """
+    by = Window.partitionBy(*PAGE).orderBy("line")
+    back = lambda n: by.rowsBetween(-n, -1)
+    page = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    low = F.lower("text")
+    both, alone = low.contains("consolidated"), low.contains("standalone")
+    basis = lambda c, s: F.when(c & ~s, "consolidated").when(s & ~c, "standalone")
+    read = lines.withColumns({"text": cleaned("text"), "place": F.row_number().over(by)}).withColumns({"u": units.unit_a(F.col("text")), "b": basis(both, alone)})
+    top = F.col("place") <= head
+    told = read.withColumns({
+        "caption": F.last("u", ignorenulls=True).over(back(for_unit)), "heading": F.first(F.when(top, F.col("u")), ignorenulls=True).over(page), "near": F.last("b", ignorenulls=True).over(back(for_basis)),
+        "of_head": basis(F.bool_or(top & both).over(page), F.bool_or(top & alone).over(page)), "above": F.collect_list(F.when(F.col("text") != "", F.col("text"))).over(back(for_basis)), "eligible": F.coalesce(F.bool_or("names_rules").over(back(for_rules)), F.lit(False)),
+    }).where("is_header")
+    source = F.when(F.col("u").isNotNull(), "header").when(F.col("caption").isNotNull(), "caption").when(F.col("heading").isNotNull(), "page_heading")
+    title = F.substring(F.array_join(F.slice("above", F.greatest(F.size("above") - titles + 1, F.lit(1)), titles), " / "), 1, 300)
+    return told.select(*PAGE, "line", F.coalesce("u", "caption", "heading").alias("unit"), source.alias("unit_source"), F.coalesce("near", "of_head").alias("basis"), title.alias("title"), "eligible")
+
+
+def lent(grids: DataFrame, lines: DataFrame) -> DataFrame:
+    """grids (doc_id, page, table_no, unit) with unit, unit_source, basis, title and eligible: what is missing comes from the first header line of the page."""
+    first = context(lines).groupBy(*PAGE).agg(F.min_by(F.struct("unit", "unit_source", "basis", "title", "eligible"), "line").alias("lent"))
+    met = grids.withColumnRenamed("unit", "own").join(first, PAGE, "left")
+    source = F.when(F.col("own").isNotNull(), "header").otherwise(F.col("lent.unit_source"))
+    return met.select(*[c for c in grids.columns if c != "unit"], F.coalesce("own", "lent.unit").alias("unit"), source.alias("unit_source"), "lent.basis", "lent.title", F.coalesce("lent.eligible", F.lit(False)).alias("eligible"))

@@ -48,6 +48,20 @@ LINES = """
 """
 
 
+#: Lines above and between headers: captions, titles of either basis, blanks, and talk of eligibility.
+CONTEXT = """
+    SELECT l_suppkey AS doc_id, CAST(l_orderkey % 25 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 25 ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS line, (l_partkey + l_linenumber) % 9 = 0 AS is_header, l_partkey % 23 = 4 AS names_rules,
+           CASE WHEN (l_partkey + l_linenumber) % 9 = 0 THEN CASE l_partkey % 4 WHEN 0 THEN 'Particulars (in million) Fiscal 2023 Fiscal 2022' ELSE 'Particulars Fiscal 2023 Fiscal 2022' END
+                WHEN l_partkey % 19 = 3 THEN '(₹ in lakhs)' WHEN l_partkey % 17 = 2 THEN 'Restated Consolidated Statement' WHEN l_partkey % 17 = 5 THEN 'Standalone  figures' WHEN l_partkey % 17 = 7 THEN 'consolidated and standalone' WHEN l_partkey % 5 = 1 THEN ' ' WHEN l_partkey % 5 = 2 THEN NULL ELSE concat('Line ', CAST(l_partkey % 50 AS VARCHAR(4))) END AS text
+    FROM lineitem
+"""
+GRIDS = "SELECT DISTINCT l_suppkey AS doc_id, CAST(l_orderkey % 25 AS INT) AS page, 1 AS table_no, CASE WHEN l_orderkey % 25 % 4 = 1 THEN 'INR_CRORE' END AS unit FROM lineitem"
+
+
+def lent_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.lent(portable(spark, sf_dir, GRIDS), portable(spark, sf_dir, CONTEXT)).drop("table_no")
+
+
 def ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.ruled(portable(spark, sf_dir, CELLS)).select("doc_id", "page", "row", "label", "unit", "col", "period", F.col("value").cast("double").alias("value"), "is_null_mark")
 
@@ -88,7 +102,7 @@ def statement_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan(portable(spark, sf_dir, LINES))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (ruled_tables, clean_tables, transposed_cells, merged_cells, table_facts, preferred_tables, placed_values, promoted_rows, statement_scan)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (ruled_tables, clean_tables, transposed_cells, merged_cells, table_facts, preferred_tables, placed_values, promoted_rows, statement_scan, lent_context)}
 
 _CLEAN = "trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))"
 _PERIOD = "CASE WHEN regexp_matches(t, '^(Fiscal|March 31,) \\d{4}$') THEN 'FY' || right(t, 4) END"
@@ -176,4 +190,17 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, page, line, label, n_figures, cur.k AS n_cols, cur.u AS unit, cur.p AS table_page, cur.s AS table_segment FROM r WHERE shown
     """,
+    "lent_context": f"""
+        WITH l AS (SELECT *, coalesce(trim(regexp_replace(text, '\\s+', ' ', 'g')), '') AS t, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) AS place FROM ({CONTEXT}) x),
+        m AS (SELECT *, CASE WHEN t LIKE '%lakhs%' THEN 'INR_LAKH' WHEN t LIKE '%million%' THEN 'INR_MILLION' END AS u, lower(t) LIKE '%consolidated%' AS c, lower(t) LIKE '%standalone%' AS s FROM l),
+        b AS (SELECT *, CASE WHEN c AND NOT s THEN 'consolidated' WHEN s AND NOT c THEN 'standalone' END AS b FROM m),
+        h AS (SELECT doc_id, page, min(line) AS line FROM b WHERE is_header GROUP BY ALL),
+        p AS (SELECT doc_id, page, arg_min(u, line) FILTER (WHERE u IS NOT NULL) AS heading, bool_or(c) AS c, bool_or(s) AS s FROM b WHERE place <= 12 GROUP BY ALL),
+        a AS (SELECT h.doc_id, h.page, any_value(b.u) FILTER (WHERE b.line = h.line) AS own, arg_max(b.u, b.line) FILTER (WHERE b.u IS NOT NULL AND h.line - b.line BETWEEN 1 AND 10) AS caption, arg_max(b.b, b.line) FILTER (WHERE b.b IS NOT NULL AND h.line - b.line BETWEEN 1 AND 14) AS near,
+              coalesce(bool_or(b.names_rules) FILTER (WHERE h.line - b.line BETWEEN 1 AND 40), FALSE) AS eligible, list(b.t ORDER BY b.line) FILTER (WHERE b.t <> '' AND h.line - b.line BETWEEN 1 AND 14) AS above FROM h JOIN b ON b.doc_id = h.doc_id AND b.page = h.page AND b.line <= h.line GROUP BY h.doc_id, h.page),
+        x AS (SELECT a.*, p.heading, CASE WHEN p.c AND NOT p.s THEN 'consolidated' WHEN p.s AND NOT p.c THEN 'standalone' END AS of_head FROM a JOIN p ON p.doc_id = a.doc_id AND p.page = a.page)
+        SELECT g.doc_id, g.page, coalesce(g.unit, own, caption, heading) AS unit, CASE WHEN g.unit IS NOT NULL OR own IS NOT NULL THEN 'header' WHEN caption IS NOT NULL THEN 'caption' WHEN heading IS NOT NULL THEN 'page_heading' END AS unit_source,
+            coalesce(near, of_head) AS basis, CASE WHEN x.doc_id IS NOT NULL THEN substr(coalesce(array_to_string(above[-3:], ' / '), ''), 1, 300) END AS title, coalesce(eligible, FALSE) AS eligible
+        FROM ({GRIDS}) g LEFT JOIN x ON x.doc_id = g.doc_id AND x.page = g.page
+    """,
 }

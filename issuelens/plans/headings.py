@@ -231,7 +231,7 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def printed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = portable(spark, sf_dir, "SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 2 = 0 THEN concat(' page ', CAST(doc_id % 900 AS VARCHAR(5))) ELSE ' end.' END) AS text FROM documents")
-    return rows.where("doc_id % 2 = 0 or text not rlike '^\\\\s*[0-9]'").select("doc_id", labels.printed_page(F.col("text")).alias("printed"))
+    return rows.select("doc_id", labels.printed_page(F.col("text")).alias("printed"))
 
 
 def rejected_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,7 +319,7 @@ ORACLE: dict[str, str] = {
     "skipped_columns": "SELECT o_orderkey, o_orderkey % 5 IN (0, 2, 3) AS skipped FROM orders",
     "note_references": "SELECT l_orderkey AS table_no, l_linenumber AS col FROM lineitem GROUP BY ALL HAVING bool_and(CAST(l_quantity AS INT) % 40 BETWEEN 1 AND 99)",
     "candidate_scores": "WITH s AS (SELECT l_orderkey, l_linenumber, round(0.35 * ((l_orderkey % 2) / 2.0) + 0.2 * ((l_orderkey % 4) / 4.0) + 0.15 * ((l_orderkey % 5) / 5.0) + 0.1 * ((l_orderkey % 8) / 8.0) + 0.1 * ((l_orderkey % 10) / 10.0) + 0.1, 4) AS score FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.72 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS confidence FROM s",
-    "printed_pages": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 900 AS INT) END AS printed FROM documents WHERE doc_id % 2 = 0 OR NOT regexp_matches(coalesce(text, ''), '^\\s*[0-9]')",
+    "printed_pages": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 900 AS INT) ELSE TRY_CAST(nullif(regexp_extract(coalesce(text, ''), '^\\s*(\\d{1,4})\\b', 1), '') AS INT) END AS printed FROM documents",
     "rejected_uploads": "SELECT document_id, seq FROM (SELECT o_custkey AS document_id, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) o WHERE r > 1 OR document_id % 3 = 0",
     "executable_rulesets": f"SELECT o_orderkey, version FROM ({VERSIONS}) v WHERE status <> 'superseded'",
     "money_text": "SELECT o_orderkey, '₹' || format('{:,.2f}', v / 8.0) || ' Cr' AS crore, format('{:,.2f}', v % 1000 / 8.0) || '%' AS percent FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders) o",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import casework, flagging, folders, geometry, grids, headings, records, screening, texts
+from . import casework, flagging, folders, geometry, grids, headings, pages, records, screening, texts
 
 FLAGSHIP = screening.QUERIES["screening_outcome"]
-QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES, **texts.QUERIES, **geometry.QUERIES, **grids.QUERIES, **folders.QUERIES, **headings.QUERIES, **records.QUERIES}
-ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE, **texts.ORACLE, **geometry.ORACLE, **grids.ORACLE, **folders.ORACLE, **headings.ORACLE, **records.ORACLE}
+QUERIES = {**screening.QUERIES, **flagging.QUERIES, **casework.QUERIES, **texts.QUERIES, **geometry.QUERIES, **grids.QUERIES, **folders.QUERIES, **pages.QUERIES, **headings.QUERIES, **records.QUERIES}
+ORACLE = {**screening.ORACLE, **flagging.ORACLE, **casework.ORACLE, **texts.ORACLE, **geometry.ORACLE, **grids.ORACLE, **folders.ORACLE, **pages.ORACLE, **headings.ORACLE, **records.ORACLE}
