@@ -8,31 +8,22 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-#: Nodes of HUB neighbours or more (16 MB that one task would read), and of a share of 1 / HUBS of all edges: 2 * HUBS at most, 16 bytes each.
-HUBS, HUB = 100_000, 1_000_000
+def _told(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows with the m of their u. A sort-merge join of two tables at every size: the rows of a hub make a large partition, which Spark splits as long as neither side comes from an aggregate by u; so least is written."""
+    return rows.join(written(least).hint("merge"), "u")
 
 
-def _told(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
-    """rows with the m of their u; least: u, m, n (rows of u). Hubs tell theirs to every task, so that no task reads a hub's neighbours whole."""
-    if 2 * edges < HUB:  # there can't be a hub
-        return rows.join(least.select("u", "m"), "u")
-    limit = max(HUB, -(-edges // HUBS))
-    met = rows.join(F.broadcast(least.where(F.col("n") >= limit).select("u", F.col("m").alias("hub"))), "u", "left")
-    others = met.where("hub is null").drop("hub").join(least.where(F.col("n") < limit).select("u", "m"), "u")
-    return met.where("hub is not null").withColumnRenamed("hub", "m").unionByName(others)
-
-
-def _large(edges: DataFrame, n: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node goes to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-    return _told(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return _told(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small(edges: DataFrame, n: int) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below go to the least of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = _told(edges, least, n).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = _told(edges, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -42,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = written(_small(_large(now, before[0]), before[0]))
+        now = written(_small(_large(now)))
         after = mark(now)
         if after == before:
             break

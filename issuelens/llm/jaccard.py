@@ -384,8 +384,8 @@ def groups(docs: DataFrame) -> DataFrame:
     near = near.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_firsts, "a long, b long")
     family = written(components(near).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = written(family.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")))
+    sizes = written(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    placed = written(family.join(sizes.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")))
     # A family of b blocks has some PIVOTS of its members in each; fewer than one row in BLOCK / PIVOTS is copied.
     share = F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks").cast("long") * BLOCK) < PIVOTS
     where = F.when((F.col("blocks") > 1) & share, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))

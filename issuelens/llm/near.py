@@ -35,8 +35,6 @@ from .graph import components
 SHINGLE, BANDS, ROWS, BITS = 5, 32, 4, 512
 SAMPLES = BANDS * ROWS
 CHUNK, BLOCK = 4096, 2048
-#: Classes of copies with LARGE_LEAST members or more and a share of 1 / LARGE of all rows: LARGE at most, 24 bytes each.
-LARGE, LARGE_LEAST = 100_000, 1000
 #: Bytes of text worked on at once, in 4096 texts at most.
 PIECE = 1 << 20
 LOOSE = 0.55
@@ -227,16 +225,6 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         give_back()
 
 
-def _with_class(full: DataFrame) -> DataFrame:
-    """doc_id and rep, the least doc_id of equal shingle sets. Classes of a share of 1 / LARGE of the rows, LARGE at most, are told to every task; only members of smaller ones meet by a shuffle."""
-    classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    least = max(LARGE_LEAST, -(-full.count() // LARGE))
-    large = classes.where(F.col("n") >= least).select("c1", "c2", F.col("rep").alias("large_rep"))
-    met = full.select("doc_id", "c1", "c2").join(F.broadcast(large), ["c1", "c2"], "left")
-    others = met.where("large_rep is null").join(classes.where(F.col("n") < least), ["c1", "c2"]).select("doc_id", "rep")
-    return met.where("large_rep is not null").select("doc_id", F.col("large_rep").alias("rep")).unionByName(others).distinct()
-
-
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id long, text)."""
     small_batches(docs.sparkSession)
@@ -244,43 +232,52 @@ def groups(docs: DataFrame) -> DataFrame:
     sketched = "n_shingles long, c1 long, c2 long, bands array<long>, odd binary, doc_id long"
     known = written(texts.where("doc_id is not null").mapInPandas(_sketched, sketched))
     full = known.where("n_shingles > 0")
-    of_class = written(_with_class(full))
-    alone = full.join(of_class.where("doc_id = rep").select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    classes = written(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
+    named = classes.select("rep", F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+    alone = full.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left_semi")
 
     # c1 tells the texts of one id apart.
     spread = alone.select(F.col("doc_id").alias("rep"), "c1", F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    members = spread.join(crowded, "key").join(alone.select(F.col("doc_id").alias("rep"), "c1", "odd").dropDuplicates(["rep", "c1"]), ["rep", "c1"])
+    # Sort-merge joins with written tables, here and below: where many rows have one key, Spark splits them.
+    crowded = written(spread.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    members = spread.join(crowded.hint("merge"), "key").join(alone.select(F.col("doc_id").alias("rep"), "c1", "odd").dropDuplicates(["rep", "c1"]), ["rep", "c1"])
     parts = members.withColumn("parts", F.ceil(F.col("m") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")))
     met = parts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "odd")
     met = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "rep").mapInPandas(_families, "a long, b long")
     family = written(components(met).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
-    sizes = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = family.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    sizes = written(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    placed = family.join(sizes.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     # Texts are dealt out by id at every size; a broadcast of the smaller side would be bounded by nothing.
     sets = texts.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "family", "blocks", "own", "text")
     sets = sets.mapInPandas(_sets, "rep long, family long, blocks int, own int, shingles array<long>")
     dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "shingles")
     checked = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(_verified, "a long, b long")
-    # An id that different texts share is in several classes, and joins them.
-    shared = of_class.groupBy("doc_id").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("of"), "a")
-    several = shared.limit(1).count() > 0
+    # An id that different texts share joins their groups.
+    ids = known.groupBy("doc_id").agg(F.min(F.struct("c1", "c2")).alias("x"), F.max(F.struct("c1", "c2")).alias("y")).where("x <> y").select(F.col("doc_id").alias("shared"))
+    several = ids.limit(1).count() > 0
     if several:
-        checked = checked.unionByName(of_class.join(shared, F.col("doc_id") == F.col("of")).select("a", F.col("rep").alias("b")))
-    root = components(checked).select(F.col("node").alias("rep"), "root")
+        checked = checked.unionByName(full.join(ids, F.col("doc_id") == F.col("shared"), "left_semi").join(classes, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
+    root = components(checked)
 
-    placed = of_class.join(root, "rep", "left").select(F.col("doc_id").alias("of"), F.coalesce("root", "rep").alias("found"))
-    placed = placed.groupBy("of").agg(F.min("found").alias("found")) if several else placed
-    out = known.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    # A class is a row here, however many members it has.
+    found = classes.join(root, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.coalesce("root", "rep").alias("found"))
+    out = known.join(found.hint("merge"), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (F.col("n_shingles") > 0), "left")
+    if several:
+        one = ids.join(root, F.col("shared") == F.col("node")).select("shared", F.col("root").alias("whole"))
+        out = out.join(one, F.col("doc_id") == F.col("shared"), "left").withColumn("found", F.coalesce("whole", "found"))
+    out = out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     nameless = texts.where("doc_id is null").mapInPandas(_sketched, sketched).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, one for each doc_id; rows without doc_id all stay."""
-    kept = groups(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of docs that are kept, one for each doc_id (of rows that share it, that of the least hash of all its columns); rows without doc_id all stay."""
+    own = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    least = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("kept_id")).agg(F.min(own).alias("least"))
+    kept = groups(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct().join(least, "kept_id")
+    # No hash lies below the least one; written so, the join is by doc_id alone, as is what follows.
+    known = docs.join(kept.hint("merge"), (F.col("doc_id") == F.col("kept_id")) & (own <= F.col("least")), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id is null"))

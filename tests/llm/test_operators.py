@@ -607,7 +607,6 @@ def test_near_groups_match_brute_force(spark, small, monkeypatch):
     if small:  # buckets and families split over tasks
         monkeypatch.setattr(near, "CHUNK", 8)
         monkeypatch.setattr(near, "BLOCK", 8)
-        monkeypatch.setattr(near, "LARGE_LEAST", 6)  # classes told to every task
     rows = corpus(11, 150)
     out = near.groups(spark.createDataFrame(rows, DOCS).withColumn("kept", F.lit(0)).repartition(3)).collect()
     want = plain_groups({r[0]: r[1] for r in rows if r[0] is not None})
@@ -695,9 +694,7 @@ def test_odd_sketches_estimate_high_similarities():
         assert low < near.similarity(odd[0], odd[1]) <= high
 
 
-@pytest.mark.parametrize("hub", [3, 1000])
-def test_components_follow_long_chains(spark, hub, monkeypatch):
-    monkeypatch.setattr(graph, "HUB", hub)
+def test_components_follow_long_chains(spark):
     stars = [(500, i) for i in range(501, 530)] + [(i, 600) for i in range(571, 600)]
     assert {r.root for r in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()} == {500, 571}
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (7, 7), (None, 3)]
@@ -714,3 +711,38 @@ def test_rows_that_share_a_vec_id_are_ranked_apart(spark):
     rows = [(0, [1, 0]), (0, [0, 1]), (1, [2, 3]), (2, [3, 2]), (0, [1, 0])]
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, terms array<long>").repartition(2), F.col("vec_id") % 50 == 0, 2).collect())
     assert got == [(0, 1, 1, 3), (0, 1, 2, 3), (0, 1, 2, 3), (0, 2, 1, 2), (0, 2, 1, 2), (0, 2, 2, 2)]
+
+
+SPLIT = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+
+
+@pytest.fixture
+def split(spark):
+    """Thresholds under which Spark splits the partition of a few thousand rows of a key."""
+    before = {k: spark.conf.get(k, None) for k in SPLIT}
+    for k, v in SPLIT.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_rows_of_a_hub_are_split_over_tasks(spark, split):
+    edges = spark.createDataFrame([(5, 6 + i) for i in range(20_000)] + [(100_000 + 2 * i, 100_001 + 2 * i) for i in range(2000)], "u long, v long")
+    told = graph._told(edges, edges.groupBy("u").agg(F.min("v").alias("m")))
+    rows = told.rdd.glom().map(len).collect()
+    assert sum(rows) == 22_000 and max(rows) < 8000 and "skew=true" in told._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_class_of_thousands_and_a_hub_are_one_group(spark, split):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words) for i in range(3000)] + [(5000 + i, f"{words} x{i}") for i in range(300)] + [(9000, "something else altogether it is")]
+    got = {r.doc_id: (r.component_id, r.kept) for r in near.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert len(got) == 3301 and {c for c, _ in got.values()} == {0, 9000} and sum(k for _, k in got.values()) == 2
+
+
+def test_the_row_that_stays_does_not_depend_on_the_order(spark):
+    rows = [(1, f"text number {i} of five", f"s{i}") for i in range(5)] + [(1, "text number 0 of five", "other"), (None, "a", "b")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [sorted(map(str, near.one_of_each(frame.orderBy(F.rand(seed)).repartition(n)).collect())) for seed, n in ((1, 2), (2, 3), (3, 1))]
+    assert len(kept[0]) == 2 and kept[0] == kept[1] == kept[2]
