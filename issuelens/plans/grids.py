@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _INT = "CAST(floor(l_extendedprice) AS BIGINT)"
 _GROUPED = f"CASE WHEN l_extendedprice < 1000 THEN CAST({_INT} AS VARCHAR(20)) ELSE concat(CAST(CAST(floor(l_extendedprice / 1E3) AS BIGINT) AS VARCHAR(20)), ',', lpad(CAST({_INT} % 1000 AS VARCHAR(20)), 3, '0')) END"
 _COLS = "(SELECT 0 AS col UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) c"
-_PAGED = f"SELECT l_suppkey AS doc_id, CAST(l_orderkey % 30 AS INT) AS page, 1 AS table_no, CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 30 ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS row, l_partkey AS k, l_linenumber AS n, {_GROUPED} AS g FROM lineitem"
+_PAGED = f"SELECT l_suppkey AS doc_id, CAST(l_orderkey % 30 AS INT) AS page, 1 AS table_no, CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 30 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS INT) AS row, l_partkey AS k, l_linenumber AS n, {_GROUPED} AS g FROM lineitem"
 #: Grids of five columns, whose periods stand in one of the first five rows, or twice the same; captions above, notes and amounts below.
 CELLS = f"""
     SELECT doc_id, page, table_no, row, col, CASE
@@ -35,7 +35,7 @@ BOXED = f"""
 """
 BOX_WORDS = "SELECT l_suppkey AS doc_id, l_linenumber AS page, no, CAST(60 + no % 420 AS DOUBLE) + no / 1E8 AS x0, CAST(80 + no % 420 + no % 35 AS DOUBLE) + no / 1E8 AS x1, CAST((no * 104729) % 800 AS DOUBLE) AS y0, CAST((no * 104729) % 800 + 8 AS DOUBLE) AS y1, CAST(no AS VARCHAR(20)) AS text FROM (SELECT DISTINCT l_suppkey, l_linenumber, l_orderkey AS no FROM lineitem) x"
 #: Tables of a page: statements, ruled boxes and tables found by blanks, at heights that overlap at times.
-FOUND = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 60 AS INT) AS page, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 60 ORDER BY l_orderkey, l_linenumber, l_partkey) AS table_no, CASE WHEN l_orderkey % 60 % 5 = 0 THEN CASE l_partkey % 2 WHEN 0 THEN 'text' ELSE 'statement' END ELSE CASE l_partkey % 4 WHEN 0 THEN 'statement' WHEN 3 THEN 'text' ELSE 'lines' END END AS strategy, CAST(l_partkey % 300 AS DOUBLE) AS x0, CAST(l_partkey % 300 + 60 + l_linenumber * 30 AS DOUBLE) AS x1, CAST(l_orderkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_orderkey * 7 % 700 + 10 + l_quantity AS DOUBLE) AS y1, CAST(1 + l_linenumber * 2 AS INT) AS n_rows, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 5 END AS n_amounts, l_discount * 4 AS density, l_linenumber % 2 = 0 AS labelless FROM lineitem"
+FOUND = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 60 AS INT) AS page, row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 60 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS table_no, CASE WHEN l_orderkey % 60 % 5 = 0 THEN CASE l_partkey % 2 WHEN 0 THEN 'text' ELSE 'statement' END ELSE CASE l_partkey % 4 WHEN 0 THEN 'statement' WHEN 3 THEN 'text' ELSE 'lines' END END AS strategy, CAST(l_partkey % 300 AS DOUBLE) AS x0, CAST(l_partkey % 300 + 60 + l_linenumber * 30 AS DOUBLE) AS x1, CAST(l_orderkey * 7 % 700 AS DOUBLE) AS y0, CAST(l_orderkey * 7 % 700 + 10 + l_quantity AS DOUBLE) AS y1, CAST(1 + l_linenumber * 2 AS INT) AS n_rows, CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 5 END AS n_amounts, l_discount * 4 AS density, l_linenumber % 2 = 0 AS labelless FROM lineitem"
 VALUES = "SELECT l_suppkey AS doc_id, CAST(l_orderkey % 20 AS INT) AS table_no, l_orderkey AS row, l_linenumber AS no, CAST((l_partkey * 37 + l_linenumber * 90) % 600 AS DOUBLE) + l_linenumber / 1E3 AS x1 FROM (SELECT l_suppkey % 40 AS l_suppkey, l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_suppkey % 40, l_orderkey, l_linenumber) x"
 SLOTS = "SELECT DISTINCT l_suppkey % 40 AS doc_id, CAST(l_orderkey % 20 AS INT) AS table_no, CAST(2 + l_orderkey % 4 AS INT) AS n_cols, CASE WHEN l_orderkey % 20 = 7 THEN array(100E0, 400E0) ELSE CASE l_orderkey % 4 WHEN 0 THEN array(150E0, 450E0) WHEN 1 THEN array(100E0, 300E0, 500E0) WHEN 2 THEN array(80E0, 200E0, 350E0, 550E0) ELSE array(60E0, 180E0, 300E0, 420E0, 540E0) END END AS anchors FROM lineitem"
 TOKENS = "SELECT l_suppkey % 40 AS doc_id, CAST(l_orderkey % 20 AS INT) AS table_no, l_orderkey AS line, l_linenumber AS no, CAST((l_partkey * 37 + l_linenumber * 90) % 600 AS DOUBLE) AS x1, CASE WHEN l_partkey % 3 = 0 THEN 'assets' WHEN l_partkey % 5 = 0 THEN '2022' ELSE '1,234' END AS text, l_partkey % 3 <> 0 AS is_value, l_orderkey % 7 = 0 AS is_row FROM (SELECT l_suppkey % 40 AS l_suppkey, l_orderkey, l_linenumber, MIN(l_partkey) AS l_partkey FROM lineitem GROUP BY l_suppkey % 40, l_orderkey, l_linenumber) x"
@@ -44,13 +44,13 @@ LINES = """
     SELECT doc_id, CAST(floor((n - 1) / 14E0) + floor((n - 1) / 126E0) AS INT) + 1 AS page, CAST((n - 1) % 14 + 1 AS INT) AS line, ((n - 1) % 14 + 1) / 14E0 AS top,
            CASE (k + n) % 5 WHEN 0 THEN 'Total assets' WHEN 1 THEN 'of which current' WHEN 2 THEN NULL WHEN 3 THEN 'PL' ELSE 'Revenue from sales' END AS label,
            CASE WHEN head THEN 0 WHEN k % 10 < few THEN 0 ELSE CAST(q % 4 AS INT) END AS n_figures, CASE WHEN head THEN CAST(2 + k % 2 AS INT) END AS n_cols, CASE WHEN head THEN concat('Fiscal ', CAST(2020 + k % 2 AS VARCHAR(4))) END AS columns, CASE WHEN head AND n % 3 = 0 THEN CASE k % 2 WHEN 0 THEN 'lakh' ELSE 'crore' END END AS unit
-    FROM (SELECT l_suppkey AS doc_id, l_partkey AS k, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS n, (l_partkey + l_linenumber) % 37 = 0 AS head, 2 + l_suppkey % 6 AS few FROM lineitem) x
+    FROM (SELECT l_suppkey AS doc_id, l_partkey AS k, CAST(l_quantity AS INT) AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS n, (l_partkey + l_linenumber) % 37 = 0 AS head, 2 + l_suppkey % 6 AS few FROM lineitem) x
 """
 
 
 #: Lines above and between headers: captions, titles of either basis, blanks, and talk of eligibility.
 CONTEXT = """
-    SELECT l_suppkey AS doc_id, CAST(l_orderkey % 25 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 25 ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS line, (l_partkey + l_linenumber) % 9 = 0 AS is_header, l_partkey % 23 = 4 AS names_rules,
+    SELECT l_suppkey AS doc_id, CAST(l_orderkey % 25 AS INT) AS page, CAST(row_number() OVER (PARTITION BY l_suppkey, l_orderkey % 25 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount) AS INT) AS line, (l_partkey + l_linenumber) % 9 = 0 AS is_header, l_partkey % 23 = 4 AS names_rules,
            CASE WHEN (l_partkey + l_linenumber) % 9 = 0 THEN CASE l_partkey % 4 WHEN 0 THEN 'Particulars (in million) Fiscal 2023 Fiscal 2022' ELSE 'Particulars Fiscal 2023 Fiscal 2022' END
                 WHEN l_partkey % 19 = 3 THEN '(₹ in lakhs)' WHEN l_partkey % 17 = 2 THEN 'Restated Consolidated Statement' WHEN l_partkey % 17 = 5 THEN 'Standalone  figures' WHEN l_partkey % 17 = 7 THEN 'consolidated and standalone' WHEN l_partkey % 5 = 1 THEN ' ' WHEN l_partkey % 5 = 2 THEN NULL ELSE concat('Line ', CAST(l_partkey % 50 AS VARCHAR(4))) END AS text
     FROM lineitem
