@@ -11,6 +11,11 @@ between cost nothing. Stretches: an alignment that covers LEAST of the template
 near each other give a stretch, at three widths (slips of the words that may be missing, of the template's length, and of
 SPREAD times that) and, last, as one stretch from the first to the last. The best of all counts.
 
+Coverage alone would let the one word go that tells a license from its neighbours. So versions, names and kinds of
+licenses and negations are required words: a stretch counts only if all of the template's are aligned, if no other version
+stands between a version and the word before it, if no kind (as lesser, affero) stands among at most two words put in, and
+if the notice isn't negated ("not licensed under"). 2.0 and 2 are the same version.
+
 Defined cases: null text counts as empty and holds nothing; a document with several licenses names each; a template that
 occurs more than once counts once, at its best place (the first among equals); of licenses whose stretches overlap, the
 better covered stays, then the longer, then the first by name; repeated rows are scanned once each; an empty table gives
@@ -64,12 +69,20 @@ TEMPLATES = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 LEAST, SPREAD = 0.85, 8
+# Words that name a license, words that make it another kind, and negations.
+NAMES = frozenset(b"apache artistic attribution boost creative eclipse gnu mit mozilla".split())
+KINDS = frozenset(b"affero lesser noncommercial sharealike noderivatives noderivs by-nc by-sa attribution-noncommercial attribution-sharealike attribution-noderivatives attribution-noderivs".split())
+NEGATIONS = frozenset(b"no not neither nor".split())
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "()\"',;:!?<>[]{}*#|\t\n\r\v\f" else c for c in range(256))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Lower-case words without the punctuation around them."""
-    return [w for w in (x.strip(b".") for x in text.translate(_FOLD).split()) if w]
+    """Lower-case words without the punctuation around them, and without .0 at their end."""
+    return [w for w in (x.strip(b".").removesuffix(b".0") for x in text.translate(_FOLD).split()) if w]
+
+
+def is_version(word: bytes) -> bool:
+    return word.replace(b".", b"").isdigit()
 
 
 def rising(places: list[int]) -> list[int]:
@@ -114,7 +127,7 @@ def align(left: tuple | list, right: tuple | list, a: int = 0, b: int | None = N
 
 
 class Template:
-    """A license's words, how often each occurs, and how many may be missing."""
+    """A license's words, how often each occurs, how many may be missing, and places of those that may not."""
 
     def __init__(self, text: str):
         self.words = tuple(words_of(text.encode()))
@@ -122,9 +135,28 @@ class Template:
         self.known = frozenset(self.words)
         self.size = len(self.words)
         self.spare = int(self.size * (1 - LEAST))
+        self.required = [i for i, w in enumerate(self.words) if is_version(w) or w in NAMES or w in KINDS or w in NEGATIONS]
+        self.needed = frozenset(self.words[i] for i in self.required)
 
     def possible(self, vocabulary: set[bytes]) -> bool:
-        return sum(self.count[w] for w in self.known - vocabulary) <= self.spare
+        return self.needed <= vocabulary and sum(self.count[w] for w in self.known - vocabulary) <= self.spare
+
+    def agrees(self, text: list[bytes], pairs: list[tuple[int, int]]) -> bool:
+        """Do the aligned pairs hold all required words, and is nothing put in that makes it another license?"""
+        if not {i for i, _ in pairs}.issuperset(self.required):
+            return False
+        i, p = pairs[0]
+        if i == 0 and p and text[p - 1] == b"not":
+            return False
+        for j, q in pairs[1:]:
+            if q > p + 1:
+                if is_version(self.words[j]) and j == i + 1 and is_version(text[p + 1]):
+                    return False
+                between = text[p + 1 : q] if q <= p + 3 else []
+                if any(w in KINDS for w in between) or between == [b"not"]:
+                    return False
+            i, p = j, q
+        return True
 
 
 def _clusters(places: list[int], slip: int) -> list[tuple[int, int]]:
@@ -150,7 +182,7 @@ def _densest(pairs: list[tuple[int, int]], most: int) -> tuple[int, int, int]:
 
 
 def find(text: list[bytes], template: Template, where: dict[bytes, list[int]]) -> tuple[float, int, int]:
-    """Best coverage of the template by a stretch of text, and the stretch in words, end exclusive."""
+    """Best coverage of the template by a stretch of text that agrees with it, and the stretch in words, end exclusive."""
     size, words = template.size, template.words
     places = sorted(p for w in template.known for p in where.get(w, ()))
     kept = [text[p] for p in places]
@@ -164,7 +196,9 @@ def find(text: list[bytes], template: Template, where: dict[bytes, list[int]]) -
                 continue
             tried.add((a, b))
             pairs = [(i, places[a + j]) for i, j in align(words, kept[a:b])]
-            best = max(best, _densest(pairs, SPREAD * size), key=lambda x: x[0])
+            n, start, end = _densest(pairs, SPREAD * size)
+            if n > best[0] and template.agrees(text, [x for x in pairs if start <= x[1] < end]):
+                best = (n, start, end)
         if best[0] == size:
             break
     return best[0] / size, best[1], best[2]

@@ -170,7 +170,7 @@ def test_license_scan_against_whole_text_alignment(spark):
             for changed in (0.0, 0.08):
                 body = []
                 for w in template.words:
-                    body += [w.decode() if rng.random() >= changed else "changed"] + ["%%"] * inserted
+                    body += [w.decode() if rng.random() >= changed or w in template.needed else "changed"] + ["%%"] * inserted
                 share = sum(w != "changed" and w != "%%" for w in body) / template.size
                 want[len(rows)] = (name, share)
                 rows.append((len(rows), " ".join([*prose(300), *body, *prose(300)])))
@@ -188,6 +188,33 @@ def test_license_scan_against_whole_text_alignment(spark):
     assert licenses.scan_licenses(spark.createDataFrame(far, "doc_id long, text string")).first().licenses.license is None
 
 
+def test_license_scan_needs_the_words_that_tell_licenses_apart(spark):
+    """Each required word of each template, changed or left out, hides the template; another version, kind or negation does too."""
+    known, rows = {n: licenses.Template(t) for n, t in licenses.TEMPLATES.items()}, []
+    for name, template in known.items():
+        words = [w.decode() for w in template.words]
+        for i in template.required:
+            other = "77" if licenses.is_version(template.words[i]) else "changed"
+            rows += [(name, " ".join([*words[:i], other, *words[i + 1 :]])), (name, " ".join(words[:i] + words[i + 1 :]))]
+    wrong = [
+        ("Apache-2.0", "Licensed under the Apache License, Version 1.1"), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 1"),
+        ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution 3.0 International License"), ("MPL-2.0", licenses.TEMPLATES["MPL-2.0"].replace("2.0", "1.1")),
+        ("GPL-2.0-notice", licenses.TEMPLATES["GPL-2.0-notice"].replace("version 2", "version 1")), ("GPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+        ("GPL-3.0-notice", licenses.TEMPLATES["AGPL-3.0"]), ("GPL-3.0", "This work is not licensed under the GNU General Public License, version 3"),
+        ("MIT", "Not released under the MIT License"), ("Apache-2.0", "Licensed under the Apache License, Version 1.1 and see Version 2.0"),
+        ("CC-BY-4.0-notice", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ]
+    right = [("Apache-2.0", "Licensed under the Apache License, Version 2"), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.0"), ("MIT", "It is not here.\nReleased under the MIT License"), ("AGPL-3.0", licenses.TEMPLATES["AGPL-3.0"])]
+    given = spark.createDataFrame([(i, *row) for i, row in enumerate(rows + wrong + right)], "doc_id long, name string, text string")
+    out = licenses.scan_licenses(given).orderBy("doc_id").collect()
+    found = [r.name in [f.license for f in r.licenses.found] for r in out]
+    n = len(rows) + len(wrong)
+    assert not [out[i].text for i in range(n) if found[i]] and all(found[n:])
+    two = "Released under the MIT License. Licensed under the Apache License, Version 1.1. Licensed under the Apache License, Version 2.0"
+    beside = licenses.scan_licenses(spark.createDataFrame([(1, two)], "doc_id long, text string")).first().licenses.found
+    assert sorted(f.license for f in beside) == ["Apache-2.0", "MIT"]
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------
 def plain_spans(text):
     found = []
