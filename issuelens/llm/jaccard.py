@@ -17,7 +17,7 @@
    PIVOTS, which connect the blocks. Sets outside the family's largest group, the rest, are then compared with all
    of it, a block of the rest with a block of all in a task. No pair of unconnected sets is left out; the work is quadratic
    in the rest of a family only.
-5. Components of the links give the groups.
+5. Components of the links give the groups; a task folds its own links to stars first.
 
 Defined cases: null and empty texts have no shingle and link with nothing; 1 or 2 words are one shingle; a document without
 doc_id links with nothing and has no component_id; rows that repeat a doc_id are one document, and where their texts differ,
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Words, give_back, mix64, runs, windows
 from .common import small_batches, text_bytes, written
-from .graph import components
+from .graph import components, folded
 
 SHINGLE, PERCENT = 3, 90
 BLOCK, PIVOTS = 2048, 64
@@ -352,7 +352,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _check(dealt: DataFrame) -> DataFrame:
     sets = dealt.mapInArrow(_sets, "family long, i int, j int, rep long, of long, is_left boolean, shingles binary")
-    return sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(_linked, "a long, b long")
+    return folded(sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(_linked, "a long, b long"))
 
 
 def _rest(placed: DataFrame, found: DataFrame) -> DataFrame | None:
@@ -382,7 +382,7 @@ def groups(docs: DataFrame) -> DataFrame:
     alone = full.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left_semi").where(F.size("keys") > 0)
     near = alone.select(F.col("doc_id").alias("rep"), "keys").mapInArrow(_first_of_task, "key long, a long, b long")
     near = near.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_firsts, "a long, b long")
-    family = written(components(near).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    family = written(components(folded(near)).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
     sizes = written(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     placed = written(family.join(sizes.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")))

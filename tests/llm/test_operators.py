@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -721,6 +722,25 @@ def test_odd_sketches_estimate_high_similarities():
         assert low < near.similarity(odd[0], odd[1]) <= high
 
 
+def test_folded_edges_connect_the_same(spark, monkeypatch):
+    """Chains, hubs, repeated edges, loops and nulls; a task that holds few edges at once gives more, that connect the same."""
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5), (2000, 2001), (2001, 2000)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(3000, 3400, (150, 2))]
+    a, b = graph.forest(*np.array(edges, np.int64).T)
+    assert len(a) == len(set(a)) and (b < a).all() and not set(a) & set(b)
+    table = spark.createDataFrame([*edges, (None, 1), (300, None)], "a long, b long").repartition(3)
+    want = {r.node: r.root for r in graph.components(table).collect()}
+    assert dict(zip(a.tolist(), b.tolist())) == {n: r for n, r in want.items() if n != r}
+    assert {r.node: r.root for r in graph.components(graph.folded(table)).collect()} == want
+    for held in (1, 40, 400):
+        parts = [pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in edges[i : i + 20]], pa.schema([("a", pa.int64()), ("b", pa.int64())])) for i in range(0, len(edges), 20)]
+        monkeypatch.setattr(graph, "HELD", held)
+        out = [r for batch in graph._folded(iter(parts)) for r in batch.to_pylist()]
+        c, d = graph.forest(np.array([r["a"] for r in out]), np.array([r["b"] for r in out]))
+        assert dict(zip(c.tolist(), d.tolist())) == dict(zip(a.tolist(), b.tolist()))
+
+
 def test_components_follow_long_chains(spark):
     stars = [(500, i) for i in range(501, 530)] + [(i, 600) for i in range(571, 600)]
     assert {r.root for r in graph.components(spark.createDataFrame(stars, "a long, b long")).collect()} == {500, 571}
