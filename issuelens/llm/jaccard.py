@@ -360,7 +360,7 @@ def _rest(placed: DataFrame, found: DataFrame) -> DataFrame | None:
     many = placed.where("blocks > 1")
     if not many.limit(1).count():
         return None
-    now = written(many.join(components(found).hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", "family", "blocks", "own", F.coalesce("root", "rep").alias("of")))
+    now = written(many.join(components(folded(found)).hint("merge"), F.col("rep") == F.col("node"), "left").select("rep", "family", "blocks", "own", F.coalesce("root", "rep").alias("of")))
     main = now.groupBy("family", "of").agg(F.count("*").alias("m")).groupBy("family").agg(F.max_by("of", F.struct("m", "of")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
     # A row a family in several blocks, each of which has over BLOCK sets.
     main = main.withColumn("rests", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).where("rests > 0").select("family", "main", "rests")
@@ -382,7 +382,8 @@ def groups(docs: DataFrame) -> DataFrame:
     alone = full.join(named, (F.col("doc_id") == F.col("rep")) & (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")), "left_semi").where(F.size("keys") > 0)
     near = alone.select(F.col("doc_id").alias("rep"), "keys").mapInArrow(_first_of_task, "key long, a long, b long")
     near = near.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_firsts, "a long, b long")
-    family = written(components(folded(near)).select(F.col("node").alias("rep"), F.col("root").alias("family")))
+    # Read again, many small files make one split, whose stars are folded once more.
+    family = written(components(folded(written(folded(near)))).select(F.col("node").alias("rep"), F.col("root").alias("family")))
 
     sizes = written(family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     placed = written(family.join(sizes.hint("merge"), "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int")))
@@ -400,7 +401,7 @@ def groups(docs: DataFrame) -> DataFrame:
     several = ids.limit(1).count() > 0
     if several:
         found = found.unionByName(full.join(ids, F.col("doc_id") == F.col("shared"), "left_semi").join(classes, ["c1", "c2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    root = components(found)
+    root = components(folded(found))
     placed = classes.join(root, F.col("rep") == F.col("node"), "left").select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.coalesce("root", "rep").alias("found"))
     # A sort-merge join: where many rows are of one class, Spark splits them.
     out = known.join(placed.hint("merge"), (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & F.col("doc_id").isNotNull(), "left")
