@@ -88,13 +88,14 @@ def consensus(readings: DataFrame) -> DataFrame:
     """doc_id, concept, period, value, total, supporters, strength, rival, largest. readings: doc_id, concept, period, value, step, weight, confidence, trusted.
 
     Equal readings are summed before they gather, so a group holds as many rows as it has different values, not readings.
-    If some readings are of trusted columns, only those compete; the others back the cluster they agree with.
+    Of equally strong clusters that of more confidence a reading wins, then the lower one; confidence is added as decimals,
+    since sums of doubles depend on their order and part clusters that tie. If some readings are of trusted columns, only those compete; the others back the cluster they agree with.
     """
     keys = ["doc_id", "concept", "period"]
-    same = readings.groupBy(*keys, "value", "step", "trusted").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.avg("confidence").alias("confidence"))
+    same = readings.groupBy(*keys, "value", "step", "trusted").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.col("confidence").cast("decimal(18,12)")).alias("confidence"))
     gathered = same.groupBy(*keys).agg(
         F.bool_or("trusted").alias("any_trusted"),
-        F.collect_list(F.struct(F.col("value").cast("double").alias("value"), F.col("step").cast("double").alias("step"), F.col("weight").cast("double").alias("weight"), F.col("confidence").cast("double").alias("confidence"), F.col("n").alias("n"), F.col("trusted").alias("trusted"))).alias("all"),
+        F.collect_list(F.struct(F.col("value").cast("double").alias("value"), F.col("step").cast("double").alias("step"), F.col("weight").cast("double").alias("weight"), F.col("confidence").alias("confidence"), F.col("n").alias("n"), F.col("trusted").alias("trusted"))).alias("all"),
     )
     competing = F.filter("all", lambda r: r["trusted"] | ~F.col("any_trusted"))
     plain = F.transform(competing, lambda r: F.struct(r["value"], r["step"], r["weight"], r["confidence"]))
@@ -107,11 +108,12 @@ def consensus(readings: DataFrame) -> DataFrame:
         return F.filter("all", lambda r: F.when(r["trusted"] | ~F.col("any_trusted"), own(r)).otherwise(agrees(r)))
 
     total = lambda rows, f: F.aggregate(rows, F.lit(0.0), lambda a, r: a + r[f].cast("double"))
+    sure = lambda rows: F.aggregate(rows, F.lit(0).cast("decimal(38,12)"), lambda a, r: (a + r["confidence"]).cast("decimal(38,12)")) / total(rows, "n").cast("decimal(20,0)")
 
     def scored(k: Column) -> Column:
         backers = near(k)
-        mode = F.array_max(F.transform(backers, lambda r: F.struct(r["n"].alias("n"), (-r["step"]).alias("fine"), r["confidence"].alias("confidence"), r["value"].alias("value"))))
-        return F.struct(total(backers, "weight").alias("strength"), (total(backers, "confidence") / F.size(backers)).alias("confidence"), (-k["head"]).alias("order"), total(backers, "n").cast("long").alias("supporters"), mode["value"].alias("value"), k["head"].alias("head"))
+        mode = F.array_max(F.transform(backers, lambda r: F.struct(r["n"].alias("n"), (-r["step"]).alias("fine"), (r["confidence"] / r["n"].cast("decimal(20,0)")).alias("confidence"), r["value"].alias("value"))))
+        return F.struct(total(backers, "weight").alias("strength"), sure(backers).alias("confidence"), (-k["head"]).alias("order"), total(backers, "n").cast("long").alias("supporters"), mode["value"].alias("value"), k["head"].alias("head"))
 
     ranked = made.withColumn("ranked", F.reverse(F.array_sort(F.transform("made", scored))))
     best, second = F.element_at("ranked", 1), F.try_element_at(F.col("ranked"), F.lit(2))
