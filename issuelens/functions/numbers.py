@@ -32,8 +32,8 @@ _PARTS_B = r"^(\(?)\s*(?:(?:₹|`|[Rr][Ss]\.?|[Ii][Nn][Rr])\s*)?([-−–—]?)\
 
 
 def _parts(t: Column, pattern: str, n: int) -> Column:
-    """The n groups of a pattern that fits the whole text, each "" if it is left out; else an array of another size."""
-    return F.split(_replace(t, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)
+    """The n groups of a pattern that fits the whole text, each "" if it is left out; else an array of another size. Texts without a digit, which have no value, aren't looked at."""
+    return F.when(t.rlike(r"\d"), F.split(_replace(t, pattern, _CUT.join(f"${i}" for i in range(1, n + 1))), _CUT)).otherwise(F.array(t))
 
 
 def parse_a(text: Column) -> Column:

@@ -87,16 +87,20 @@ def _is_year(text: Column) -> Column:
     return text.rlike(r"^(?:19|20)\d\d$")
 
 
-def amounts_in(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n: how many tokens of each cell are amounts; whole numbers of one or two digits and bare years are none."""
-    tokens = cells.select(*keys, F.explode(F.split(cleaned("text"), " ")).alias("t"))
-    amount = (F.col("t").contains(",") | F.col("t").contains(".") | (F.length("t") >= 3)) & ~_is_year(F.col("t")) & numbers.parse_b(F.col("t")).isNotNull()
-    return tokens.groupBy(*keys).agg(F.count_if(amount).alias("n"))
+def _is_amount(token: Column) -> Column:
+    """Is one word of a cell an amount? Whole numbers of one or two digits and bare years are none."""
+    shaped = (token.contains(",") | token.contains(".") | (F.length(token) >= 3)) & ~_is_year(token)
+    return F.when(shaped, numbers.parse_b(token).isNotNull()).otherwise(False)
+
+
+def _amounts_in(text: Column) -> Column:
+    """How many words of a cell's cleaned text are amounts."""
+    return F.size(F.filter(F.split(text, " "), _is_amount))
 
 
 def fused(cells: DataFrame) -> DataFrame:
     """Tables of which one cell holds three amounts or more, or two cells two: boxes without lines between their rows."""
-    found = amounts_in(cells, [*TABLE, "row", "col"]).groupBy(*TABLE).agg(F.max("n").alias("most"), F.count_if(F.col("n") >= 2).alias("twos"))
+    found = cells.select(*TABLE, _amounts_in(cleaned("text")).alias("n")).groupBy(*TABLE).agg(F.max("n").alias("most"), F.count_if(F.col("n") >= 2).alias("twos"))
     return found.where("most >= 3 or twos >= 2").select(*TABLE)
 
 
@@ -124,12 +128,19 @@ def recut(cells: DataFrame, words: DataFrame, slice_height: float = 100.0, most_
 
 def facts(cells: DataFrame) -> DataFrame:
     """doc_id, page, table_no, n_rows, n_cols, n_amounts, density, labelless (P31): amounts over all cells, the share of filled cells that are one, and whether no cell of the first column holds a word."""
-    read = cells.select(*TABLE, "row", "col", cleaned("text").alias("text")).join(amounts_in(cells, [*TABLE, "row", "col"]), [*TABLE, "row", "col"])
-    filled = F.col("text") != ""
-    is_amount = (filled & numbers.parse_b(F.col("text")).isNotNull()).cast("double")
-    return read.groupBy(*TABLE).agg(
-        F.count_distinct(F.when(filled, F.col("row"))).alias("n_rows"), (F.max("col") + 1).alias("n_cols"), F.sum("n").alias("n_amounts"), F.coalesce(F.avg(F.when(filled, is_amount)), F.lit(0.0)).alias("density"),
-        (~F.bool_or((F.col("col") == 0) & F.col("text").rlike("[A-Za-z]{2}"))).alias("labelless"),
+    read = cells.select(*TABLE, "row", "col", cleaned("text").alias("text"))
+    filled, one_word = F.col("text") != "", ~F.col("text").contains(" ")
+    # A cell of one word is read once: the word's amount is the cell's, but for the short and the years.
+    whole = F.when(filled, numbers.parse_b(F.col("text")).isNotNull()).otherwise(False)
+    short = ~(F.col("text").contains(",") | F.col("text").contains(".") | (F.length("text") >= 3)) | _is_year(F.col("text"))
+    judged = read.withColumn("is_amount", whole).withColumn("n", F.when(one_word, (F.col("is_amount") & ~short).cast("int")).otherwise(_amounts_in(F.col("text"))))
+    # Rows of a grid first, all their figures of fixed size, then grids: neither sorts cells.
+    rows = judged.groupBy(*TABLE, "row").agg(
+        F.max("col").alias("last"), F.sum("n").alias("n"), F.count_if(filled).alias("filled"), F.count_if(filled & F.col("is_amount")).alias("amounts"), F.bool_or((F.col("col") == 0) & F.col("text").rlike("[A-Za-z]{2}")).alias("worded"),
+    )
+    return rows.groupBy(*TABLE).agg(
+        F.count_if(F.col("filled") > 0).alias("n_rows"), (F.max("last") + 1).alias("n_cols"), F.sum("n").alias("n_amounts"), F.coalesce(F.try_divide(F.sum("amounts").cast("double"), F.sum("filled").cast("double")), F.lit(0.0)).alias("density"),
+        (~F.bool_or("worded")).alias("labelless"),
     )
 
 
