@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import calendar
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.periods import period_a
-from .layout import PAGE, banded, inside, islands
+from .layout import PAGE, banded, inside, islands, numbered
 
 # How far header lines are looked for, how near words form a phrase, words that headers may hold besides periods.
 MOST_LINES, MOST_GAP, PHRASE_GAP, WINDOW = 18, 30.0, 6.0, 7
@@ -19,18 +18,9 @@ BASES = ("consolidated", "standalone")
 
 
 def lines_by_head(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """words with line: from the top down, a word joins a line if its top lies within tolerance of the line's first word (W09). A page is one group."""
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(key=page["top"].round(1)).sort_values(["key", "x0", "word_no"], kind="stable")
-        out, line, head = [], 0, None
-        for top in page["top"]:
-            if head is None or abs(top - head) > tolerance:
-                line, head = line + 1, top
-            out.append(line)
-        return page.drop(columns="key").assign(line=out)
-
-    return words.groupBy(*PAGE).applyInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in words.schema)}, line long")
+    """words with line: from the top down, a word joins a line if its top lies within tolerance of the line's first word."""
+
+    return numbered(words, [F.rint(F.col("top") * 10), F.col("x0"), F.col("word_no")], F.col("top").cast("double"), lambda _: F.lit(tolerance), False)
 
 
 def header_band(lines: DataFrame, most_lines: int = MOST_LINES, most_gap: float = MOST_GAP) -> DataFrame:

@@ -6,32 +6,53 @@ document's few hundred pages) at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import WindowSpec
 
 PAGE = ["doc_id", "page"]
 
 
-def lines(words: DataFrame) -> DataFrame:
-    """words with line: from the top down, a word joins a line if its middle lies within half a height of the line's running mean. words: doc_id, page, word_no, top, bottom, x0, x1, text."""
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(mid=(page["top"] + page["bottom"]) / 2).sort_values(["mid", "x0", "word_no"], kind="stable")
-        tolerance = max(1e-9, float((page["bottom"] - page["top"]).median()) / 2)
-        out, line, mean, n = [], 0, None, 0
-        for mid in page["mid"]:
-            if mean is None or abs(mid - mean) > tolerance:
-                line, mean, n = line + 1, mid, 1
-            else:
-                n += 1
-                mean += (mid - mean) / n
-            out.append(line)
-        return page.drop(columns="mid").assign(line=out)
+def numbered(words: DataFrame, order: list[Column], at: Column, within: Callable[[WindowSpec], Column], running: bool) -> DataFrame:
+    """words with line: from the top down in order, a word joins a line if at lies within of that of the line's first word or, if running, of the mean of its words so far.
+
+    A page is a stretch of a sorted partition, streamed in batches of Arrow: no page is held whole, and none costs a call of its own.
+    """
+    by = Window.partitionBy(*PAGE).orderBy(*[F.col(f"_order{i}").asc_nulls_last() for i in range(len(order))])
+    keyed = words.withColumns({f"_order{i}": c for i, c in enumerate(order)} | {"_at": at})
+    marked = keyed.withColumns({"_first": F.row_number().over(by) == 1, "_within": within(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    ordered = marked.sortWithinPartitions(*PAGE, *[F.col(f"_order{i}").asc_nulls_last() for i in range(len(order))])
+    names = words.columns
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        line, middle, n = 0, 0.0, 0
+        for batch in batches:
+            out = []
+            for first, x, reach in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_first", "_at", "_within")), strict=True):
+                if first or abs(x - middle) > reach:
+                    line, middle, n = 1 if first else line + 1, x, 1
+                elif running:
+                    n += 1
+                    middle += (x - middle) / n
+                out.append(line)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], names=[*names, "line"])
 
-    return words.groupBy(*PAGE).applyInPandas(fold, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in words.schema)}, line long")
+    return ordered.select(*names, "_first", "_at", "_within").mapInArrow(number, StructType([*words.schema.fields, StructField("line", LongType())]))
+
+
+def _half_height(page: WindowSpec) -> Column:
+    return F.greatest(F.lit(1e-9), F.percentile(F.col("bottom") - F.col("top"), 0.5).over(page) / 2)
+
+
+def lines(words: DataFrame) -> DataFrame:
+    """words with line: from the top down, a word joins a line if its middle lies within half a height (the page's median) of the line's running mean. words: doc_id, page, word_no, top, bottom, x0, x1, text."""
+    mid = (F.col("top") + F.col("bottom")) / 2
+    return numbered(words, [mid, F.col("x0"), F.col("word_no")], mid.cast("double"), _half_height, True)
 
 
 def islands(rows: DataFrame, by: list[str], order: str, start: Column, name: str) -> DataFrame:
