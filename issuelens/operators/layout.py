@@ -180,11 +180,14 @@ def inherited(tables: DataFrame, column: str, most_pages: int = 2, same: tuple[s
 
 def unit_donors(tables: DataFrame, most_pages: int = 2) -> DataFrame:
     """Tables without a unit and the one unit of tables of the same dates at most so many pages before, if they agree; of those as near behind where none is before (J16). tables: doc_id, table_no (in order), page, unit, dates."""
-    left = tables.where("unit is null").select("doc_id", "table_no", "page", "dates")
-    right = tables.where("unit is not null").select("doc_id", "dates", F.col("table_no").alias("donor_no"), F.col("page").alias("donor_page"), F.col("unit").alias("donor"))
-    met = left.join(right, ["doc_id", "dates"]).where(F.abs(F.col("donor_page") - F.col("page")) <= most_pages)
-    side = lambda name, ok: [f(F.when(ok, F.col("donor"))).alias(f"{name}_{k}") for k, f in (("least", F.min), ("most", F.max))]
-    told = met.groupBy("doc_id", "table_no").agg(*side("before", F.col("donor_no") < F.col("table_no")), *side("after", F.col("donor_no") > F.col("table_no")))
+    same = Window.partitionBy("doc_id", "dates")
+    # Other pages by their distance, tables of the page itself by their number; one sort serves all four frames.
+    near = {"before": same.orderBy("page").rangeBetween(-most_pages, -1), "after": same.orderBy("page").rangeBetween(1, most_pages)}
+    here = Window.partitionBy("doc_id", "dates", "page").orderBy("table_no")
+    here = {"before": here.rangeBetween(Window.unboundedPreceding, -1), "after": here.rangeBetween(1, Window.unboundedFollowing)}
+    picks = {"least": (F.min, F.least), "most": (F.max, F.greatest)}
+    of_page = tables.dropna(subset=["doc_id", "dates", "page", "table_no"]).withColumns({f"{side}_{k}_here": f("unit").over(frame) for side, frame in here.items() for k, (f, _) in picks.items()})
+    told = of_page.withColumns({f"{side}_{k}": both(F.col(f"{side}_{k}_here"), f("unit").over(frame)) for side, frame in near.items() for k, (f, both) in picks.items()}).where("unit is null")
     agreed = lambda name: F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least"))
     return told.select("doc_id", "table_no", F.when(F.col("before_least").isNotNull(), agreed("before")).otherwise(agreed("after")).alias("unit")).where("unit is not null")
 
