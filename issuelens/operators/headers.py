@@ -64,14 +64,15 @@ def period_windows(words: DataFrame, by: list[str]) -> DataFrame:
     """by, first, last, label: periods that the words of a cell spell, left to right.
 
     From the first word on, the shortest window of up to WINDOW words that reads as a period is taken, its start moved right
-    while the reading stays the same, and the search goes on behind it. words: by, word_no (from 0), text.
+    while the reading stays the same, and the search goes on behind it. Headers repeat from page to page, so each wording is
+    searched once and meets its cells again. words: by, word_no (from 0), text.
     """
     cell = words.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]).alias("words"))
-    starts = cell.select(*by, "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("first"))
-    spans = starts.select(*by, "words", "first", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + WINDOW, F.size("words")) - 1)).alias("last"))
+    starts = cell.select("words").distinct().select("words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("first"))
+    spans = starts.select("words", "first", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + WINDOW, F.size("words")) - 1)).alias("last"))
     ending = spans.where(F.get("words", F.col("last")).rlike(r"\d\d"))
-    read = ending.select(*by, "first", "last", period_a(F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1), " "))["label"].alias("label")).where("label is not null")
-    found = read.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("found"))
+    read = ending.select("words", "first", "last", period_a(F.array_join(F.slice("words", F.col("first") + 1, F.col("last") - F.col("first") + 1), " "))["label"].alias("label")).where("label is not null")
+    found = read.groupBy("words").agg(F.array_sort(F.collect_list(F.struct("first", "last", "label"))).alias("found"))
     kind = "array<struct<first:int,last:int,label:string>>"
     behind = lambda acc, w: F.coalesce(w["first"] > F.try_element_at(acc, F.lit(-1))["last"], F.lit(True))
     chosen = F.aggregate("found", F.array().cast(kind), lambda acc, w: F.when(behind(acc, w), F.concat(acc, F.array(w))).otherwise(acc))
@@ -81,7 +82,8 @@ def period_windows(words: DataFrame, by: list[str]) -> DataFrame:
         unbroken = F.filter(same, lambda s: F.size(F.filter(same, lambda u: u <= s)) == s - w["first"] + 1)
         return F.struct(F.array_max(unbroken).alias("first"), w["last"].alias("last"), w["label"].alias("label"))
 
-    return found.select(*by, F.explode(F.transform(chosen, tight)).alias("w")).select(*by, "w.*")
+    spelt = found.select("words", F.transform(chosen, tight).alias("w"))
+    return cell.join(spelt, "words").select(*by, F.explode("w").alias("w")).select(*by, "w.*")
 
 
 def completed(columns: DataFrame, cells: DataFrame, above: DataFrame) -> DataFrame:
