@@ -102,9 +102,10 @@ def _write(rows: DataFrame, path: str, by_name: bool) -> None:
 
 
 def put(files: DataFrame, path: str, by_name: bool = False) -> None:
-    """Adds files (name, content binary) as one job; a name that is there gets the new content. Equal contents meet in a task, which keeps them once."""
+    """Adds files (name, content binary) as one job; a name that is there gets the new content. Equal contents (or names) meet in a task, which keeps them once; a small table of many files goes to all tasks."""
     rows = files.select("name", "content")
-    _write(rows if by_name else rows.repartition(F.sha2("content", 256)), path, by_name)
+    # As many parts as there are cores, whatever their bytes: a small file costs its creation.
+    _write(rows.repartition(files.sparkSession.sparkContext.defaultParallelism, "name") if by_name else rows.repartition(F.sha2("content", 256)), path, by_name)
 
 
 def delete(names: DataFrame, path: str) -> None:
@@ -148,6 +149,54 @@ def clear_staging(path: str) -> None:
         store.delete_dir(f"{root}/staging")
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """path and the folders under it, level by level; each is listed in a task, and the driver hears of folders alone."""
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = store.get_file_info(fs.FileSelector(folder))
+                yield pa.RecordBatch.from_pydict({"folder": pa.array([f.path for f in found if f.type == fs.FileType.Directory and f.base_name[0] not in "._"], pa.string())})
+
+    level = held = [_opened(path)[1]]
+    while level:
+        below = spark.createDataFrame([(f,) for f in level], "folder string").repartition(min(len(level), 200)).mapInArrow(within, "folder string")
+        level = sorted(r.folder for r in below.collect())
+        held = held + level
+    return held
+
+
+def _files(spark: SparkSession, path: str, ending: str, but: str = "") -> DataFrame:
+    """file_name, content (binary) of the files under a folder that end so, hidden ones and those that end in but left out.
+
+    Folders are listed and files read in tasks, hundreds of files a batch: a split for each few files, as file sources
+    plan them, costs more than small files do.
+    """
+
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(path)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = (f for f in store.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File)
+                yield pa.RecordBatch.from_pydict({"place": pa.array([f.path for f in found if f.base_name.endswith(ending) and f.base_name[0] not in "._" and not (but and f.base_name.endswith(but))], pa.string())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _opened(path)
+        for batch in batches:
+            places = batch.column("place").to_pylist()
+            for k in range(0, len(places), 256):
+                contents = []
+                for place in places[k : k + 256]:
+                    with store.open_input_stream(place) as f:
+                        contents.append(f.read())
+                yield pa.RecordBatch.from_pydict({"file_name": [p.rsplit("/", 1)[-1] for p in places[k : k + 256]], "content": pa.array(contents, pa.binary())})
+
+    held = _folders(spark, path)
+    folders = spark.createDataFrame([(f,) for f in held], "folder string").repartition(min(len(held), 200))
+    return folders.mapInArrow(names, "place string").repartition(4 * spark.sparkContext.defaultParallelism, "place").mapInArrow(read, "file_name string, content binary")
+
+
 def rule_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file_name and the fields of schema of each TOML file under a folder, one rule a file; read and parsed in tasks. A file that is no TOML fails the read, with its name."""
     fields = spark.createDataFrame([], schema).schema
@@ -157,7 +206,7 @@ def rule_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
         import tomllib
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(batch["file_name"], batch["content"], strict=True):
                 try:
                     rule = tomllib.loads(bytes(content).decode())
                 except (tomllib.TOMLDecodeError, UnicodeDecodeError) as e:
@@ -165,15 +214,14 @@ def rule_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"file_name": [name.rsplit("/", 1)[-1]], "json": [json.dumps({k: v for k, v in rule.items() if k in wanted}, default=str)]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return parse({c: b.column(c).to_pylist() for c in ("path", "content")} for b in batches)
+        return parse({c: b.column(c).to_pylist() for c in ("file_name", "content")} for b in batches)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.toml").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(run, "file_name string, json string").select("file_name", F.from_json("json", fields).alias("r")).select("file_name", "r.*")
+    return _files(spark, path, ".toml").mapInArrow(run, "file_name string, json string").select("file_name", F.from_json("json", fields).alias("r")).select("file_name", "r.*")
 
 
 def label_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """file_name and the fields of schema of each JSON label file under a folder, drafts left out; of files with one doc_id the last by name counts."""
-    read = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).json(path).withColumn("file_name", F.col("_metadata.file_name"))
-    final = read.where(~F.col("file_name").endswith(".draft.json") & (F.col("file_name") != "entries.jsonl"))
+    """file_name and the fields of schema of each JSON label file under a folder, in UTF-8, drafts left out; of files with one doc_id the last by name counts."""
+    rows = F.explode_outer(F.from_json(F.col("content").cast("string"), f"array<struct<{', '.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in spark.createDataFrame([], schema).schema)}>>"))
+    final = _files(spark, path, ".json", ".draft.json").select("file_name", rows.alias("r")).select("r.*", "file_name")
     rest = [c for c in final.columns if c != "doc_id"]
     return final.groupBy("doc_id").agg(F.max_by(F.struct(*rest), "file_name").alias("m")).select("doc_id", *[f"m.{c}" for c in rest])
