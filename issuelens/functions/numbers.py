@@ -43,15 +43,40 @@ def parse_a(text: Column) -> Column:
     note of one or two digits, a letter or a small Roman numeral may follow in brackets.
     """
     plain = F.trim(F.translate(text, DASHES, "-" * len(DASHES)))
-    return let(plain, lambda t: let(F.struct(t.alias("t"), _parts(t, _PARTS_A, 9).alias("p")), _valued_a))
+    return let(plain, lambda t: let(F.struct(t.alias("t"), _parts(t, _PARTS_A, 9).alias("p")), lambda x: _valued_a(x)))
 
 
-def _valued_a(x: Column) -> Column:
+#: Most amounts: digits in a row or in groups, a fraction, brackets around; read without taking the text apart.
+_PLAIN_A, _PLAIN_B = (rf"^\(?(?:\d+|\d{{1,3}}(?:,{group})+)(?:\.\d+)?\)?$" for group in (r"\d{3}", r"\d{2,3}"))
+
+
+def _is_plain(t: Column, pattern: str) -> Column:
+    return t.rlike(pattern) & (t.startswith("(") == t.endswith(")"))
+
+
+def _plain_value(t: Column) -> Column:
+    size = F.translate(t, ",()", "").try_cast(AMOUNT)
+    return F.when(t.startswith("("), -size).otherwise(size).cast(AMOUNT)
+
+
+def _is_null_mark(t: Column) -> Column:
+    return F.lower(t).isin(NULL_MARKS_A) | F.btrim(F.lower(t), F.lit(" .\t")).isin(NULL_MARKS_A)
+
+
+def value_a(text: Column) -> Column:
+    """Of what parse_a tells, value and is_null_mark alone; fields of a struct made in a lambda are all computed, asked for or not."""
+    told = lambda value, mark: F.struct(value.cast(AMOUNT).alias("value"), mark.alias("is_null_mark"))
+    in_parts = lambda t: let(F.struct(t.alias("t"), _parts(t, _PARTS_A, 9).alias("p")), lambda x: _valued_a(x, ("value", "is_null_mark")))
+    read = lambda t: F.when(~t.rlike(r"\d"), told(F.lit(None), _is_null_mark(t))).when(_is_plain(t, _PLAIN_A), told(_plain_value(t), F.lit(False))).otherwise(in_parts(t))
+    return let(F.trim(F.translate(text, DASHES, "-" * len(DASHES))), read)
+
+
+def _valued_a(x: Column, told: tuple[str, ...] = ("value", "is_null_mark", "is_percent", "negative_by", "grouping", "warning")) -> Column:
     t, fits = x["t"], F.size(x["p"]) == 9
     part = lambda i: F.get(x["p"], F.lit(i - 1))
-    low, whole, note = F.lower(t), part(4), part(9)
+    whole, note = part(4), part(9)
     no_note = F.when(note == "", False).otherwise(~((F.translate(note, "0123456789", "") == "") & (F.length(note) <= 2) | (F.length(note) == 1) & note.between("a", "z") | (F.translate(note, "ivx", "") == "")) | t.startswith("("))
-    null_mark = low.isin(NULL_MARKS_A) | F.btrim(low, F.lit(" .\t")).isin(NULL_MARKS_A)
+    null_mark = _is_null_mark(t)
     opened, closed = t.startswith("("), t.endswith(")") & F.when(fits, note == "").otherwise(True)
     wrapped, trailing, minus = opened & closed, fits & (part(6) != ""), fits & ((part(2) != "") | (part(3) != ""))
     # Groups by three digits; or, as the Indian way has it, the last by three and those before by two.
@@ -62,13 +87,15 @@ def _valued_a(x: Column) -> Column:
     by = F.when(wrapped, "parentheses").when(trailing, "trailing minus").when(minus | t.startswith("-"), "minus")
     warning = F.when(opened != closed, "unbalanced parenthesis").when(wrapped & (minus | trailing), "multiple negative markers").when(~null_mark & fits & grouping.isNull(), "malformed digit grouping")
     percent = t.endswith("%") | t.endswith("%)")
-    return F.struct(value.cast(AMOUNT).alias("value"), null_mark.alias("is_null_mark"), percent.alias("is_percent"), by.alias("negative_by"), F.when(fits, grouping).alias("grouping"), warning.alias("warning"))
+    fields = {"value": value.cast(AMOUNT), "is_null_mark": null_mark, "is_percent": percent, "negative_by": by, "grouping": F.when(fits, grouping), "warning": warning}
+    return F.struct(*[fields[name].alias(name) for name in told])
 
 
 def parse_b(text: Column, allow_percent: bool = False) -> Column:
     """Dialect b: nil is zero, dashes and NA are no value, percentages are refused unless allowed, .5 is a number. Digits stand in one group, or in groups of which the first has one to three and the others two or three."""
-    plain = F.trim(F.translate(text, "\u00a0", " "))
-    return let(plain, lambda t: let(F.struct(F.lower(t).alias("low"), _parts(t, _PARTS_B, 6).alias("p")), lambda x: _valued_b(x, allow_percent)))
+    in_parts = lambda t: let(F.struct(F.lower(t).alias("low"), _parts(t, _PARTS_B, 6).alias("p")), lambda x: _valued_b(x, allow_percent))
+    nil = lambda t: F.when(F.lower(t) == "nil", F.lit(0).cast(AMOUNT))
+    return let(F.trim(F.translate(text, "\u00a0", " ")), lambda t: F.when(~t.rlike(r"\d"), nil(t)).when(_is_plain(t, _PLAIN_B), _plain_value(t)).otherwise(in_parts(t)))
 
 
 def _valued_b(x: Column, allow_percent: bool) -> Column:

@@ -48,13 +48,11 @@ def ruled(cells: DataFrame, head_rows: int = 4, least: int = 2) -> DataFrame:
     ).where("header is not null")
     said = _joined(F.filter("above", lambda x: x["row"] <= F.col("header")))
     grids = grids.select(*TABLE, "header", "columns", units.unit_a(said).alias("unit"))
-    below = read.join(grids, TABLE).where(F.col("row") > F.col("header")).withColumn("period", F.try_element_at("columns", F.col("col"))).withColumn("n", numbers.parse_a(F.col("text")))
-    figure = F.col("period").isNotNull() & (F.col("n.value").isNotNull() | F.col("n.is_null_mark")) & (F.col("text") != "")
-    words = F.col("period").isNull() & F.col("n.value").isNull() & (F.col("text") != "")
-    rows = below.groupBy(*TABLE, "row", "unit").agg(
-        _joined(F.collect_list(F.when(words, F.struct("col", "text")))).alias("label"), F.collect_list(F.when(figure, F.struct("col", "period", "n.value", "n.is_null_mark"))).alias("figures"),
-    )
-    return rows.where("label <> ''").select(*TABLE, "row", "label", "unit", F.explode("figures").alias("f")).select(*TABLE, "row", "label", "unit", "f.*")
+    below = read.where("text <> ''").join(grids, TABLE).where(F.col("row") > F.col("header")).withColumn("period", F.try_element_at("columns", F.col("col"))).withColumn("n", numbers.value_a(F.col("text")))
+    figure = F.col("period").isNotNull() & (F.col("n.value").isNotNull() | F.col("n.is_null_mark"))
+    words = F.col("period").isNull() & F.col("n.value").isNull()
+    label = _joined(F.collect_list(F.when(words, F.struct("col", "text"))).over(Window.partitionBy(*TABLE, "row")))
+    return below.withColumn("figure", figure).withColumn("label", label).where("figure and label <> ''").select(*TABLE, "row", "label", "unit", "col", "period", "n.value", "n.is_null_mark")
 
 
 def header_info(cells: DataFrame, most: int = 8) -> DataFrame:
