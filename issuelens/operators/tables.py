@@ -214,9 +214,10 @@ def _scanned(lines: DataFrame, most_blank: int) -> DataFrame:
     figures = F.col("n_figures")
     # A header, a row, and figures that don't fit all end a run of lines without figures.
     marked = lines.withColumn("reset", F.col("n_cols").isNotNull() | (figures > 0)).withColumn("blank", F.col("n_cols").isNull() & (figures == 0))
-    segment = Window.partitionBy(*PAGE, "segment").orderBy("line")
+    # Runs are numbered down a page, so order by run and line is that by line, and one sort serves segments and runs.
+    marked = marked.withColumn("run", F.sum(F.col("reset").cast("int")).over(Window.partitionBy(*PAGE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    segment = Window.partitionBy(*PAGE, "segment").orderBy("run", "line")
     so_far = segment.rowsBetween(Window.unboundedPreceding, 0)
-    marked = marked.withColumn("run", F.sum(F.col("reset").cast("int")).over(so_far))
     in_run = F.sum(F.col("blank").cast("int")).over(Window.partitionBy(*PAGE, "segment", "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumn("n_blank", in_run)
     marked = marked.withColumn("ended", F.bool_or(F.col("n_blank") > most_blank).over(so_far)).withColumn("label", cleaned("label"))
